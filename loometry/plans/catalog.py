@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from loometry.plans import media, usage  # noqa: F401
+from loometry.plans import localize, media, usage  # noqa: F401
 from loometry.plans.registry import ORACLE, QUERIES  # noqa: F401
