@@ -89,11 +89,11 @@ def j17(m):
 
 
 @query("w8_clip_gaps", """
-SELECT clip_id, track_index, round(gap, 3) AS gap FROM (SELECT clip_id, track_index,
+SELECT clip_id, track_index, floor(gap * 1000)::BIGINT AS gap_ms FROM (SELECT clip_id, track_index,
   start_time - coalesce(lag(start_time + duration) OVER (PARTITION BY track_index ORDER BY start_us, clip_id), 0) AS gap FROM clips) WHERE gap > 0.01
 """)
 def w8(m):
-    return clip_gaps(m.clips).select("clip_id", "track_index", F.round("gap", 3).alias("gap"))
+    return clip_gaps(m.clips).select("clip_id", "track_index", F.floor(F.col("gap") * 1000).alias("gap_ms"))
 
 
 def _batch(m):

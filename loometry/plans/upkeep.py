@@ -203,9 +203,9 @@ def partials(m):
     )
 
 
-@query("a11_palette_union", f"SELECT brand::BIGINT AS brand, string_agg(c, ',' ORDER BY c) AS colors FROM (SELECT DISTINCT brand, upper(c) AS c FROM ({PARTIALS}) WHERE c <> '') GROUP BY 1")
+@query("a11_palette_union", f"SELECT DISTINCT brand::BIGINT AS brand, upper(c) AS color FROM ({PARTIALS}) WHERE c <> ''")
 def a11(m):
-    return ch.palette_lists(partials(m), ["brand"]).select("brand", F.array_join("color_palette", ",").alias("colors"))
+    return ch.merged_palette(partials(m), ["brand"])
 
 
 # --- research text ------------------------------------------------------------------
@@ -261,11 +261,11 @@ def fragments(m):
 @query("w15_merge_findings", f"""
 WITH {FRAGMENTS}, kept AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY round) AS round_no FROM (
   SELECT id, round, slot, trim(text, E' \\t\\n\\r') AS text FROM fragments) WHERE text NOT IN ('', '(no assignment)'))
-SELECT id, string_agg(block, chr(10) || chr(10) ORDER BY round_no) AS findings FROM (
-  SELECT id, round_no, '## Research round ' || round_no || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY slot) AS block FROM kept GROUP BY 1, 2) GROUP BY 1
+SELECT id, round_no, slot, text FROM kept
 """)
 def w15(m):
-    return rs.findings_text(fragments(m))
+    out = rs.merge_findings(fragments(m)).select("id", "round_no", "slot", "text")
+    return out.withColumn("round_no", F.col("round_no").cast("long"))
 
 
 @query("w16_flagged_claims", f"WITH {LINES} SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, item AS claim FROM items WHERE contains(lower(heading), 'caution')")
