@@ -54,14 +54,24 @@ class Model:
     @cache
     def raw(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
-        found = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self.schema(name)).parquet(path)
+
+    def stream(self, name: str) -> DataFrame:
+        """The same table as a file stream."""
+        return (
+            self.spark.readStream.schema(self.schema(name))
+            .option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        )
+
+    @cache
+    def schema(self, name: str) -> T.StructType:
+        found = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").schema
         # Zone-less timestamps are read as UTC instants. Doing it in the reader
         # keeps date filters on plain columns, so they reach the scan.
-        schema = T.StructType([
+        return T.StructType([
             T.StructField(f.name, T.TimestampType() if f.dataType == T.TimestampNTZType() else f.dataType)
             for f in found
         ])
-        return self.spark.read.schema(schema).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         build = TABLES.get(name)
@@ -250,9 +260,14 @@ SELECT c_nationkey::BIGINT AS workspace_id, c_custkey AS user_id,
 
 
 def source_assets(m: Model) -> DataFrame:
+    return assets_of(m.raw("part"))
+
+
+def assets_of(part: DataFrame) -> DataFrame:
+    """Uploaded assets from part rows (a table or a stream)."""
     key, size = F.col("p_partkey"), F.col("p_size").cast("long")
     ident = key.cast("string")
-    return m.raw("part").select(
+    return part.select(
         key.alias("id"),
         (key % 25).alias("workspace_id"),
         size.alias("user_id"),
