@@ -15,11 +15,9 @@ def strip(col: Column) -> Column:
 
 def slug(col: Column) -> Column:
     """A column or table name from free text: lower case, words joined by ``_``."""
-    words = F.regexp_replace(F.lower(strip(col)), "[^0-9a-zA-Z]+", "_")
-    words = F.btrim(words, F.lit("_"))
-    words = F.when(words == "", F.lit("col")).otherwise(words)
-    words = F.when(words.rlike("^[0-9]"), F.concat(F.lit("c_"), words)).otherwise(words)
-    return F.substring(words, 1, fixed.MAX_COLUMN_NAME)
+    words = F.btrim(F.regexp_replace(F.lower(strip(col)), "[^0-9a-zA-Z]+", "_"), F.lit("_"))
+    named = F.regexp_replace(F.regexp_replace(words, "^$", "col"), "^(?=[0-9])", "c_")
+    return F.substring(named, 1, fixed.MAX_COLUMN_NAME)
 
 
 def contains_ci(col: Column, text: str) -> Column:

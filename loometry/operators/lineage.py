@@ -128,41 +128,48 @@ def media_of_runs(values: DataFrame, outputs: DataFrame) -> DataFrame:
         "run_id", F.col("step_id").alias("ref_step"), F.col("output").alias("ref_output"),
         F.col("value").alias("_next"),
     )
-    todo = values.filter(F.col("value").isNotNull()).select("run_id", "value").distinct()
-    found, followed = None, None
+    todo, found, followed = values.select("run_id", "value"), None, None
     while True:
-        doc = F.try_parse_json("value")
-        kind = F.schema_of_variant(doc)
-        rows = todo.select("run_id", doc.alias("v"), kind.alias("kind"))
-        text = lambda path: F.try_variant_get("v", path, "string")
-        objects = rows.filter(F.col("kind").startswith("OBJECT"))
-        ref = (F.coalesce(text("$.step"), F.lit("")) != "") & (F.coalesce(text("$.output"), F.lit("")) != "")
-        asset = F.coalesce(text("$.sourceAssetId"), text("$.source_asset_id"))
-        item = text("$.sourceMediaItem.mediaItemId")
-        numbers = rows.filter(F.col("kind").isin("BIGINT") | F.col("kind").startswith("DECIMAL") | (F.col("kind") == "DOUBLE"))
-        ids = numbers.select("run_id", F.lit("media").alias("kind"), F.try_variant_get("v", "$", "string").alias("id")).unionByName(
-            objects.filter(~ref & F.coalesce(asset, item).isNotNull()).select(
-                "run_id", F.when(asset.isNotNull(), "asset").otherwise("media").alias("kind"),
-                F.coalesce(asset, item).alias("id"),
-            )
-        ).filter(~F.col("id").isin("", "0"))
+        # Parsed once and written: ids, list items and references are then read
+        # from columns, and a lost executor does not repeat earlier rounds.
+        step = cut_lineage(_mentions(todo), "mentions")
+        ids = step.filter(F.col("id").isNotNull()).select("run_id", "kind", "id")
         found = ids if found is None else found.unionByName(ids)
-
-        items = rows.filter(F.col("kind").startswith("ARRAY")).select(
-            "run_id", F.explode(F.col("v").cast("array<variant>")).alias("x")
-        ).select("run_id", F.to_json("x").alias("value"))
-        asks = objects.filter(ref).select("run_id", text("$.step").alias("ref_step"), text("$.output").alias("ref_output")).distinct()
+        asks = step.filter(F.col("ref_step").isNotNull()).select("run_id", "ref_step", "ref_output").distinct()
         if followed is not None:
             asks = asks.join(followed, ["run_id", "ref_step", "ref_output"], "left_anti")
         asks = cut_lineage(asks, "asked")
-        more = items.unionByName(
+        todo = step.select("run_id", F.explode("items").alias("value")).unionByName(
             asks.join(final, ["run_id", "ref_step", "ref_output"]).select("run_id", F.col("_next").alias("value"))
-        ).distinct()
-        more = cut_lineage(more, "values")
-        followed = asks if followed is None else followed.unionByName(asks)
-        if more.isEmpty():
+        )
+        if todo.isEmpty():
             return found.distinct()
-        todo = more
+        followed = asks if followed is None else followed.unionByName(asks)
+
+
+def _mentions(values: DataFrame) -> DataFrame:
+    """What each JSON value is: an id (with its kind), a reference, or a list."""
+    raw = F.trim("value")
+    fields = F.from_json(
+        F.when(raw.startswith("{"), raw),
+        "step string, output string, sourceAssetId string, source_asset_id string, "
+        "sourceMediaItem struct<mediaItemId:string>",
+    )
+    rows = values.select("run_id", raw.alias("raw"), fields.alias("o"))
+    set_ = lambda c: F.nullif(F.nullif(c, F.lit("")), F.lit("0"))
+    is_ref = (F.coalesce("o.step", F.lit("")) != "") & (F.coalesce("o.output", F.lit("")) != "")
+    number = F.when(F.col("raw").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), F.col("raw"))
+    asset = set_(F.coalesce("o.sourceAssetId", "o.source_asset_id"))
+    item = set_(F.col("o.sourceMediaItem.mediaItemId"))
+    # Through a variant, so that list items keep their JSON type.
+    listed = F.when(F.col("raw").startswith("["), F.try_parse_json("raw")).cast("array<variant>")
+    return rows.select(
+        "run_id",
+        F.when(~F.coalesce(is_ref, F.lit(False)), F.coalesce(asset, item, set_(number))).alias("id"),
+        F.when(asset.isNotNull(), "asset").otherwise("media").alias("kind"),
+        F.when(is_ref, F.col("o.step")).alias("ref_step"), F.when(is_ref, F.col("o.output")).alias("ref_output"),
+        F.transform(listed, lambda x: F.to_json(x)).alias("items"),
+    )
 
 
 # --- batch runs --------------------------------------------------------------------

@@ -244,17 +244,13 @@ def _anchor(needle: Column) -> Column:
     return F.coalesce(F.array_max(parts)["p"], needle)
 
 
-def _slices(word: Column, lengths: Sequence[int]) -> Column:
-    """Distinct pieces of a word with the given lengths."""
-    chars = F.split(word, "")
-    none = F.array().cast("array<int>")
-
-    def of_length(k: int) -> Column:
-        starts = F.when(F.array_size(chars) >= k, F.sequence(F.lit(1), F.array_size(chars) - (k - 1))).otherwise(none)
-        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(k)), ""))
-
-    lists = [of_length(k) for k in lengths]
-    return F.array_distinct(F.flatten(F.array(*lists)))
+def _pieces(words: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(word, anchor): the pieces of each word that have one of the lengths."""
+    size = F.char_length("word")
+    starts = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("i"))
+    sized = starts.select("word", "i", F.explode(F.array(*[F.lit(k) for k in lengths])).alias("k"))
+    fitting = sized.filter(F.col("i") + F.col("k") - 1 <= size)
+    return fitting.select("word", F.substring("word", F.col("i"), F.col("k")).alias("anchor"))
 
 
 def _occurrences(texts: DataFrame, needles: DataFrame) -> DataFrame:
@@ -274,8 +270,7 @@ def _occurrences(texts: DataFrame, needles: DataFrame) -> DataFrame:
     runs = F.array_distinct(F.regexp_extract_all("t", F.lit("\\s+|\\S+"), F.lit(0)))
     words = rows.select("briefing_id", "h", F.explode(runs).alias("word"))
     vocabulary = words.select("word").distinct()
-    pieces = vocabulary.select("word", F.explode(_slices(F.col("word"), lengths)).alias("anchor"))
-    known = pieces.join(anchored.select("anchor").distinct(), "anchor")
+    known = _pieces(vocabulary, lengths).join(anchored.select("anchor").distinct(), "anchor")
     reached = words.join(known, "word").select("briefing_id", "h", "anchor").distinct()
     candidates = reached.join(anchored, "anchor")
     alone = candidates.filter(F.col("needle") == F.col("anchor")).select("briefing_id", "needle")
@@ -368,16 +363,18 @@ def prompt_lines(
             "briefing_id", "market", F.lit(part).alias("part"), F.posexplode(F.array(*lines)).alias("line", "text")
         )
 
-    terms = glossary.select(
-        "briefing_id", "market", F.lit(3).alias("part"), F.col("rank").alias("line"),
+    # The first term of a pair brings the line that announces the terms.
+    term = F.struct(
+        F.lit(3).alias("part"), F.col("rank").alias("line"),
         F.concat(F.lit('    "'), F.col("source"), F.lit('" -> "'), F.col("target"), F.lit('"')).alias("text"),
     )
-    intro = glossary.select("briefing_id", "market").distinct().select(
-        "briefing_id", "market", F.lit(2).alias("part"), F.lit(0).alias("line"), F.lit(fixed.PROMPT_GLOSSARY).alias("text")
+    intro = F.struct(F.lit(2).alias("part"), F.lit(0).alias("line"), F.lit(fixed.PROMPT_GLOSSARY).alias("text"))
+    terms = glossary.select(
+        "briefing_id", "market", F.inline(F.when(F.col("rank") == 1, F.array(intro, term)).otherwise(F.array(term)))
     )
     columns = ["briefing_id", "market", "part", "line", "text"]
     out = section(1, head)
-    for piece in (intro, terms, section(4, [F.lit(t) for t in tail]), items.withColumn("part", F.lit(5))):
+    for piece in (terms, section(4, [F.lit(t) for t in tail]), items.withColumn("part", F.lit(5))):
         out = out.unionByName(piece.select(*columns))
     return out
 

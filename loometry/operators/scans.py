@@ -51,7 +51,9 @@ def scan(
     before, after = before or {}, after or {}
     keys, order = list(keys), list(order)
     df = df.withColumn("_chunk", chunk)
-    position = F.struct(*order)
+    # A single order column and plain values keep the totals in the hash
+    # aggregation; structs would make Spark sort for them.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     # Totals of each chunk: partial aggregation, so a hot chunk is combined
     # before it is shuffled.
@@ -63,13 +65,11 @@ def scan(
     for name, value in sums.items():
         totals[f"_s_{name}"] = F.sum(value)
     for name, value in last.items():
-        totals[f"_l_{name}"] = F.max_by(
-            F.struct(value.alias("v")), F.when(value.isNotNull(), position)
-        )
+        totals[f"_l_{name}"] = F.max_by(value, F.when(value.isNotNull(), position))
     for name, value in before.items():
-        totals[f"_b_{name}"] = F.max_by(F.struct(value.alias("v")), position)
+        totals[f"_b_{name}"] = F.max_by(value, position)
     for name, value in after.items():
-        totals[f"_a_{name}"] = F.min_by(F.struct(value.alias("v")), position)
+        totals[f"_a_{name}"] = F.min_by(value, position)
     summary = df.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in totals.items()])
 
     ordered = Window.partitionBy(*keys).orderBy("_chunk")
@@ -103,10 +103,15 @@ def scan(
         local[f"_ls_{name}"] = F.sum(value).over(upto)
     for name, value in last.items():
         local[f"_ll_{name}"] = F.last(value, ignorenulls=True).over(upto)
+    # Whether a chunk has a row before (after) this one, as its value may be null.
+    if before:
+        local["_lb"] = F.lag(F.lit(True)).over(inside)
+    if after:
+        local["_la"] = F.lead(F.lit(True)).over(inside)
     for name, value in before.items():
-        local[f"_lb_{name}"] = F.lag(F.struct(value.alias("v"))).over(inside)
+        local[f"_lb_{name}"] = F.lag(value).over(inside)
     for name, value in after.items():
-        local[f"_la_{name}"] = F.lead(F.struct(value.alias("v"))).over(inside)
+        local[f"_la_{name}"] = F.lead(value).over(inside)
     rows = df.select("*", *[c.alias(n) for n, c in local.items()])
 
     same = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
@@ -122,11 +127,11 @@ def scan(
     for name in sums:
         out.append((F.col(f"_s_{name}") + F.coalesce(f"_ls_{name}", F.lit(0))).alias(name))
     for name in last:
-        out.append(F.coalesce(f"_ll_{name}", F.col(f"_l_{name}")["v"]).alias(name))
+        out.append(F.coalesce(f"_ll_{name}", f"_l_{name}").alias(name))
     for name in before:
-        out.append(F.coalesce(f"_lb_{name}", f"_b_{name}")["v"].alias(name))
+        out.append(F.when(F.col("_lb"), F.col(f"_lb_{name}")).otherwise(F.col(f"_b_{name}")).alias(name))
     for name in after:
-        out.append(F.coalesce(f"_la_{name}", f"_a_{name}")["v"].alias(name))
+        out.append(F.when(F.col("_la"), F.col(f"_la_{name}")).otherwise(F.col(f"_a_{name}")).alias(name))
     return joined.select(*out)
 
 

@@ -18,27 +18,25 @@ def asof_last(
     """As-of join: add to each left row the ``value`` of the latest right row of
     its key at or before its time (before it, when ``strict``).
 
-    Times are integers. Both sides are put in one ordered stream and the value
-    is carried forward, so the work is linear: no pairs are formed. Chunks of
-    ``chunk_width`` time units let a hot key run in many tasks. Right rows
-    should be unique per key and time.
+    Times are integers below 2^62. Both sides are put in one ordered stream and
+    the value is carried forward, so the work is linear: no pairs are formed.
+    Chunks of ``chunk_width`` time units let a hot key run in many tasks. Right
+    rows should be unique per key and time, and ``value`` never null (wrap it in
+    a struct where it may be).
     """
     rest = [c for c in left.columns if c not in keys]
-    side = 0 if not strict else 1
+    # One integer orders the stream: the time, then the side that comes first.
+    late = 0 if strict else 1
     a = left.select(
-        *keys, F.col(left_time).cast("long").alias("_t"), F.lit(1 - side).alias("_side"),
-        F.struct(*rest).alias("_row"), F.lit(None).alias("_v"),
+        *keys, (F.col(left_time).cast("long") * 2 + late).alias("_at"), F.struct(*rest).alias("_row"),
+        F.lit(None).alias("_v"),
     )
     b = right.select(
-        *keys, F.col(right_time).cast("long").alias("_t"), F.lit(side).alias("_side"),
-        F.lit(None).alias("_row"), F.struct(value.alias("v")).alias("_v"),
-    )
-    both = a.unionByName(b)
-    chunk = F.expr(f"_t div {chunk_width}")
-    out = scan(both, keys, ["_t", "_side"], chunk, last={"_found": F.col("_v")})
-    return out.filter(F.col("_row").isNotNull()).select(
-        *keys, *[F.col("_row")[c].alias(c) for c in rest], F.col("_found")["v"].alias(name)
+        *keys, (F.col(right_time).cast("long") * 2 + 1 - late).alias("_at"), F.lit(None).alias("_row"),
+        value.alias("_v"),
     )
+    out = scan(a.unionByName(b), keys, ["_at"], F.expr(f"_at div {2 * chunk_width}"), last={name: F.col("_v")})
+    return out.filter(F.col("_row").isNotNull()).select(*keys, *[F.col("_row")[c].alias(c) for c in rest], name)
 
 
 def clip_gaps(
