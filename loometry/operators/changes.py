@@ -119,7 +119,7 @@ def create_tags(
         "pos", "workspace_id", "name", tag_colour(before).alias("color"),
         F.lit(user_id).cast("long").alias("user_id"), now.alias("updated_at"),
     )
-    return consecutive_ids(ready, "pos", max_id(tags) + 1, rows=rows).drop("pos")
+    return consecutive_ids(ready, "pos", max_id(tags) + 1).drop("pos")
 
 
 def assign_tags(
@@ -152,13 +152,13 @@ def assign_tags(
 
 def copies(
     items: DataFrame, keys: DataFrame, first_id: int, workspace_id: int, user_id: int, now: Column,
-    user_email: str | None = None, key: str = "id", rows: int = CHUNK_ROWS,
+    user_email: str | None = None, key: str = "id",
 ) -> DataFrame:
     """Copies of the listed rows for a workspace: new ids, new owner, fresh
     timestamps, not deleted."""
     listed = keys.select(key).distinct()
     picked = items.filter(F.col("deleted_at").isNull()).join(listed, key, "left_semi").withColumnRenamed(key, "_old")
-    numbered = consecutive_ids(picked, "_old", first_id, name=key, rows=rows)
+    numbered = consecutive_ids(picked, "_old", first_id, name=key)
     overrides = {
         "workspace_id": F.lit(workspace_id).cast("long"), "user_id": F.lit(user_id).cast("long"),
         "user_email": F.lit(user_email), "created_at": now, "updated_at": now,

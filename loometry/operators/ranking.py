@@ -8,19 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loometry.operators.scans import one_row, scan
-
-
-def value_chunk(df: DataFrame, value: str, chunks: int = 4096) -> Column:
-    """Chunk of a numeric column: equal-width steps over its range. The range is
-    two numbers, read from one aggregate."""
-    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
-    width = ((high - low) / chunks) if low is not None and high > low else 1.0
-    return F.floor((F.col(value).cast("double") - F.lit(low or 0.0)) / F.lit(width))
+from loometry.operators.scans import one_row, scan, with_value_chunk
 
 
 def ranked(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, *, tiles: int | None = None, chunk: Column | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, tie: str, *, tiles: int | None = None, chunks: int = 1024,
 ) -> DataFrame:
     """row_number, rank, dense_rank, previous and next value, running sum (and
     ntile) by ``value`` then ``tie`` within each key, all ascending.
@@ -28,15 +20,13 @@ def ranked(
     Equal values share one chunk. ``rank`` and ``dense_rank`` come from the
     distinct values, which are counted before they are ordered.
     """
-    chunk = value_chunk(df, value) if chunk is None else chunk
     rows = scan(
-        df, keys, [value, tie], chunk, number="row_number", sums={"running_sum": F.col(value)},
-        before={"previous": F.col(value)}, after={"following": F.col(value)},
+        with_value_chunk(df, value, chunks=chunks), keys, [value, tie], F.col("_bucket"), number="row_number",
+        sums={"running_sum": F.col(value)}, before={"previous": F.col(value)}, after={"following": F.col(value)},
     )
-    values = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    places = scan(values, keys, [value], chunk, number="dense_rank", sums={"_upto": F.col("_c")})
-    places = places.select(*keys, value, "dense_rank", (F.col("_upto") - F.col("_c") + 1).alias("rank"))
-    out = rows.join(places, [*keys, value])
+    values = rows.groupBy(*keys, "_bucket", value).agg(F.min("row_number").alias("rank"))
+    places = scan(values, keys, [value], F.col("_bucket"), number="dense_rank")
+    out = rows.join(places, [*keys, "_bucket", value]).drop("_bucket")
     if tiles:
         totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
         out = out.join(totals, list(keys)).withColumn("ntile", ntile(F.col("row_number"), F.col("_all"), tiles)).drop("_all")
@@ -54,7 +44,7 @@ def ntile(number: Column, total: Column, tiles: int) -> Column:
 
 
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], chunk: Column | None = None
+    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], chunks: int = 1024
 ) -> DataFrame:
     """Continuous quantiles (linear interpolation), exact.
 
@@ -63,9 +53,9 @@ def exact_quantile(
     column ``q_<share>`` per share.
     """
     some = df.filter(F.col(value).isNotNull())
-    chunk = value_chunk(some, value) if chunk is None else chunk
     counts = some.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    upto = scan(counts, keys, [value], chunk, sums={"_upto": F.col("_c")})
+    bucketed = with_value_chunk(counts, value, sample=some, chunks=chunks)
+    upto = scan(bucketed, keys, [value], F.col("_bucket"), sums={"_upto": F.col("_c")})
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     placed = upto.join(totals, list(keys)) if keys else upto.join(F.broadcast(totals))
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1  # 0-based ranks of the value

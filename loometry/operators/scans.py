@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,14 +79,19 @@ def scan(
     for name in totals:
         kind = name[:3]
         if kind in ("_n", "_c_", "_s_"):
-            carried.append(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name))
+            carried.append(F.sum(name).over(earlier).alias(name))
         elif kind == "_l_":
             carried.append(F.last(name, ignorenulls=True).over(earlier).alias(name))
         elif kind == "_b_":
             carried.append(F.lag(name).over(ordered).alias(name))
         else:
             carried.append(F.lead(name).over(ordered).alias(name))
-    carry = summary.select(*keys, "_chunk", *carried)
+    # Keys of a single chunk, the usual case, have nothing to carry: with them
+    # gone the carry is empty or small and joins without a shuffle.
+    neighbours = F.lag(F.lit(True)).over(ordered).isNotNull()
+    if after:
+        neighbours = neighbours | F.lead(F.lit(True)).over(ordered).isNotNull()
+    carry = summary.select(*keys, "_chunk", *carried, neighbours.alias("_near")).filter("_near")
     carry = carry.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_chunk").alias("_k_chunk"),
@@ -121,11 +127,11 @@ def scan(
 
     out = [F.col(c) for c in df.columns if c != "_chunk"]
     if number:
-        out.append((F.col("_n") + F.col("_ln")).alias(number))
+        out.append((F.coalesce("_n", F.lit(0)) + F.col("_ln")).alias(number))
     for name in counts:
-        out.append((F.col(f"_c_{name}") + F.col(f"_lc_{name}")).alias(name))
+        out.append((F.coalesce(f"_c_{name}", F.lit(0)) + F.col(f"_lc_{name}")).alias(name))
     for name in sums:
-        out.append((F.col(f"_s_{name}") + F.coalesce(f"_ls_{name}", F.lit(0))).alias(name))
+        out.append((F.coalesce(f"_s_{name}", F.lit(0)) + F.coalesce(f"_ls_{name}", F.lit(0))).alias(name))
     for name in last:
         out.append(F.coalesce(f"_ll_{name}", f"_l_{name}").alias(name))
     for name in before:
@@ -158,9 +164,28 @@ def one_row(
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def consecutive_ids(
-    df: DataFrame, order: str, start: int, name: str = "id", rows: int = CHUNK_ROWS
-) -> DataFrame:
+def with_value_chunk(df: DataFrame, value: str, sample: DataFrame | None = None, chunks: int = 1024) -> DataFrame:
+    """Add ``_bucket``, a chunk number along a numeric column.
+
+    The borders are approximate quantiles, so chunks hold about as many rows
+    each, whatever the values look like; a key with a third of the rows spans
+    about a third of them. They are read once, as at most ``chunks`` numbers,
+    and are constants of the plan from then on. Equal values share a chunk.
+    """
+    shares = [i / chunks for i in range(1, chunks)]
+    found = (df if sample is None else sample).agg(
+        F.percentile_approx(F.col(value).cast("double"), shares, 10 * chunks)
+    ).first()[0]
+    borders = sorted({b for b in found or [] if b == b and abs(b) != float("inf")})
+    bucketizer = Bucketizer(
+        splits=[float("-inf"), *(borders or [0.0]), float("inf")], inputCol="_value", outputCol="_bucket",
+        handleInvalid="keep",
+    )
+    return bucketizer.transform(df.withColumn("_value", F.col(value).cast("double"))).drop("_value")
+
+
+def consecutive_ids(df: DataFrame, order: str, start: int, name: str = "id", chunks: int = 1024) -> DataFrame:
     """New ids ``start, start+1, ...`` in the order of a unique integer column."""
-    numbered = scan(df, [], [order], chunk_of(order, rows), number="_number")
-    return numbered.withColumn(name, F.lit(start) + F.col("_number") - 1).drop("_number")
+    bucketed = with_value_chunk(df, order, chunks=chunks)
+    numbered = scan(bucketed, [], [order], F.col("_bucket"), number="_number")
+    return numbered.withColumn(name, F.lit(start) + F.col("_number") - 1).drop("_number", "_bucket")

@@ -159,7 +159,7 @@ SELECT (SELECT max(id) FROM media_items) + row_number() OVER (ORDER BY id) AS id
 FROM media_items WHERE deleted_at IS NULL AND id IN {KEYS.format(6)}
 """)
 def m9(m):
-    out = ch.copies(m.media_items, keys(m, 6), ch.max_id(m.media_items) + 1, 9, 11, now(), "me@example.com", rows=ROWS)
+    out = ch.copies(m.media_items, keys(m, 6), ch.max_id(m.media_items) + 1, 9, 11, now(), "me@example.com")
     return out.select("id", "workspace_id", "user_id", "user_email", "prompt", stamp("created_at"), stamp("deleted_at"))
 
 
