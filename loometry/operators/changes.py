@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loometry import fixed
 from loometry.operators.scans import CHUNK_ROWS, chunk_of, consecutive_ids, one_row, scan
+from loometry.session import cut_lineage
 
 
 def _marked(table: DataFrame, keys: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -132,7 +133,9 @@ def assign_tags(
     pos). Returns the next tag table and the next link table. Tags that were
     assigned count as just used.
     """
-    added = create_tags(tags, wanted, user_id, now)
+    # Written once: both returned tables use the new ids, and assigning them is
+    # not to be repeated.
+    added = cut_lineage(create_tags(tags, wanted, user_id, now), "tags")
     every = tags.unionByName(added.select(*tags.columns))
     # A name that exists more than once in a workspace resolves to its oldest tag.
     ids = (

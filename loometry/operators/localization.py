@@ -214,8 +214,8 @@ def glossary_summary(terms: DataFrame, n: int = fixed.GLOSSARY_SAMPLES) -> DataF
     samples = glossary_samples(terms, n).groupBy(F.col("language").alias("market")).agg(
         F.array_sort(F.collect_list(F.struct("rank", "source", "target"))).alias("samples")
     )
-    total = counts.agg(F.sum("count").alias("total"))
-    return counts.join(samples, "market", "left").join(F.broadcast(total))
+    total = terms.agg(F.count(F.lit(1))).scalar()
+    return counts.join(samples, "market", "left").withColumn("total", total)
 
 
 def glossary_samples(terms: DataFrame, n: int = fixed.GLOSSARY_SAMPLES) -> DataFrame:

@@ -56,8 +56,10 @@ def exact_quantile(
     counts = some.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     bucketed = with_value_chunk(counts, value, sample=some, chunks=chunks)
     upto = scan(bucketed, keys, [value], F.col("_bucket"), sums={"_upto": F.col("_c")})
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = upto.join(totals, list(keys)) if keys else upto.join(F.broadcast(totals))
+    if keys:
+        placed = upto.join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), list(keys))
+    else:
+        placed = upto.withColumn("_n", counts.agg(F.sum("_c")).scalar())
     first, last = F.col("_upto") - F.col("_c"), F.col("_upto") - 1  # 0-based ranks of the value
 
     def pick(rank: Column) -> Column:

@@ -23,26 +23,20 @@ def overview(
     """One row of totals. Users and workspaces count up to the end day only."""
     created = F.col("created_at")
     n = F.count(F.lit(1))
-    parts = [
-        users.filter(not_deleted() & day_range(created, None, end)).agg(n.alias("total_users")),
-        workspaces.filter(day_range(created, None, end)).agg(n.alias("total_workspaces")),
-        source_assets.filter(not_deleted() & day_range(created, start, end)).agg(n.alias("user_uploaded_media")),
-        _media(media_items, start, end).agg(*class_sums()),
-    ]
-    # Every part is a global aggregate of exactly one row.
-    row = parts[0]
-    for part in parts[1:]:
-        row = row.join(F.broadcast(part))
+    n_users = users.filter(not_deleted() & day_range(created, None, end)).agg(n).scalar()
+    n_workspaces = workspaces.filter(day_range(created, None, end)).agg(n).scalar()
+    n_uploads = source_assets.filter(not_deleted() & day_range(created, start, end)).agg(n).scalar()
+    media = _media(media_items, start, end).agg(*class_sums())
     total = F.col("images") + F.col("videos") + F.col("audios")
-    return row.select(
-        "total_users", "total_workspaces",
+    return media.select(
+        n_users.alias("total_users"),
+        n_workspaces.alias("total_workspaces"),
         F.col("images").alias("images_generated"),
         F.col("videos").alias("videos_generated"),
         F.col("audios").alias("audios_generated"),
         total.alias("total_media"),
-        "user_uploaded_media",
-        (total + F.col("user_uploaded_media")).alias("overall_total_media"),
-    )
+        n_uploads.alias("user_uploaded_media"),
+    ).withColumn("overall_total_media", F.col("total_media") + F.col("user_uploaded_media"))
 
 
 def media_per_day(media_items: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from loometry.operators.paging import page_rows
 from loometry.plans.bindings import MARKETS_SQL
 from loometry.plans.media import TS, flat
 from loometry.plans.registry import query
+from loometry.session import cut_lineage
 
 # Chunks far smaller than the default, so that the carry between chunks is part
 # of what is compared.
@@ -79,6 +80,11 @@ def w2(m):
     return loc.sheet_requests(m.copy_grid, rows=1 << 22).filter("not is_marker").select("sheet", "row_idx", "block")
 
 
+def request_rows(m):
+    """Rows with their request, written once: several operators read them."""
+    return cut_lineage(loc.sheet_requests(m.copy_grid, rows=1 << 22), "requests")
+
+
 @query("w3_request_metadata", f"""
 WITH {COPY_ROWS}, vals AS (SELECT sheet, request_index, row_idx, lower(a) AS k, CASE WHEN en <> '' THEN en ELSE b END AS v FROM requests WHERE is_meta)
 SELECT r.sheet, r.request_index, r.a AS request_label,
@@ -88,13 +94,13 @@ SELECT r.sheet, r.request_index, r.a AS request_label,
 FROM requests r WHERE is_marker
 """)
 def w3(m):
-    rows = loc.sheet_requests(m.copy_grid, rows=1 << 22)
+    rows = request_rows(m)
     return loc.request_metadata(rows, m.copy_grid).select("sheet", "request_index", "request_label", "email", "due", "name")
 
 
 @query("s13_segments_from_grid", f"WITH {COPY_ROWS} SELECT * FROM segs")
 def s13(m):
-    rows = loc.sheet_requests(m.copy_grid, rows=1 << 22)
+    rows = request_rows(m)
     out = loc.request_segments(rows, m.copy_grid, chunk_rows=4)
     return out.withColumn("char_limit", F.coalesce(F.col("char_limit").cast("long"), F.lit(-1)))
 
@@ -105,7 +111,7 @@ WITH {COPY_ROWS} SELECT r.sheet, r.request_index, r.a AS label,
 FROM requests r WHERE is_marker
 """)
 def a12(m):
-    rows = loc.sheet_requests(m.copy_grid, rows=1 << 22)
+    rows = request_rows(m)
     return loc.filled_segments(rows, loc.request_segments(rows, m.copy_grid))
 
 
