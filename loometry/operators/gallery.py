@@ -13,7 +13,7 @@ from loometry.functions.media import (
     extension_from_mime, extension_from_uri, mime_matches, moment_range, not_deleted,
 )
 from loometry.functions.text import any_contains_ci, contains_ci
-from loometry.operators.paging import Page, page, page_rows
+from loometry.operators.paging import DEEP, Page, deep_page_rows, page, page_rows
 
 METADATA_FIELDS = [
     "model", "prompt", "original_prompt", "negative_prompt", "aspect_ratio", "mime_type", "style",
@@ -164,12 +164,19 @@ def with_all_tags(
     return items.join(hits, cond, "left_semi")
 
 
+def newest_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
+    if offset + limit > DEEP:
+        return deep_page_rows(found, F.unix_micros("created_at"), newest_first(), limit, offset)
+    return page_rows(found, newest_first(), limit, offset)
+
+
 def search_rows(
     base: DataFrame, search: Search, links: DataFrame, tags: DataFrame, workspaces: DataFrame, users: DataFrame
 ) -> DataFrame:
     """One page, enriched. Filters and the top-k run on the bare rows; only the
     rows of the page meet the tag, workspace and user tables."""
-    rows = page_rows(filter_gallery(base, search, links, tags, users), newest_first(), search.limit, search.offset)
+    found = filter_gallery(base, search, links, tags, users)
+    rows = newest_page(found, search.limit, search.offset)
     # The page is at most MAX_PAGE_SIZE rows, so its keys are safe to broadcast.
     keys = F.broadcast(rows.select(F.col("id").alias("_pid"), F.col("item_type").alias("_ptype")))
     mine = links.join(

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from loometry import fixed
+from loometry.operators.scans import with_value_chunk
 
 
 @dataclass
@@ -37,3 +39,40 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
         page_size=limit,
         total_pages=-(-total // limit),
     )
+
+
+# Beyond this many rows a page is no longer cut from a top-k.
+DEEP = 10_000
+
+
+def deep_page_rows(
+    df: DataFrame, along: Column, order: Sequence[Column], limit: int, offset: int, *, deep: int = DEEP, chunks: int = 1024
+) -> DataFrame:
+    """The same rows as ``page_rows`` for any offset.
+
+    ``along`` is the numeric value that ``order`` sorts by first, descending
+    with nulls first. Rows are counted per quantile chunk of it (at most
+    ``chunks`` numbers reach the driver), chunks before the page are skipped
+    whole, and only the chunks of the page are ordered. Repeated while that
+    still leaves a deep offset and the chunks still divide.
+    """
+    limit = min(limit, fixed.MAX_PAGE_SIZE)
+    while offset + limit > deep:
+        bucketed = with_value_chunk(df.withColumn("_along", along), "_along", chunks=chunks).withColumn(
+            "_place", F.when(F.col("_along").isNull(), F.lit(float("inf"))).otherwise(F.col("_bucket"))
+        )
+        counts = sorted(
+            ((r["_place"], r["n"]) for r in bucketed.groupBy("_place").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True
+        )
+        before, wanted, skipped = 0, [], 0
+        for place, n in counts:
+            if before + n <= offset:
+                skipped += n
+            elif before < offset + limit:
+                wanted.append(place)
+            before += n
+        rest = bucketed.filter(F.col("_place").isin(wanted)).drop("_along", "_bucket", "_place") if wanted else df.limit(0)
+        if not skipped and len(wanted) == len(counts):
+            break  # one chunk of equal values: nothing left to divide
+        df, offset = rest, offset - skipped
+    return df.orderBy(*order).offset(offset).limit(limit)

@@ -51,7 +51,12 @@ def scan(
     counts, sums, last = counts or {}, sums or {}, last or {}
     before, after = before or {}, after or {}
     keys, order = list(keys), list(order)
-    df = df.withColumn("_chunk", chunk)
+    columns = df.columns
+    # One struct names key and chunk everywhere below. As a struct it is never
+    # null, so null keys group and join like any other; and since no plain key
+    # column is grouped on, Spark can not settle for an existing partitioning by
+    # the key alone, which would bring a hot key back into one task.
+    df = df.withColumn("_g", F.struct(*keys, chunk.alias("_chunk")))
     # A single order column and plain values keep the totals in the hash
     # aggregation; structs would make Spark sort for them.
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -71,7 +76,7 @@ def scan(
         totals[f"_b_{name}"] = F.max_by(value, position)
     for name, value in after.items():
         totals[f"_a_{name}"] = F.min_by(value, position)
-    summary = df.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in totals.items()])
+    summary = df.groupBy("_g").agg(*[c.alias(n) for n, c in totals.items()]).select("_g", "_g.*", *totals)
 
     ordered = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -91,14 +96,11 @@ def scan(
     neighbours = F.lag(F.lit(True)).over(ordered).isNotNull()
     if after:
         neighbours = neighbours | F.lead(F.lit(True)).over(ordered).isNotNull()
-    carry = summary.select(*keys, "_chunk", *carried, neighbours.alias("_near")).filter("_near")
-    carry = carry.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_chunk").alias("_k_chunk"),
-        *totals,
-    )
+    carry = summary.select(F.col("_g").alias("_h"), *carried, neighbours.alias("_near")).filter("_near").drop("_near")
 
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    # The one shuffle of the rows: window and join both use it.
+    df = df.repartition("_g")
+    inside = Window.partitionBy("_g").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {}
     if number:
@@ -120,12 +122,9 @@ def scan(
         local[f"_la_{name}"] = F.lead(value).over(inside)
     rows = df.select("*", *[c.alias(n) for n, c in local.items()])
 
-    same = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    joined = rows.join(carry, same, "left")
+    joined = rows.join(carry, F.col("_g") == F.col("_h"), "left")
 
-    out = [F.col(c) for c in df.columns if c != "_chunk"]
+    out = [F.col(c) for c in columns]
     if number:
         out.append((F.coalesce("_n", F.lit(0)) + F.col("_ln")).alias(number))
     for name in counts:

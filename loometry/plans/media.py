@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loometry.functions.media import asset_type_from_filename, mime_matches, moment_range, nearest_ratio, not_deleted, time_bucket
 from loometry.functions.text import any_contains_ci
 from loometry.operators import gallery as g
-from loometry.operators.paging import page_rows
+from loometry.operators.paging import deep_page_rows, page_rows
 from loometry.operators.lineage import enrich_asset_links, parent_links
 from loometry.plans.registry import query
 
@@ -353,3 +353,13 @@ def w17(m):
     found = base(m).filter(not_deleted())
     bucket = time_bucket(F.col("created_at"), F.lit("1998-03-04").cast("timestamp"))
     return found.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("items"))
+
+
+@query("l1_deep_page", f"""
+WITH {UNIFIED} SELECT id, item_type, {TS.format('created_at')} AS created_at FROM unified WHERE deleted_at IS NULL
+ORDER BY unified.created_at DESC NULLS FIRST, id DESC, item_type LIMIT 100 OFFSET (SELECT count(*) // 2 FROM unified WHERE deleted_at IS NULL)
+""")
+def l1_deep(m):
+    found = g.filter_gallery(base(m), g.Search())
+    rows = deep_page_rows(found, F.unix_micros("created_at"), g.newest_first(), 100, found.count() // 2, deep=1000)
+    return flat(rows, "id", "item_type", "created_at")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loometry.functions import media as md
 from loometry.operators import gallery as g
 from loometry.operators import reports
-from loometry.operators.paging import page
+from loometry.operators.paging import deep_page_rows, page, page_rows
 
 
 def test_month_spine(spark):
@@ -103,6 +103,14 @@ def test_paging(spark):
     assert [r["id"] for r in found.data.collect()] == [4, 3, 2, 1, 0]
 
 
+@pytest.mark.parametrize("offset", [0, 7, 480, 995, 1500, 2995, 3500])
+def test_deep_page_equals_page(spark, offset):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.hash("id") % 50).alias("v"))
+    order = [F.col("v").desc_nulls_first(), F.col("id").desc()]
+    got = deep_page_rows(df, F.col("v"), order, 10, offset, deep=20, chunks=16)
+    assert got.collect() == page_rows(df, order, 10, offset).collect()
+
+
 def test_reports_null_arrays_and_roles(spark, tables):
     items, assets = tables
     users = spark.createDataFrame([

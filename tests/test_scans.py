@@ -124,3 +124,15 @@ def test_clip_gaps(spark):
     ).withColumn("start_us", (F.col("start_time") * 1e6).cast("long"))
     got = {r["clip_id"]: round(r["gap"], 6) for r in clip_gaps(clips, chunk_width=1_000_000).collect()}
     assert got == {1: 2.0, 3: 0.5, 5: 0.5}
+
+
+def test_hot_key_is_spread_even_if_partitioned_by_key(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = spark.range(4000).select(F.lit("hot").alias("k"), "id").repartition(8, "k")
+        out = scan(hot, ["k"], ["id"], chunk_of("id", 100), number="n")
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        assert out.filter("n <> id + 1").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
