@@ -97,7 +97,7 @@ def resolve_inputs(inputs: DataFrame, outputs: DataFrame, entries: DataFrame) ->
     ran = entries.select("run_id", "step_id", F.col("entry_pos").alias("at"))
     found = asof_last(
         asked, ran, keys=["run_id", "step_id"], left_time="entry_pos", right_time="at",
-        value=F.col("at"), name="source_pos", chunk_width=1 << 40, strict=True,
+        value=F.col("at"), name="source_pos", strict=True,
     )
     found = found.select("run_id", F.col("step_id").alias("ref_step"), "entry_pos", "source_pos")
     values = outputs.select(
@@ -128,6 +128,7 @@ def media_of_runs(values: DataFrame, outputs: DataFrame) -> DataFrame:
         "run_id", F.col("step_id").alias("ref_step"), F.col("output").alias("ref_output"),
         F.col("value").alias("_next"),
     )
+    final = cut_lineage(final, "results")
     todo, found, followed = values.select("run_id", "value"), None, None
     while True:
         # Parsed once and written: ids, list items and references are then read

@@ -12,7 +12,7 @@ from loometry.operators.scans import one_row, scan, with_value_chunk
 
 
 def ranked(
-    df: DataFrame, keys: Sequence[str], value: str, tie: str, *, tiles: int | None = None, chunks: int = 1024,
+    df: DataFrame, keys: Sequence[str], value: str, tie: str, *, tiles: int | None = None, chunks: int | None = None,
 ) -> DataFrame:
     """row_number, rank, dense_rank, previous and next value, running sum (and
     ntile) by ``value`` then ``tie`` within each key, all ascending.
@@ -44,7 +44,7 @@ def ntile(number: Column, total: Column, tiles: int) -> Column:
 
 
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], chunks: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], chunks: int | None = None
 ) -> DataFrame:
     """Continuous quantiles (linear interpolation), exact.
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 1 << 20
+MAX_CHUNKS = 1 << 14
 
 
 def chunk_of(index: str, rows: int = CHUNK_ROWS) -> Column:
@@ -163,18 +164,25 @@ def one_row(
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def with_value_chunk(df: DataFrame, value: str, sample: DataFrame | None = None, chunks: int = 1024) -> DataFrame:
+def with_value_chunk(
+    df: DataFrame, value: str, sample: DataFrame | None = None, chunks: int | None = None
+) -> DataFrame:
     """Add ``_bucket``, a chunk number along a numeric column.
 
-    The borders are approximate quantiles, so chunks hold about as many rows
-    each, whatever the values look like; a key with a third of the rows spans
-    about a third of them. They are read once, as at most ``chunks`` numbers,
-    and are constants of the plan from then on. Equal values share a chunk.
+    The number of chunks follows from the number of rows (``sample``, by default
+    ``df`` itself, is counted), up to ``MAX_CHUNKS``. Their borders are
+    approximate quantiles, so they hold about as many rows each, whatever the
+    values look like; a key with a third of the rows spans about a third of
+    them. Borders are read once and are constants of the plan from then on.
+    Equal values share a chunk.
     """
+    counted = df if sample is None else sample
+    if chunks is None:
+        chunks = min(MAX_CHUNKS, -(-counted.count() // CHUNK_ROWS))
+    if chunks <= 1:
+        return df.withColumn("_bucket", F.lit(0.0))
     shares = [i / chunks for i in range(1, chunks)]
-    found = (df if sample is None else sample).agg(
-        F.percentile_approx(F.col(value).cast("double"), shares, 10 * chunks)
-    ).first()[0]
+    found = counted.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10 * chunks)).first()[0]
     borders = sorted({b for b in found or [] if b == b and abs(b) != float("inf")})
     bucketizer = Bucketizer(
         splits=[float("-inf"), *(borders or [0.0]), float("inf")], inputCol="_value", outputCol="_bucket",
@@ -183,7 +191,7 @@ def with_value_chunk(df: DataFrame, value: str, sample: DataFrame | None = None,
     return bucketizer.transform(df.withColumn("_value", F.col(value).cast("double"))).drop("_value")
 
 
-def consecutive_ids(df: DataFrame, order: str, start: int, name: str = "id", chunks: int = 1024) -> DataFrame:
+def consecutive_ids(df: DataFrame, order: str, start: int, name: str = "id", chunks: int | None = None) -> DataFrame:
     """New ids ``start, start+1, ...`` in the order of a unique integer column."""
     bucketed = with_value_chunk(df, order, chunks=chunks)
     numbered = scan(bucketed, [], [order], F.col("_bucket"), number="_number")

@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loometry import fixed
-from loometry.operators.scans import scan
+from loometry.operators.scans import scan, with_value_chunk
 
 
 def asof_last(
     left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_time: str, right_time: str,
-    value: Column, name: str, chunk_width: int, strict: bool = False,
+    value: Column, name: str, strict: bool = False, chunks: int | None = None,
 ) -> DataFrame:
     """As-of join: add to each left row the ``value`` of the latest right row of
     its key at or before its time (before it, when ``strict``).
 
     Times are integers below 2^62. Both sides are put in one ordered stream and
     the value is carried forward, so the work is linear: no pairs are formed.
-    Chunks of ``chunk_width`` time units let a hot key run in many tasks. Right
-    rows should be unique per key and time, and ``value`` never null (wrap it in
-    a struct where it may be).
+    Chunks along the time let a hot key run in many tasks. Right rows should be
+    unique per key and time, and ``value`` never null (wrap it in a struct where
+    it may be).
     """
     rest = [c for c in left.columns if c not in keys]
     # One integer orders the stream: the time, then the side that comes first.
@@ -35,18 +35,19 @@ def asof_last(
         *keys, (F.col(right_time).cast("long") * 2 + 1 - late).alias("_at"), F.lit(None).alias("_row"),
         value.alias("_v"),
     )
-    out = scan(a.unionByName(b), keys, ["_at"], F.expr(f"_at div {2 * chunk_width}"), last={name: F.col("_v")})
+    both = with_value_chunk(a.unionByName(b), "_at", chunks=chunks)
+    out = scan(both, keys, ["_at"], F.col("_bucket"), last={name: F.col("_v")})
     return out.filter(F.col("_row").isNotNull()).select(*keys, *[F.col("_row")[c].alias(c) for c in rest], name)
 
 
 def clip_gaps(
     clips: DataFrame, track: str = "track_index", order: Sequence[str] = ("start_us", "clip_id"),
-    chunk_width: int = 86_400_000_000,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Silence before a clip: its start minus the end of the clip before it on
     the track (not the furthest end so far); the first clip compares with 0."""
     end = F.col("start_time") + F.col("duration")
-    chunk = F.expr(f"{order[0]} div {chunk_width}")
-    linked = scan(clips, [track], list(order), chunk, before={"_end": end})
+    placed = with_value_chunk(clips, order[0], chunks=chunks)
+    linked = scan(placed, [track], list(order), F.col("_bucket"), before={"_end": end}).drop("_bucket")
     gap = F.col("start_time") - F.coalesce("_end", F.lit(0.0))
     return linked.withColumn("gap", gap).filter(F.col("gap") > fixed.CLIP_GAP_TOLERANCE).drop("_end")

@@ -15,9 +15,9 @@ from loometry.plans.media import TS, flat
 from loometry.plans.registry import query
 from loometry.session import cut_lineage
 
-# Chunks far smaller than the default, so that the carry between chunks is part
-# of what is compared.
-ROWS = 64
+# The copy sheets number their rows with wide gaps (see ``copy_grid``), so a chunk
+# spans more row numbers than the default.
+SPARSE_ROWS = 1 << 36
 NOW = "2024-02-10 12:00:00"
 ALL_MARKETS = ", ".join(f"'{m}'" for m in fixed.MARKETS)
 STRIP = "trim({0}, E' \\t\\n\\r')"
@@ -72,17 +72,17 @@ segs AS (SELECT sheet, request_index, row_number() OVER (PARTITION BY sheet, req
 
 @query("w1_request_sessions", f"WITH {COPY_ROWS} SELECT sheet, row_idx, request_index FROM requests")
 def w1(m):
-    return loc.sheet_requests(m.copy_grid, rows=1 << 22).select("sheet", "row_idx", "request_index")
+    return loc.sheet_requests(m.copy_grid, rows=SPARSE_ROWS).select("sheet", "row_idx", "request_index")
 
 
 @query("w2_forward_fill_block", f"WITH {COPY_ROWS} SELECT sheet, row_idx, block FROM requests WHERE NOT is_marker")
 def w2(m):
-    return loc.sheet_requests(m.copy_grid, rows=1 << 22).filter("not is_marker").select("sheet", "row_idx", "block")
+    return loc.sheet_requests(m.copy_grid, rows=SPARSE_ROWS).filter("not is_marker").select("sheet", "row_idx", "block")
 
 
 def request_rows(m):
     """Rows with their request, written once: several operators read them."""
-    return cut_lineage(loc.sheet_requests(m.copy_grid, rows=1 << 22), "requests")
+    return cut_lineage(loc.sheet_requests(m.copy_grid, rows=SPARSE_ROWS), "requests")
 
 
 @query("w3_request_metadata", f"""
@@ -101,7 +101,7 @@ def w3(m):
 @query("s13_segments_from_grid", f"WITH {COPY_ROWS} SELECT * FROM segs")
 def s13(m):
     rows = request_rows(m)
-    out = loc.request_segments(rows, m.copy_grid, chunk_rows=4)
+    out = loc.request_segments(rows, m.copy_grid, chunk_rows=SPARSE_ROWS)
     return out.withColumn("char_limit", F.coalesce(F.col("char_limit").cast("long"), F.lit(-1)))
 
 
@@ -112,7 +112,7 @@ FROM requests r WHERE is_marker
 """)
 def a12(m):
     rows = request_rows(m)
-    return loc.filled_segments(rows, loc.request_segments(rows, m.copy_grid))
+    return loc.filled_segments(rows, loc.request_segments(rows, m.copy_grid, chunk_rows=SPARSE_ROWS))
 
 
 ALIGNED = """aligned AS (SELECT s.*, k.market, coalesce(t.text, '') AS translation FROM segments s
@@ -140,7 +140,7 @@ EXPORT_MARKETS = ["UK", "NL", "FR", "DE"]
   THEN coalesce((SELECT t.text FROM translations t WHERE t.briefing_id = s.briefing_id AND t.market = '{x}' AND t.segment_index = s.segment_index), '') END AS "{x}" """
     for x in EXPORT_MARKETS) + " FROM segments s")
 def s14(m):
-    return loc.export_grid(m.segments, m.translations, EXPORT_MARKETS, rows=3)
+    return loc.export_grid(m.segments, m.translations, EXPORT_MARKETS)
 
 
 @query("w11_block_label_once", """
@@ -149,7 +149,7 @@ SELECT briefing_id, count(*) FILTER (WHERE shown <> '') AS labels, count(*) AS s
   FROM segments) GROUP BY 1
 """)
 def w11(m):
-    grid = loc.export_grid(m.segments, m.translations, [], rows=3)
+    grid = loc.export_grid(m.segments, m.translations, [])
     return grid.groupBy("briefing_id").agg(F.count_if(F.col("block") != "").alias("labels"), F.count(F.lit(1)).alias("segments"))
 
 
@@ -183,7 +183,7 @@ UNION ALL SELECT briefing_id, market, 4, 2, '' FROM k UNION ALL SELECT briefing_
 """)
 def prompts(m):
     hits = loc.relevant_terms(m.segments, m.glossary_terms, m.translations)
-    out = loc.prompt_lines(m.segments, m.translations, hits, tone="formal", rows=3)
+    out = loc.prompt_lines(m.segments, m.translations, hits, tone="formal")
     return out.withColumn("line", F.col("line").cast("long"))
 
 
@@ -199,7 +199,7 @@ def json_reply(m):
     ident = F.col("briefing_id").cast("string")
     third = F.when(F.col("briefing_id") % 2 == 0, F.lit(', "2": " third "')).otherwise(F.lit(', "2": null'))
     reply = F.concat(F.lit('```json\n{"0": "first '), ident, F.lit('"'), third, F.lit("}\n```"))
-    return loc.apply_replies(m.segments, pairs.withColumn("reply", reply), rows=3)
+    return loc.apply_replies(m.segments, pairs.withColumn("reply", reply))
 
 
 OVERVIEW = f"""counts AS (SELECT briefing_id, market, count(*) FILTER (WHERE status = 'open') AS open, count(*) FILTER (WHERE status = 'in_progress') AS in_progress,

@@ -103,7 +103,7 @@ def s4(m):
         F.concat("p_name", F.lit("!"))
     )
     cells = m.raw("part").select("p_brand", "p_partkey", cell.alias("cell"))
-    return sh.slug_counts(cells, ["p_brand"], ["p_partkey"], chunk_of("p_partkey", 100)).select("p_brand", "p_partkey", "name")
+    return sh.slug_counts(cells, ["p_brand"], ["p_partkey"], chunk_of("p_partkey")).select("p_brand", "p_partkey", "name")
 
 
 @query("text_slug", """

@@ -60,7 +60,6 @@ def q4(m):
     )
     out = asof_last(
         bought, clicks, keys=["user_id"], left_time="t", right_time="t", value=F.col("click"), name="click",
-        chunk_width=86_400_000_000,
     )
     return out.select(
         "event_id", "user_id", F.coalesce("click.event_id", F.lit(-1)).alias("click_id"),

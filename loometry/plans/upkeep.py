@@ -11,7 +11,6 @@ from loometry.plans.media import TS, flat
 from loometry.plans.registry import query
 
 NOW = "2003-01-01 00:00:00"
-ROWS = 97  # small chunks, so that the carry between them is compared too
 
 
 def now():
@@ -126,7 +125,7 @@ PALETTE = "[" + ", ".join(f"'{c}'" for c in ch.fixed.TAG_COLORS) + "]"
 
 @query("w10_tag_colours", f"WITH {WANTED} SELECT id, name, workspace_id, {PALETTE}[(before % {len(ch.fixed.TAG_COLORS)}) + 1] AS color FROM added")
 def w10(m):
-    return ch.create_tags(m.tags, wanted_tags(m), 7, now(), rows=ROWS).select("id", "name", "workspace_id", "color")
+    return ch.create_tags(m.tags, wanted_tags(m), 7, now()).select("id", "name", "workspace_id", "color")
 
 
 @query("m8_assign_tags", f"""

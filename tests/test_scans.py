@@ -103,7 +103,7 @@ def test_asof_brute_force(spark, strict):
     lf = spark.createDataFrame(left, "k string, t long")
     rf = spark.createDataFrame(right, "k string, at long, name string")
     got = asof_last(
-        lf, rf, keys=["k"], left_time="t", right_time="at", value=F.col("name"), name="found", chunk_width=7, strict=strict
+        lf, rf, keys=["k"], left_time="t", right_time="at", value=F.col("name"), name="found", strict=strict, chunks=6
     )
     for r in got.collect():
         fits = [x for x in right if x[0] == r["k"] and (x[1] < r["t"] if strict else x[1] <= r["t"])]
@@ -122,7 +122,7 @@ def test_clip_gaps(spark):
         ],
         "clip_id long, track_index long, start_time double, duration double",
     ).withColumn("start_us", (F.col("start_time") * 1e6).cast("long"))
-    got = {r["clip_id"]: round(r["gap"], 6) for r in clip_gaps(clips, chunk_width=1_000_000).collect()}
+    got = {r["clip_id"]: round(r["gap"], 6) for r in clip_gaps(clips, chunks=4).collect()}
     assert got == {1: 2.0, 3: 0.5, 5: 0.5}
 
 
