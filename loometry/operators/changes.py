@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loometry import fixed
-from loometry.operators.scans import CHUNK_ROWS, chunk_of, consecutive_ids, one_row, scan
+from loometry.operators.scans import consecutive_ids, one_row, scan, with_value_chunk
 from loometry.session import cut_lineage
 
 
@@ -104,7 +104,7 @@ def tag_colour(count_before: Column) -> Column:
 
 
 def create_tags(
-    tags: DataFrame, wanted: DataFrame, user_id: int, now: Column, rows: int = CHUNK_ROWS
+    tags: DataFrame, wanted: DataFrame, user_id: int, now: Column, chunks: int | None = None
 ) -> DataFrame:
     """Rows for tag names a workspace lacks.
 
@@ -113,14 +113,15 @@ def create_tags(
     """
     fresh = new_rows(tags, wanted, ["workspace_id", "name"], [F.col("pos")])
     have = tags.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("_have"))
-    numbered = scan(fresh, ["workspace_id"], ["pos"], chunk_of("pos", rows), number="_nth")
+    placed = with_value_chunk(fresh, "pos", chunks=chunks)
+    numbered = scan(placed, ["workspace_id"], ["pos"], F.col("_bucket"), number="_nth")
     numbered = numbered.join(have, "workspace_id", "left")
     before = F.coalesce("_have", F.lit(0)) + F.col("_nth") - 1
     ready = numbered.select(
         "pos", "workspace_id", "name", tag_colour(before).alias("color"),
         F.lit(user_id).cast("long").alias("user_id"), now.alias("updated_at"),
     )
-    return consecutive_ids(ready, "pos", max_id(tags) + 1).drop("pos")
+    return consecutive_ids(ready, "pos", max_id(tags) + 1, chunks=chunks).drop("pos")
 
 
 def assign_tags(
@@ -198,10 +199,3 @@ def merged_palette(partials: DataFrame, keys: Sequence[str], column: str = "colo
         .select(*keys, F.upper("c").alias("color"))
         .distinct()
     )
-
-
-def palette_lists(partials: DataFrame, keys: Sequence[str], column: str = "color_palette") -> DataFrame:
-    """The same as a sorted list per key, for palettes of ordinary size."""
-    return merged_palette(partials, keys, column).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("color")).alias("color_palette")
-    )

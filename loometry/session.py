@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     The folder is the one named in ``spark.checkpoint.dir``. A machine-local
     folder is used only where that setting is absent and the master is local.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")

@@ -135,6 +135,11 @@ def test_warehouse(spark, tmp_path):
     assert out["rows"] == [{"name": "cid"}, {"name": "bob"}] and out["truncated"] and out["row_count"] == 2
     assert "error" in house.run_sql("SELECT nope FROM up_my_sheet")
     assert "error" in house.run_sql(f"SELECT * FROM parquet.`{tmp_path}/house/up_my_sheet/v=1`")
+    spark.range(3).createOrReplaceTempView("secret")
+    for hidden in ("SELECT * FROM secret", "SELECT 1 WHERE EXISTS (SELECT 1 FROM secret)", "WITH x AS (SELECT * FROM secret) SELECT * FROM x",
+                   "SELECT * FROM default.up_my_sheet", "SELECT * FROM global_temp.secret"):
+        assert "outside this warehouse" in house.run_sql(hidden)["error"], hidden
+    assert house.run_sql("WITH x AS (SELECT * FROM up_my_sheet) SELECT count(*) AS n FROM x")["rows"] == [{"n": 3}]
     # A second session over the same folder finds the table again.
     assert Warehouse(spark, str(tmp_path / "house")).tables() == ["up_my_sheet"]
     with pytest.raises(ValueError, match="unsupported"):
