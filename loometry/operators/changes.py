@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loometry import fixed
-from loometry.operators.scans import consecutive_ids, one_row, scan, with_value_chunk
+from loometry.operators.scans import chunked, consecutive_ids, one_row, scan
 from loometry.session import cut_lineage
 
 
@@ -113,8 +113,8 @@ def create_tags(
     """
     fresh = new_rows(tags, wanted, ["workspace_id", "name"], [F.col("pos")])
     have = tags.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("_have"))
-    placed = with_value_chunk(fresh, "pos", chunks=chunks)
-    numbered = scan(placed, ["workspace_id"], ["pos"], F.col("_bucket"), number="_nth")
+    placed, chunk = chunked(fresh, "pos", chunks)
+    numbered = scan(placed, ["workspace_id"], ["pos"], chunk, number="_nth")
     numbered = numbered.join(have, "workspace_id", "left")
     before = F.coalesce("_have", F.lit(0)) + F.col("_nth") - 1
     ready = numbered.select(

@@ -92,23 +92,16 @@ def resolve_inputs(inputs: DataFrame, outputs: DataFrame, entries: DataFrame) ->
     entries  run_id, entry_pos, step_id
     """
     refs = inputs.filter(F.col("ref_step").isNotNull())
-    # Several items of one entry may name the same step: look each up once.
-    asked = refs.select("run_id", F.col("ref_step").alias("step_id"), "entry_pos").distinct()
-    ran = entries.select("run_id", "step_id", F.col("entry_pos").alias("at"))
+    ran = entries.select("run_id", F.col("step_id").alias("ref_step"), F.col("entry_pos").alias("at"))
     found = asof_last(
-        asked, ran, keys=["run_id", "step_id"], left_time="entry_pos", right_time="at",
+        refs, ran, keys=["run_id", "ref_step"], left_time="entry_pos", right_time="at",
         value=F.col("at"), name="source_pos", strict=True,
     )
-    found = found.select("run_id", F.col("step_id").alias("ref_step"), "entry_pos", "source_pos")
     values = outputs.select(
         "run_id", F.col("entry_pos").alias("source_pos"), F.col("output").alias("ref_output"),
-        F.col("value").alias("resolved"),
-    )
-    resolved = (
-        refs.join(found, ["run_id", "ref_step", "entry_pos"], "left")
-        .join(values, ["run_id", "source_pos", "ref_output"], "left")
-        .withColumn("value", F.col("resolved"))
+        F.col("value").alias("value"),
     )
+    resolved = found.join(values, ["run_id", "source_pos", "ref_output"], "left")
     literal = inputs.filter(F.col("ref_step").isNull()).withColumn("value", F.col("literal"))
     columns = ["run_id", "entry_pos", "step_id", "input", "item_pos", "value"]
     return resolved.select(*columns).unionByName(literal.select(*columns))

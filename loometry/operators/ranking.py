@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loometry.operators.scans import one_row, scan, with_value_chunk
+from loometry.operators.scans import chunked, one_row, scan
 
 
 def ranked(
@@ -20,13 +20,15 @@ def ranked(
     Equal values share one chunk. ``rank`` and ``dense_rank`` come from the
     distinct values, which are counted before they are ordered.
     """
+    placed, chunk = chunked(df, value, chunks)
     rows = scan(
-        with_value_chunk(df, value, chunks=chunks), keys, [value, tie], F.col("_bucket"), number="row_number",
-        sums={"running_sum": F.col(value)}, before={"previous": F.col(value)}, after={"following": F.col(value)},
+        placed, keys, [value, tie], chunk, number="row_number", sums={"running_sum": F.col(value)},
+        before={"previous": F.col(value)}, after={"following": F.col(value)},
     )
-    values = rows.groupBy(*keys, "_bucket", value).agg(F.min("row_number").alias("rank"))
-    places = scan(values, keys, [value], F.col("_bucket"), number="dense_rank")
-    out = rows.join(places, [*keys, "_bucket", value]).drop("_bucket")
+    bucket = [] if chunk is None else ["_bucket"]
+    values = rows.groupBy(*keys, *bucket, value).agg(F.min("row_number").alias("rank"))
+    places = scan(values, keys, [value], chunk, number="dense_rank")
+    out = rows.join(places, [*keys, *bucket, value]).drop("_bucket")
     if tiles:
         totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
         out = out.join(totals, list(keys)).withColumn("ntile", ntile(F.col("row_number"), F.col("_all"), tiles)).drop("_all")
@@ -54,8 +56,8 @@ def exact_quantile(
     """
     some = df.filter(F.col(value).isNotNull())
     counts = some.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    bucketed = with_value_chunk(counts, value, sample=some, chunks=chunks)
-    upto = scan(bucketed, keys, [value], F.col("_bucket"), sums={"_upto": F.col("_c")})
+    bucketed, chunk = chunked(counts, value, chunks, sample=some)
+    upto = scan(bucketed, keys, [value], chunk, sums={"_upto": F.col("_c")})
     if keys:
         placed = upto.join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), list(keys))
     else:

@@ -28,7 +28,7 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | None,
     *,
     number: str | None = None,
     counts: dict[str, Column] | None = None,
@@ -41,6 +41,7 @@ def scan(
 
     ``chunk`` must not decrease along ``order`` within a key, and ``order`` must
     be unique within a key where ``number``, ``before`` or ``after`` is asked.
+    Without a chunk (data known to be small) a plain window does.
 
     number  1-based position within the key
     counts  running count of rows where the condition holds, this row included
@@ -52,6 +53,8 @@ def scan(
     counts, sums, last = counts or {}, sums or {}, last or {}
     before, after = before or {}, after or {}
     keys, order = list(keys), list(order)
+    if chunk is None:
+        return _plain(df, keys, order, number, counts, sums, last, before, after)
     columns = df.columns
     # One struct names key and chunk everywhere below. As a struct it is never
     # null, so null keys group and join like any other; and since no plain key
@@ -141,6 +144,20 @@ def scan(
     return joined.select(*out)
 
 
+def _plain(df, keys, order, number, counts, sums, last, before, after) -> DataFrame:
+    win = Window.partitionBy(*keys).orderBy(*order)
+    upto = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = {}
+    if number:
+        out[number] = F.row_number().over(win).cast("long")
+    out |= {n: F.count_if(c).over(upto) for n, c in counts.items()}
+    out |= {n: F.coalesce(F.sum(v).over(upto), F.lit(0)) for n, v in sums.items()}
+    out |= {n: F.last(v, ignorenulls=True).over(upto) for n, v in last.items()}
+    out |= {n: F.lag(v).over(win) for n, v in before.items()}
+    out |= {n: F.lead(v).over(win) for n, v in after.items()}
+    return df.select("*", *[c.alias(n) for n, c in out.items()])
+
+
 def first_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, number: str = "_rn"
 ) -> DataFrame:
@@ -164,25 +181,19 @@ def one_row(
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
 
 
-def with_value_chunk(
-    df: DataFrame, value: str, sample: DataFrame | None = None, chunks: int | None = None
-) -> DataFrame:
+def with_value_chunk(df: DataFrame, value: str, chunks: int, sample: DataFrame | None = None) -> DataFrame:
     """Add ``_bucket``, a chunk number along a numeric column.
 
-    The number of chunks follows from the number of rows (``sample``, by default
-    ``df`` itself, is counted), up to ``MAX_CHUNKS``. Their borders are
-    approximate quantiles, so they hold about as many rows each, whatever the
-    values look like; a key with a third of the rows spans about a third of
-    them. Borders are read once and are constants of the plan from then on.
-    Equal values share a chunk.
+    The borders are approximate quantiles (of ``sample``, by default of ``df``
+    itself), so chunks hold about as many rows each, whatever the values look
+    like; a key with a third of the rows spans about a third of them. Borders
+    are read once and are constants of the plan from then on. Equal values share
+    a chunk.
     """
-    counted = df if sample is None else sample
-    if chunks is None:
-        chunks = min(MAX_CHUNKS, -(-counted.count() // CHUNK_ROWS))
-    if chunks <= 1:
-        return df.withColumn("_bucket", F.lit(0.0))
     shares = [i / chunks for i in range(1, chunks)]
-    found = counted.agg(F.percentile_approx(F.col(value).cast("double"), shares, 10 * chunks)).first()[0]
+    found = (df if sample is None else sample).agg(
+        F.percentile_approx(F.col(value).cast("double"), shares, 10 * chunks)
+    ).first()[0]
     borders = sorted({b for b in found or [] if b == b and abs(b) != float("inf")})
     bucketizer = Bucketizer(
         splits=[float("-inf"), *(borders or [0.0]), float("inf")], inputCol="_value", outputCol="_bucket",
@@ -191,8 +202,22 @@ def with_value_chunk(
     return bucketizer.transform(df.withColumn("_value", F.col(value).cast("double"))).drop("_value")
 
 
+def chunked(
+    df: DataFrame, value: str, chunks: int | None = None, sample: DataFrame | None = None
+) -> tuple[DataFrame, Column | None]:
+    """``df`` with its chunk column for ``scan``. The rows are counted to find
+    the number of chunks, up to ``MAX_CHUNKS``; for a single chunk there is no
+    chunk column (None) and a plain window is enough."""
+    if chunks is None:
+        counted = df if sample is None else sample
+        chunks = min(MAX_CHUNKS, -(-counted.count() // CHUNK_ROWS))
+    if chunks <= 1:
+        return df, None
+    return with_value_chunk(df, value, chunks, sample), F.col("_bucket")
+
+
 def consecutive_ids(df: DataFrame, order: str, start: int, name: str = "id", chunks: int | None = None) -> DataFrame:
     """New ids ``start, start+1, ...`` in the order of a unique integer column."""
-    bucketed = with_value_chunk(df, order, chunks=chunks)
-    numbered = scan(bucketed, [], [order], F.col("_bucket"), number="_number")
+    rows, chunk = chunked(df, order, chunks)
+    numbered = scan(rows, [], [order], chunk, number="_number")
     return numbered.withColumn(name, F.lit(start) + F.col("_number") - 1).drop("_number", "_bucket")

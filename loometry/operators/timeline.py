@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loometry import fixed
-from loometry.operators.scans import scan, with_value_chunk
+from loometry.operators.scans import chunked, scan
 
 
 def asof_last(
@@ -35,8 +35,8 @@ def asof_last(
         *keys, (F.col(right_time).cast("long") * 2 + 1 - late).alias("_at"), F.lit(None).alias("_row"),
         value.alias("_v"),
     )
-    both = with_value_chunk(a.unionByName(b), "_at", chunks=chunks)
-    out = scan(both, keys, ["_at"], F.col("_bucket"), last={name: F.col("_v")})
+    both, chunk = chunked(a.unionByName(b), "_at", chunks)
+    out = scan(both, keys, ["_at"], chunk, last={name: F.col("_v")})
     return out.filter(F.col("_row").isNotNull()).select(*keys, *[F.col("_row")[c].alias(c) for c in rest], name)
 
 
@@ -47,7 +47,7 @@ def clip_gaps(
     """Silence before a clip: its start minus the end of the clip before it on
     the track (not the furthest end so far); the first clip compares with 0."""
     end = F.col("start_time") + F.col("duration")
-    placed = with_value_chunk(clips, order[0], chunks=chunks)
-    linked = scan(placed, [track], list(order), F.col("_bucket"), before={"_end": end}).drop("_bucket")
+    placed, chunk = chunked(clips, order[0], chunks)
+    linked = scan(placed, [track], list(order), chunk, before={"_end": end}).drop("_bucket")
     gap = F.col("start_time") - F.coalesce("_end", F.lit(0.0))
     return linked.withColumn("gap", gap).filter(F.col("gap") > fixed.CLIP_GAP_TOLERANCE).drop("_end")
