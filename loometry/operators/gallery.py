@@ -14,6 +14,7 @@ from loometry.functions.media import (
 )
 from loometry.functions.text import any_contains_ci, contains_ci
 from loometry.operators.paging import DEEP, Page, deep_page_rows, page, page_rows
+from loometry.session import cut_lineage
 
 METADATA_FIELDS = [
     "model", "prompt", "original_prompt", "negative_prompt", "aspect_ratio", "mime_type", "style",
@@ -176,8 +177,9 @@ def search_rows(
     """One page, enriched. Filters and the top-k run on the bare rows; only the
     rows of the page meet the tag, workspace and user tables."""
     found = filter_gallery(base, search, links, tags, users)
-    rows = newest_page(found, search.limit, search.offset)
-    # The page is at most MAX_PAGE_SIZE rows, so its keys are safe to broadcast.
+    # At most MAX_PAGE_SIZE rows, used twice below: written once, so the search
+    # itself runs once.
+    rows = cut_lineage(newest_page(found, search.limit, search.offset), "page")
     keys = F.broadcast(rows.select(F.col("id").alias("_pid"), F.col("item_type").alias("_ptype")))
     mine = links.join(
         keys, (F.col("item_id") == F.col("_pid")) & (F.col("item_type") == F.col("_ptype")), "left_semi"
@@ -188,9 +190,9 @@ def search_rows(
 def search_page(
     base: DataFrame, search: Search, links: DataFrame, tags: DataFrame, workspaces: DataFrame, users: DataFrame
 ) -> Page:
-    found = page(filter_gallery(base, search, links, tags, users), newest_first(), search.limit, search.offset)
-    found.data = search_rows(base, search, links, tags, workspaces, users)
-    return found
+    result = page(filter_gallery(base, search, links, tags, users), newest_first(), search.limit, search.offset)
+    result.data = search_rows(base, search, links, tags, workspaces, users)
+    return result
 
 
 def search_assets(

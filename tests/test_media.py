@@ -145,3 +145,25 @@ def test_manifest(tables):
 def test_empty_key_list(tables):
     assert g.by_keys(tables[0], "id", []).count() == 0
     assert g.by_keys(tables[0], "id", [1, 4]).count() == 2
+
+
+def test_search_page(spark, tables):
+    items, assets = tables
+    users = spark.createDataFrame([(1, "a@x", "pic", T), (2, "b@x", None, None)], "id long, email string, picture string, deleted_at timestamp")
+    spaces = spark.createDataFrame([(1, "one")], "id long, name string")
+    tags = spark.createDataFrame([(5, "red", "#f00", 1), (6, "blue", "#00f", 1)], "id long, name string, color string, workspace_id long")
+    links = g.item_tags(
+        spark.createDataFrame([(1, 6), (1, 5), (2, 5)], "media_item_id long, tag_id long"),
+        spark.createDataFrame([(1, 5)], "source_asset_id long, tag_id long"),
+    )
+    base = g.unified_base(items, assets)
+    found = g.search_page(base, g.Search(tags=["red"], limit=2), links, tags, spaces, users)
+    assert (found.count, found.total_pages) == (3, 2)
+    rows = {(r["item_type"][0], r["id"]): r for r in found.data.collect()}
+    assert set(rows) == {("m", 2), ("m", 1)}
+    assert [t["name"] for t in rows["m", 1]["tags"]] == ["red", "blue"]
+    assert rows["m", 1]["user_email"] == "a@x" and rows["m", 1]["workspace_name"] == "one"
+    both = g.search_page(base, g.Search(tags=["red", "blue", "red"]), links, tags, spaces, users)
+    assert [(r["item_type"], r["id"]) for r in both.data.collect()] == [("media_item", 1)]
+    mine = g.search_page(base, g.Search(user_email="b@x", include_deleted=True), links, tags, spaces, users)
+    assert mine.count == 2 and g.search_page(base, g.Search(status="stopped"), links, tags, spaces, users).count == 0
