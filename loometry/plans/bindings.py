@@ -99,9 +99,9 @@ def media_items(m: Model) -> DataFrame:
     # order that holds a third of all lines.
     bit = F.expr("shiftleft(1L, l_linenumber)")
     masks = m.raw("lineitem").groupBy("l_orderkey").agg(F.bit_or(bit).alias("mask"))
+    top = F.least(F.lit(62), F.floor(F.log2("mask")).cast("int") + 1)
     lines = masks.select(
-        "l_orderkey",
-        F.filter(F.sequence(F.lit(1), F.lit(62)), lambda n: F.getbit("mask", n) == 1).alias("lines"),
+        "l_orderkey", F.filter(F.sequence(F.lit(1), top), lambda n: F.getbit("mask", n) == 1).alias("lines")
     )
     key = F.col("o_orderkey")
     stem = F.concat(L("gs://media/"), key.cast("string"), L("/"))
