@@ -34,3 +34,19 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "_found.*")
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loometry.llm.toxicity import toxicity
+
+    judged = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "_toxicity.*")
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loometry.llm.html_text import extract
+
+    pages = extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", pages["_text"].alias("text"))

@@ -69,7 +69,7 @@ def test_longest_matches(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
     found = sorted(tuple(r) for r in matches(docs, items).collect())
-    assert found == [(1, 1, 1, 0, 3), (2, 2, 9, 3, 15), (10, 1, 2, 0, 3)]
+    assert found == [(1, 1, 1, 0, 3), (2, 2, 9, 3, 15), (10, 1, 1, 0, 3)]
 
 
 def test_empty_tables_and_clashing_columns(spark):
