@@ -50,3 +50,31 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = extract(table(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", pages["_text"].alias("text"))
+
+
+@query
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loometry.llm.token_store import digests, write
+    from loometry.session import shared_dir
+
+    documents = table(spark, sf_dir, "documents")
+    path = shared_dir(spark, "tokens")
+    write(documents, public_tokenizers.path("byte_bpe_50k.json"), path)
+    return digests(documents.select("doc_id"), path).withColumnRenamed("key", "doc_id")
+
+
+@query
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from loometry.llm.pieces import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return both.select(
+        "doc_id", F.size("_ids").alias("n_ids"), F.col("_ids").alias("ids"),
+        (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loometry.llm.arrays import ALNUM, LOWER, U64, mix, span_hashes, text_slices, words
@@ -22,7 +22,7 @@ SAMPLE_ROWS = 6000
 MIN_DOCUMENTS = 4
 PREFIX_BYTES = 4
 #: L1 penalties tried; held-out likelihood chooses.
-PENALTIES = (3e-4, 1e-3, 3e-3)
+PENALTIES = (3e-4, 1e-3, 2e-3)
 STEPS = 150
 
 
@@ -124,10 +124,10 @@ def fit_arrays(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, *, l1:
     return Model(vocabulary, weights, theta)
 
 
-def choose(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, penalties=PENALTIES) -> Model:
-    """Fit with the penalty that predicts every fourth document best from the others."""
+def choose(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, penalties=PENALTIES) -> float:
+    """The penalty that predicts every fourth document best from the others."""
     if not len(grades) or grades.max() == 0:
-        return fit_arrays(rows, values, grades, l1=penalties[0])
+        return penalties[0]
     held = np.arange(len(grades)) % 4 == 3
     place = np.cumsum(~held) - 1
     losses = []
@@ -141,20 +141,29 @@ def choose(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, penalties=P
         real = np.minimum(grades[held], len(model.thresholds))
         p = above[np.arange(len(real)), real] - above[np.arange(len(real)), real + 1]
         losses.append(-np.log(np.maximum(p, 1e-6)).mean())
-    return fit_arrays(rows, values, grades, l1=penalties[int(np.argmin(losses))])
+    return penalties[int(np.argmin(losses))]
 
 
-def severity_grade(toxic: Column, quality: Column) -> Column:
-    """0 clean, 1 toxic, 2 toxic in a text that is also of bad quality."""
-    return F.when(toxic == 0, 0).when(F.coalesce(quality, F.lit(1)) == 0, 2).otherwise(1)
+def split_toxic(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, l1: float) -> np.ndarray:
+    """Three grades out of two: of the toxic documents, those that a first fit finds
+    more toxic than their median become grade 2, the severe ones."""
+    model = fit_arrays(rows, values, grades, l1=l1)
+    if not len(model.vocabulary):
+        return grades
+    at = np.minimum(np.searchsorted(model.vocabulary, values), len(model.vocabulary) - 1)
+    known = model.vocabulary[at] == values
+    logit = np.bincount(rows[known], model.weights[at[known]], minlength=len(grades))
+    toxic = grades > 0
+    return grades + (toxic & (logit > np.median(logit[toxic])))
 
 
 def fit(documents: DataFrame, grades: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most ``sample_rows`` labelled documents.
 
     ``grades`` has ``doc_id`` and ``grade``; the highest grade of an id counts, null
-    ids and grades do not. Without a graded document, or where all are of grade 0,
-    the model holds every text for clean.
+    ids and grades do not. Where the labels only tell toxic (1) from clean (0), the
+    toxic ones are graded by ``split_toxic``. Without a graded document, or where all
+    are of grade 0, the model holds every text for clean.
     """
     chosen = (
         grades.filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
@@ -176,7 +185,11 @@ def fit(documents: DataFrame, grades: DataFrame, *, sample_rows: int = SAMPLE_RO
     cells = found.column("features").to_pylist()
     values = np.frombuffer(b"".join(cells), U64)
     rows = np.repeat(np.arange(len(cells)), [len(c) // 8 for c in cells])
-    return choose(rows, values, np.array(found.column("grade").to_pylist(), np.int64))
+    grade = np.array(found.column("grade").to_pylist(), np.int64)
+    l1 = choose(rows, values, grade)
+    if len(grade) and grade.max() == 1:
+        grade = split_toxic(rows, values, grade, l1)
+    return fit_arrays(rows, values, grade, l1=l1)
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
@@ -205,7 +218,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFram
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
-    return labels.filter("toxic IS NOT NULL").select("doc_id", severity_grade(F.col("toxic"), F.col("quality")).alias("grade"))
+    return labels.filter("toxic IS NOT NULL").select("doc_id", (F.col("toxic") > 0).cast("int").alias("grade"))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, *, training: DataFrame | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
