@@ -78,3 +78,15 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("_ids").alias("n_ids"), F.col("_ids").alias("ids"),
         (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
+
+
+@query
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loometry.llm.minhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
