@@ -20,11 +20,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import ranges, text_slices
+from loometry.llm.arrays import ranges, slices, text_slices
 from loometry.llm.memo import WordIds
 
 MARK = "▁"
 _SPACE = 32
+#: Ids decoded at once, about.
+SLICE_IDS = 1 << 19
 
 
 class Pieces:
@@ -230,13 +232,15 @@ def decode(rows: DataFrame, model_file: str, *, ids: str = "_ids") -> DataFrame:
         pieces = loaded(model_file)
         for batch in batches:
             cell = batch.column(1)
-            counts = np.diff(cell.offsets.to_numpy())
-            raw, sizes = pieces.decode(cell.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
-            data, at, texts = raw.tobytes(), 0, []
-            for size in sizes.tolist():
-                texts.append(data[at : at + size].decode("utf-8", "replace"))
-                at += size
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+            borders = cell.offsets.to_numpy()
+            for lo, hi in slices(np.diff(borders), SLICE_IDS):
+                ids = cell.values[borders[lo] : borders[hi]].to_numpy(zero_copy_only=False)
+                raw, sizes = pieces.decode(ids, np.diff(borders[lo : hi + 1]))
+                data, at, texts = raw.tobytes(), 0, []
+                for size in sizes.tolist():
+                    texts.append(data[at : at + size].decode("utf-8", "replace"))
+                    at += size
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(texts, pa.string())], ["row", "text"])
 
     out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, text string")
     return out.select(*[F.col("row")[c].alias(c) for c in columns], F.col("text").alias("_decoded"))
