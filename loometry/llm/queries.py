@@ -98,3 +98,11 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "_kept.n_words", "_kept.n_removed", kept["_kept.sha256"].alias("kept_sha256"))
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loometry.llm.suffix_dedup import remove_earlier
+
+    kept = remove_earlier(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "_kept.n_bytes", "_kept.n_removed", "_kept.n_spans", kept["_kept.sha256"].alias("kept_sha256"))
