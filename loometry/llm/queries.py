@@ -106,3 +106,24 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = remove_earlier(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "_kept.n_bytes", "_kept.n_removed", "_kept.n_spans", kept["_kept.sha256"].alias("kept_sha256"))
+
+
+@query
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loometry.llm.vector_search import top_k, usable, whole_numbers
+
+    rows = table(spark, sf_dir, "embeddings")
+    vectors = rows.filter(usable(rows["embedding"])).select("vec_id", whole_numbers(rows["embedding"]).alias("vector"))
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
+ORACLE["op6_vector_search"] = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+    SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
