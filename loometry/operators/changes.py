@@ -104,7 +104,7 @@ def tag_colour(count_before: Column) -> Column:
 
 
 def create_tags(
-    tags: DataFrame, wanted: DataFrame, user_id: int, now: Column, chunks: int | None = None
+    tags: DataFrame, wanted: DataFrame, user_id: int, now: Column
 ) -> DataFrame:
     """Rows for tag names a workspace lacks.
 
@@ -113,7 +113,7 @@ def create_tags(
     """
     fresh = new_rows(tags, wanted, ["workspace_id", "name"], [F.col("pos")])
     have = tags.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("_have"))
-    placed, chunk = chunked(fresh, "pos", chunks)
+    placed, chunk = chunked(fresh, ["workspace_id"], ["pos"])
     numbered = scan(placed, ["workspace_id"], ["pos"], chunk, number="_nth")
     numbered = numbered.join(have, "workspace_id", "left")
     before = F.coalesce("_have", F.lit(0)) + F.col("_nth") - 1
@@ -121,7 +121,7 @@ def create_tags(
         "pos", "workspace_id", "name", tag_colour(before).alias("color"),
         F.lit(user_id).cast("long").alias("user_id"), now.alias("updated_at"),
     )
-    return consecutive_ids(ready, "pos", max_id(tags) + 1, chunks=chunks).drop("pos")
+    return consecutive_ids(ready, "pos", max_id(tags) + 1).drop("pos")
 
 
 def assign_tags(
@@ -179,11 +179,11 @@ def first_uploads(uploads: DataFrame, order: Sequence[str] = ("created_at", "id"
 
 def resolve_uploads(uploads: DataFrame, order: Sequence[str] = ("created_at", "id")) -> DataFrame:
     """Every upload with the id of the row that stands for it: the first of its
-    user and content. One row per distinct content meets the uploads."""
-    first = uploads.groupBy("user_id", "file_hash").agg(
-        F.min_by("id", F.struct(*order)).alias("kept_id")
-    )
-    return uploads.join(first, ["user_id", "file_hash"], "left")
+    user and content. One row per distinct content meets the uploads. An upload
+    without a user or a hash stands for itself."""
+    known = uploads.filter(F.col("user_id").isNotNull() & F.col("file_hash").isNotNull())
+    first = known.groupBy("user_id", "file_hash").agg(F.min_by("id", F.struct(*order)).alias("kept_id"))
+    return uploads.join(first, ["user_id", "file_hash"], "left").withColumn("kept_id", F.coalesce("kept_id", "id"))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -13,7 +13,7 @@ from loometry.functions.media import (
     extension_from_mime, extension_from_uri, mime_matches, moment_range, not_deleted,
 )
 from loometry.functions.text import any_contains_ci, contains_ci
-from loometry.operators.paging import DEEP, Page, deep_page_rows, page, page_rows
+from loometry.operators.paging import Page, page, page_rows
 from loometry.session import cut_lineage
 
 METADATA_FIELDS = [
@@ -165,12 +165,6 @@ def with_all_tags(
     return items.join(hits, cond, "left_semi")
 
 
-def newest_page(found: DataFrame, limit: int, offset: int) -> DataFrame:
-    if offset + limit > DEEP:
-        return deep_page_rows(found, F.unix_micros("created_at"), newest_first(), limit, offset)
-    return page_rows(found, newest_first(), limit, offset)
-
-
 def search_rows(
     base: DataFrame, search: Search, links: DataFrame, tags: DataFrame, workspaces: DataFrame, users: DataFrame
 ) -> DataFrame:
@@ -179,7 +173,7 @@ def search_rows(
     found = filter_gallery(base, search, links, tags, users)
     # At most MAX_PAGE_SIZE rows, used twice below: written once, so the search
     # itself runs once.
-    rows = cut_lineage(newest_page(found, search.limit, search.offset), "page")
+    rows = cut_lineage(page_rows(found, newest_first(), search.limit, search.offset), "page")
     keys = F.broadcast(rows.select(F.col("id").alias("_pid"), F.col("item_type").alias("_ptype")))
     mine = links.join(
         keys, (F.col("item_id") == F.col("_pid")) & (F.col("item_type") == F.col("_ptype")), "left_semi"

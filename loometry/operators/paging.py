@@ -24,13 +24,19 @@ class Page:
 def page_rows(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset .. offset + limit`` of the ordered result (a top-k per
     task, no full sort while ``offset + limit`` is small)."""
-    limit = min(limit, fixed.MAX_PAGE_SIZE)
+    check_limit(limit)
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def check_limit(limit: int) -> None:
+    """A page holds 1 to MAX_PAGE_SIZE rows; anything else is refused, not cut."""
+    if not 1 <= limit <= fixed.MAX_PAGE_SIZE:
+        raise ValueError(f"a page holds 1 to {fixed.MAX_PAGE_SIZE} rows, not {limit}")
+
+
 def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) -> Page:
     """A page with its totals. The count runs on the unordered rows."""
-    limit = min(limit, fixed.MAX_PAGE_SIZE)
+    check_limit(limit)
     total = df.count()
     return Page(
         data=page_rows(df, order, limit, offset),
@@ -41,14 +47,10 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
     )
 
 
-# Beyond this many rows a page is no longer cut from a top-k.
-DEEP = 10_000
-
-
 def deep_page_rows(
-    df: DataFrame, along: Column, order: Sequence[Column], limit: int, offset: int, *, deep: int = DEEP, chunks: int = 1024
+    df: DataFrame, along: Column, order: Sequence[Column], limit: int, offset: int, *, deep: int, chunks: int = 1024
 ) -> DataFrame:
-    """The same rows as ``page_rows`` for any offset.
+    """The same rows as ``page_rows``, for offsets too large for a top-k per task.
 
     ``along`` is the numeric value that ``order`` sorts by first, descending
     with nulls first. Rows are counted per quantile chunk of it (at most
@@ -56,7 +58,7 @@ def deep_page_rows(
     whole, and only the chunks of the page are ordered. Repeated while that
     still leaves a deep offset and the chunks still divide.
     """
-    limit = min(limit, fixed.MAX_PAGE_SIZE)
+    check_limit(limit)
     while offset + limit > deep:
         bucketed = with_value_chunk(df.withColumn("_along", along), "_along", chunks=chunks).withColumn(
             "_place", F.when(F.col("_along").isNull(), F.lit(float("inf"))).otherwise(F.col("_bucket"))

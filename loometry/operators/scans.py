@@ -15,8 +15,9 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loometry.session import cut_lineage
+
 CHUNK_ROWS = 1 << 20
-MAX_CHUNKS = 1 << 14
 
 
 def chunk_of(index: str, rows: int = CHUNK_ROWS) -> Column:
@@ -28,7 +29,7 @@ def scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column | None,
+    chunk: Column,
     *,
     number: str | None = None,
     counts: dict[str, Column] | None = None,
@@ -41,7 +42,6 @@ def scan(
 
     ``chunk`` must not decrease along ``order`` within a key, and ``order`` must
     be unique within a key where ``number``, ``before`` or ``after`` is asked.
-    Without a chunk (data known to be small) a plain window does.
 
     number  1-based position within the key
     counts  running count of rows where the condition holds, this row included
@@ -53,8 +53,6 @@ def scan(
     counts, sums, last = counts or {}, sums or {}, last or {}
     before, after = before or {}, after or {}
     keys, order = list(keys), list(order)
-    if chunk is None:
-        return _plain(df, keys, order, number, counts, sums, last, before, after)
     columns = df.columns
     # One struct names key and chunk everywhere below. As a struct it is never
     # null, so null keys group and join like any other; and since no plain key
@@ -144,20 +142,6 @@ def scan(
     return joined.select(*out)
 
 
-def _plain(df, keys, order, number, counts, sums, last, before, after) -> DataFrame:
-    win = Window.partitionBy(*keys).orderBy(*order)
-    upto = win.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = {}
-    if number:
-        out[number] = F.row_number().over(win).cast("long")
-    out |= {n: F.count_if(c).over(upto) for n, c in counts.items()}
-    out |= {n: F.coalesce(F.sum(v).over(upto), F.lit(0)) for n, v in sums.items()}
-    out |= {n: F.last(v, ignorenulls=True).over(upto) for n, v in last.items()}
-    out |= {n: F.lag(v).over(win) for n, v in before.items()}
-    out |= {n: F.lead(v).over(win) for n, v in after.items()}
-    return df.select("*", *[c.alias(n) for n, c in out.items()])
-
-
 def first_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, number: str = "_rn"
 ) -> DataFrame:
@@ -202,22 +186,32 @@ def with_value_chunk(df: DataFrame, value: str, chunks: int, sample: DataFrame |
     return bucketizer.transform(df.withColumn("_value", F.col(value).cast("double"))).drop("_value")
 
 
-def chunked(
-    df: DataFrame, value: str, chunks: int | None = None, sample: DataFrame | None = None
-) -> tuple[DataFrame, Column | None]:
-    """``df`` with its chunk column for ``scan``. The rows are counted to find
-    the number of chunks, up to ``MAX_CHUNKS``; for a single chunk there is no
-    chunk column (None) and a plain window is enough."""
-    if chunks is None:
-        counted = df if sample is None else sample
-        chunks = min(MAX_CHUNKS, -(-counted.count() // CHUNK_ROWS))
-    if chunks <= 1:
-        return df, None
-    return with_value_chunk(df, value, chunks, sample), F.col("_bucket")
+def chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``df`` with its chunk column for ``scan``: the rows are range-partitioned by
+    ``keys`` and ``order``, and a chunk is what fell into one partition.
+
+    One path for any size and any orderable type; a key with a third of all rows, or
+    a value that most rows of a key share, spans many partitions, as the whole order
+    takes part. The placed rows are written once to the shared folder: every later
+    step then sees the same chunks.
+    """
+    placed = df.repartitionByRange(*keys, *order).withColumn("_bucket", F.spark_partition_id())
+    return cut_lineage(placed, "chunks"), F.col("_bucket")
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys``, null keys being equal to each other; ``right`` has each key once."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    if not keys:
+        return left.join(renamed)
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def consecutive_ids(df: DataFrame, order: str, start: int, name: str = "id", chunks: int | None = None) -> DataFrame:
-    """New ids ``start, start+1, ...`` in the order of a unique integer column."""
-    rows, chunk = chunked(df, order, chunks)
+def consecutive_ids(df: DataFrame, order: str, start: int, name: str = "id") -> DataFrame:
+    """New ids ``start, start+1, ...`` in the order of a unique column."""
+    rows, chunk = chunked(df, [], [order])
     numbered = scan(rows, [], [order], chunk, number="_number")
     return numbered.withColumn(name, F.lit(start) + F.col("_number") - 1).drop("_number", "_bucket")

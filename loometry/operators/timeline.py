@@ -13,7 +13,7 @@ from loometry.operators.scans import chunked, scan
 
 def asof_last(
     left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_time: str, right_time: str,
-    value: Column, name: str, strict: bool = False, chunks: int | None = None,
+    value: Column, name: str, strict: bool = False,
 ) -> DataFrame:
     """As-of join: add to each left row the ``value`` of the latest right row of
     its key at or before its time (before it, when ``strict``).
@@ -35,19 +35,18 @@ def asof_last(
         *keys, (F.col(right_time).cast("long") * 2 + 1 - late).alias("_at"), F.lit(None).alias("_row"),
         value.alias("_v"),
     )
-    both, chunk = chunked(a.unionByName(b), "_at", chunks)
+    both, chunk = chunked(a.unionByName(b), keys, ["_at"])
     out = scan(both, keys, ["_at"], chunk, last={name: F.col("_v")})
     return out.filter(F.col("_row").isNotNull()).select(*keys, *[F.col("_row")[c].alias(c) for c in rest], name)
 
 
 def clip_gaps(
     clips: DataFrame, track: str = "track_index", order: Sequence[str] = ("start_us", "clip_id"),
-    chunks: int | None = None,
 ) -> DataFrame:
     """Silence before a clip: its start minus the end of the clip before it on
     the track (not the furthest end so far); the first clip compares with 0."""
     end = F.col("start_time") + F.col("duration")
-    placed, chunk = chunked(clips, order[0], chunks)
+    placed, chunk = chunked(clips, [track], list(order))
     linked = scan(placed, [track], list(order), chunk, before={"_end": end}).drop("_bucket")
     gap = F.col("start_time") - F.coalesce("_end", F.lit(0.0))
     return linked.withColumn("gap", gap).filter(F.col("gap") > fixed.CLIP_GAP_TOLERANCE).drop("_end")

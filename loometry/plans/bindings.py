@@ -94,15 +94,9 @@ def _market_sql(col: str) -> str:
 # --- media ---------------------------------------------------------------
 
 def media_items(m: Model) -> DataFrame:
-    # Line numbers are 1 to 7, so the set of an order's lines fits the bits of
-    # one long: a fixed-size state, combined before the shuffle even for an
-    # order that holds a third of all lines.
-    bit = F.expr("shiftleft(1L, l_linenumber)")
-    masks = m.raw("lineitem").groupBy("l_orderkey").agg(F.bit_or(bit).alias("mask"))
-    top = F.least(F.lit(62), F.floor(F.log2("mask")).cast("int") + 1)
-    lines = masks.select(
-        "l_orderkey", F.filter(F.sequence(F.lit(1), top), lambda n: F.getbit("mask", n) == 1).alias("lines")
-    )
+    # Distinct values combine before the shuffle, so an order that holds a third of
+    # all lines costs each task one small set.
+    lines = m.raw("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_linenumber")).alias("lines"))
     key = F.col("o_orderkey")
     stem = F.concat(L("gs://media/"), key.cast("string"), L("/"))
     orders = m.raw("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
@@ -349,27 +343,39 @@ CTE["source_asset_tags"] = "SELECT DISTINCT l_partkey AS source_asset_id, l_supp
 
 # --- localization ----------------------------------------------------------
 
+def _with_blanks(m: Model, every: int, at: int) -> DataFrame:
+    """The conversations and, beside some of their turns, further ones without text."""
+    rows = m.raw("conversations").select("conv_id", "turn", "role", "text")
+    blank = rows.filter(F.col("turn") % every == at).select("conv_id", (F.col("turn") + 1000).alias("turn"), "role", L("").alias("text"))
+    return rows.unionByName(blank)
+
+
+def _with_blanks_sql(every: int, at: int) -> str:
+    return f"""(SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT conv_id, turn + 1000, role, '' FROM conversations WHERE turn % {every} = {at})"""
+
+
 def segments(m: Model) -> DataFrame:
     turn = F.col("turn").cast("int")
     limit = (turn + 1) * 40
-    return m.raw("conversations").select(
+    return _with_blanks(m, 6, 5).select(
         F.col("conv_id").alias("briefing_id"),
         turn.alias("segment_index"),
         F.when(turn % 5 != 4, F.col("role")).alias("block"),
         F.concat(L("Field "), turn.cast("string")).alias("field"),
         F.concat(L("Field "), turn.cast("string"), L(" (MAX "), limit.cast("string"), L(" chars)")).alias("label"),
         F.when(turn % 3 != 2, limit).alias("char_limit"),
-        F.when(turn % 6 == 5, L("")).otherwise(F.col("text")).alias("text"),
+        "text",
     )
 
 
-CTE["segments"] = """
+CTE["segments"] = f"""
 SELECT conv_id AS briefing_id, turn::INT AS segment_index,
   CASE WHEN turn % 5 <> 4 THEN role END AS block, 'Field ' || turn AS field,
   'Field ' || turn || ' (MAX ' || ((turn + 1) * 40) || ' chars)' AS label,
   CASE WHEN turn % 3 <> 2 THEN ((turn + 1) * 40)::INT END AS char_limit,
-  CASE WHEN turn % 6 = 5 THEN '' ELSE text END AS text
-FROM conversations
+  text
+FROM {_with_blanks_sql(6, 5)}
 """
 
 
@@ -382,12 +388,12 @@ def translations(m: Model) -> DataFrame:
         "segment_index", "text",
     ).select(
         "briefing_id", "market", "segment_index",
-        F.concat(F.col("market"), L(": "), F.substring("text", 1, 80)).alias("text"),
+        F.concat(F.col("market"), L(": "), F.col("text")).alias("text"),
     )
 
 
 CTE["translations"] = f"""
-SELECT briefing_id, market, segment_index, market || ': ' || left(text, 80) AS text FROM (
+SELECT briefing_id, market, segment_index, market || ': ' || text AS text FROM (
   SELECT briefing_id, segment_index, text,
     unnest(list_distinct([{_market_sql("briefing_id")}, {_market_sql("(briefing_id * 3 + 5)")}])) AS market
   FROM segments WHERE segment_index % 5 <> 3)
@@ -475,9 +481,9 @@ def glossary_terms(m: Model) -> DataFrame:
     """Stored terms: every distinct word of the benchmark passages, plus part
     names. Unique per (language, source)."""
     words = m.raw("benchmark").select(F.explode(F.split("text", "[^\\p{L}]+")).alias("word"))
-    words = words.filter(F.char_length("word") >= 3).groupBy("word").agg(F.count(L(1)).alias("n"))
+    words = words.filter(F.col("word") != "").groupBy("word").agg(F.count(L(1)).alias("n"))
     words = words.select(
-        F.expr("conv(substr(sha2(word, 256), 1, 8), 16, 10)").cast("long").alias("id"),
+        F.expr("conv(substr(sha2(word, 256), 1, 15), 16, 10)").cast("long").alias("id"),
         F.col("word").alias("source"), F.reverse("word").alias("target"),
     )
     parts = m.raw("part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_type").alias("t")).select(
@@ -490,9 +496,9 @@ def glossary_terms(m: Model) -> DataFrame:
 
 CTE["glossary_terms"] = f"""
 SELECT id, {_market_sql("id")} AS language, source, target FROM (
-  SELECT ('0x' || left(sha256(word), 8))::BIGINT AS id, word AS source, reverse(word) AS target
+  SELECT ('0x' || left(sha256(word), 15))::BIGINT AS id, word AS source, reverse(word) AS target
   FROM (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\\p{{L}}]+')) AS word FROM benchmark)
-  WHERE length(word) >= 3
+  WHERE word <> ''
   UNION ALL
   SELECT min(p_partkey) + 1099511627776, p_name, min(p_type) FROM part GROUP BY p_name)
 """
@@ -545,13 +551,13 @@ def copy_grid(m: Model) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     sheet = F.concat(L("Copy "), (conv % 4).cast("string"))
     base = (conv + 1) * (1 << 20)
-    text = m.raw("conversations").select(
+    text = _with_blanks(m, 7, 3).select(
         sheet.alias("sheet"), (base + 16 + turn).alias("row_idx"),
         F.array(
             F.when(turn % 2 == 0, F.col("role")).otherwise(L("")),
-            F.when(turn % 6 == 4, L("")).otherwise(
+            F.when((turn >= 1000) & (turn % 6 == 4), L("")).otherwise(
                 F.concat(L("Line "), turn.cast("string"), L(" (Max"), (turn * 10).cast("string"), L(")"))),
-            F.when(turn % 7 == 3, L("")).otherwise(F.substring("text", 1, 60)),
+            F.col("text"),
         ).alias("cells"),
     )
     heads = m.briefings.select(
@@ -579,11 +585,11 @@ def copy_grid(m: Model) -> DataFrame:
     return text.unionByName(heads).unionByName(titles)
 
 
-CTE["copy_grid"] = """
+CTE["copy_grid"] = f"""
 SELECT 'Copy ' || (conv_id % 4) AS sheet, (conv_id + 1) * 1048576 + 16 + turn AS row_idx,
   [CASE WHEN turn % 2 = 0 THEN role ELSE '' END,
-   CASE WHEN turn % 6 = 4 THEN '' ELSE 'Line ' || turn || ' (Max' || (turn * 10) || ')' END,
-   CASE WHEN turn % 7 = 3 THEN '' ELSE left(text, 60) END] AS cells FROM conversations
+   CASE WHEN turn >= 1000 AND turn % 6 = 4 THEN '' ELSE 'Line ' || turn || ' (Max' || (turn * 10) || ')' END,
+   text] AS cells FROM {_with_blanks_sql(7, 3)}
 UNION ALL SELECT 'Copy ' || (id % 4), (id + 1) * 1048576, ['Request nr. ' || id] FROM briefings
 UNION ALL SELECT 'Copy ' || (id % 4), (id + 1) * 1048576 + 1,
   ['Email', '', CASE WHEN id % 3 = 0 THEN '' ELSE 'mail ' || id END] FROM briefings
@@ -715,14 +721,14 @@ def reports(m: Model) -> DataFrame:
         F.split("text", "\n"),
         lambda line, i: F.when(i % 7 == 0, F.concat(L("## Sub-questions "), i.cast("string")))
         .when(i % 7 == 3, F.concat(L("### Claims to treat with CAUTION "), i.cast("string")))
-        .when(i % 7 == 5, F.concat(L("Prose "), F.substring(line, 1, 40)))
-        .when(i % 2 == 0, F.concat(L("- "), F.substring(line, 1, 40)))
-        .otherwise(F.concat(L("  "), (i + 1).cast("string"), L(") "), F.substring(line, 1, 40))),
+        .when(i % 7 == 5, F.concat(L("Prose "), line))
+        .when(i % 2 == 0, F.concat(L("- "), line))
+        .otherwise(F.concat(L("  "), (i + 1).cast("string"), L(") "), line)),
     )
     return m.raw("documents").select(
         F.col("doc_id").alias("id"),
         F.array_join(marked, "\n").alias("research_plan"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(L("# Next Search queries\n* "), F.substring("text", 1, 20), L("\n* gap two")))
+        F.when(F.col("doc_id") % 3 == 0, F.concat(L("# Next Search queries\n* "), F.col("text"), L("\n* gap two")))
         .when(F.col("doc_id") % 3 == 1, L("# Next search\nNone")).alias("gap_analysis"),
     )
 
@@ -732,12 +738,12 @@ SELECT doc_id AS id, (
     SELECT string_agg(CASE
       WHEN i % 7 = 0 THEN '## Sub-questions ' || i
       WHEN i % 7 = 3 THEN '### Claims to treat with CAUTION ' || i
-      WHEN i % 7 = 5 THEN 'Prose ' || left(line, 40)
-      WHEN i % 2 = 0 THEN '- ' || left(line, 40)
-      ELSE '  ' || (i + 1) || ') ' || left(line, 40) END, chr(10) ORDER BY i)
+      WHEN i % 7 = 5 THEN 'Prose ' || line
+      WHEN i % 2 = 0 THEN '- ' || line
+      ELSE '  ' || (i + 1) || ') ' || line END, chr(10) ORDER BY i)
     FROM (SELECT unnest(string_split(text, chr(10))) AS line,
       generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i)) AS research_plan,
-  CASE doc_id % 3 WHEN 0 THEN '# Next Search queries' || chr(10) || '* ' || left(text, 20) || chr(10) || '* gap two'
+  CASE doc_id % 3 WHEN 0 THEN '# Next Search queries' || chr(10) || '* ' || text || chr(10) || '* gap two'
     WHEN 1 THEN '# Next search' || chr(10) || 'None' END AS gap_analysis
 FROM documents
 """

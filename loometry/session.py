@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,15 +33,12 @@ def local_session(cpus: int | str = "*", app: str = "loometry", **conf) -> Spark
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new, empty sub-folder of the cluster's shared folder.
 
-    The folder is the one named in ``spark.checkpoint.dir``. A machine-local
-    folder is used only where that setting is absent and the master is local.
+    The folder is the one named in ``spark.checkpoint.dir``; where that is unset, one
+    in Spark's warehouse, which driver and executors share as well.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="loometry-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -67,7 +67,7 @@ def tag_table(spark, n):
 def test_tag_colours_go_round(spark):
     tags = tag_table(spark, 18)
     wanted = spark.createDataFrame([(1, f"n{i}", i) for i in range(4)] + [(1, "t3", 9), (2, "x", 10), (1, "n0", 11)], "workspace_id long, name string, pos long")
-    added = ch.create_tags(tags, wanted, 1, now(), chunks=3).orderBy("id").collect()
+    added = ch.create_tags(tags, wanted, 1, now()).orderBy("id").collect()
     assert [(r["id"], r["name"]) for r in added] == [(19, "n0"), (20, "n1"), (21, "n2"), (22, "n3"), (23, "x")]
     palette = fixed.TAG_COLORS
     assert [r["color"] for r in added] == [palette[18], palette[19], palette[0], palette[1], palette[0]]

@@ -103,6 +103,12 @@ def test_paging(spark):
     assert [r["id"] for r in found.data.collect()] == [4, 3, 2, 1, 0]
 
 
+def test_a_larger_page_is_refused(spark):
+    for limit in (0, 101, 500):
+        with pytest.raises(ValueError, match="1 to 100"):
+            page_rows(spark.range(5), [F.col("id")], limit)
+
+
 @pytest.mark.parametrize("offset", [0, 7, 480, 995, 1500, 2995, 3500])
 def test_deep_page_equals_page(spark, offset):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.hash("id") % 50).alias("v"))

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from loometry.plans import catalog
 from loometry.operators import reports
 from loometry.operators.localization import search_glossary
 
@@ -20,9 +20,9 @@ def plan(df):
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - USER_SQL))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - USER_SQL))
 def test_no_pair_joins_and_no_python(name, spark, data_dir):
-    text = plan(contract.queries()[name](spark, data_dir))
+    text = plan(catalog.QUERIES[name](spark, data_dir))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "FlatMapGroups", "MapInPandas"):
         assert bad not in text, f"{bad} in {name}"
 

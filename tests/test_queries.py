@@ -9,8 +9,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from loometry.plans import catalog
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -56,7 +56,7 @@ def test_value_chunk_of_nothing(spark):
 
 def test_consecutive_ids(spark):
     sparse = spark.range(500).select((F.col("id") * 7919 % 100003).alias("at"))
-    got = consecutive_ids(sparse, "at", 100, chunks=9).orderBy("at").collect()
+    got = consecutive_ids(sparse, "at", 100).orderBy("at").collect()
     assert [r["id"] for r in got] == list(range(100, 600))
 
 
@@ -70,9 +70,30 @@ def test_first_rows_and_one_row(skewed):
     assert latest == {k: ids[-1] for k, ids in expected.items()}
 
 
-def test_ranked(skewed):
-    df = skewed.filter("v is not null")
-    got = ranked(df, ["k"], "v", "id", tiles=4, chunks=5)
+@pytest.fixture(autouse=True)
+def many_chunks(spark):
+    """Small partitions stay apart, so that there is something to carry."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_consecutive_ids_by_date_and_text(spark):
+    """Any orderable type will do."""
+    rows = spark.range(300).select(F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("day"), F.format_string("%05d", "id").alias("name"))
+    for column in ("day", "name"):
+        got = consecutive_ids(rows, column, 0).orderBy(column).collect()
+        assert [r["id"] for r in got] == list(range(300))
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_ranked(skewed, nulls):
+    """Null values and null keys rank as well; one key and one value hold most rows."""
+    df = skewed.select(F.when(~F.lit(nulls) | (F.col("k") < 5), F.col("k")).alias("k"), "id", F.when(F.col("id") % 5 < 3, 7).otherwise(F.col("v")).alias("v"))
+    df = df if nulls else df.filter("v is not null")
+    got = ranked(df, ["k"], "v", "id", tiles=4)
     w = Window.partitionBy("k").orderBy("v", "id")
     by_value = Window.partitionBy("k").orderBy("v")
     want = df.select(
@@ -87,13 +108,15 @@ def test_ranked(skewed):
 
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_exact_quantile(skewed, keys):
-    got = exact_quantile(skewed, keys, "v", [0.0, 0.3, 1.0], chunks=4)
+    skewed = skewed.withColumn("k", F.when(F.col("k") < 5, F.col("k")))
+    got = exact_quantile(skewed, keys, "v", [0.0, 0.3, 1.0])
     want = skewed.groupBy(*keys).agg(F.percentile("v", F.lit(0.3)).alias("p"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     rows = {tuple(r[k] for k in keys): r for r in want.collect()}
     for r in got.collect():
         expected = rows[tuple(r[k] for k in keys)]
         assert r["q_0_3"] == pytest.approx(expected["p"])
         assert (r["q_0_0"], r["q_1_0"]) == (expected["lo"], expected["hi"])
+    assert got.count() == len(rows)
 
 
 @pytest.mark.parametrize("strict", [False, True])
@@ -103,7 +126,7 @@ def test_asof_brute_force(spark, strict):
     lf = spark.createDataFrame(left, "k string, t long")
     rf = spark.createDataFrame(right, "k string, at long, name string")
     got = asof_last(
-        lf, rf, keys=["k"], left_time="t", right_time="at", value=F.col("name"), name="found", strict=strict, chunks=6
+        lf, rf, keys=["k"], left_time="t", right_time="at", value=F.col("name"), name="found", strict=strict
     )
     for r in got.collect():
         fits = [x for x in right if x[0] == r["k"] and (x[1] < r["t"] if strict else x[1] <= r["t"])]
@@ -122,7 +145,7 @@ def test_clip_gaps(spark):
         ],
         "clip_id long, track_index long, start_time double, duration double",
     ).withColumn("start_us", (F.col("start_time") * 1e6).cast("long"))
-    got = {r["clip_id"]: round(r["gap"], 6) for r in clip_gaps(clips, chunks=4).collect()}
+    got = {r["clip_id"]: round(r["gap"], 6) for r in clip_gaps(clips).collect()}
     assert got == {1: 2.0, 3: 0.5, 5: 0.5}
 
 
