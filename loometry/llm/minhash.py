@@ -22,15 +22,19 @@ from loometry.llm.arrays import LOWER, NOT_SPACE, U64, mix, ranges, span_hashes,
 from loometry.session import cut_lineage
 
 SHINGLE = 3
+#: Bands by default. A pair of similarity s shares none of n bands with probability
+#: (1 - s^5)^n: 7e-9 at 0.85 with 32, 5e-9 at 0.8 with 48.
 BANDS, ROWS, BITS = 32, 5, 8
-#: A pair of similarity s shares no band with probability (1 - s^5)^32: 7e-9 at 0.85.
-LANES = BANDS * ROWS
 #: Estimates this far below the threshold are not looked at further. The
-#: estimate's deviation is below 0.035 at 0.85, so this is over five of them.
+#: estimate's deviation is below 0.035 at 0.8 and above, so this is over five of them.
 SLACK = 0.2
+#: One-bit lanes of the finer signature, and the same for its estimate, whose
+#: deviation is below 0.0135 there.
+FINE = 2048
+FINE_SLACK = 0.07
 _RNG = np.random.default_rng(20240229)
-_A = _RNG.integers(0, 1 << 32, LANES, np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, LANES, np.uint32)
+_A = _RNG.integers(0, 1 << 32, FINE, np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, FINE, np.uint32)
 
 
 def shingle_sets(raw: np.ndarray, borders: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -61,41 +65,53 @@ def digests(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def signatures(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Low bytes of the minima, a row of ``LANES`` bytes for each set (empty: zeros)."""
+def _minima(sets: np.ndarray, cuts: np.ndarray, lanes: int, bits: int) -> np.ndarray:
+    """Low bits of the minima, a row of ``lanes`` for each set (empty: zeros)."""
     some = np.flatnonzero(np.diff(cuts) > 0)
-    out = np.zeros((len(cuts) - 1, LANES), np.uint8)
+    out = np.zeros((len(cuts) - 1, lanes), np.uint8)
     if not len(some):
         return out
     x, heads = (sets >> U64(32)).astype(np.uint32), cuts[:-1][some]
-    for lane in range(LANES):
-        out[some, lane] = np.minimum.reduceat(x * _A[lane] + _B[lane], heads) & np.uint32((1 << BITS) - 1)
+    for lane in range(lanes):
+        out[some, lane] = np.minimum.reduceat(x * _A[lane] + _B[lane], heads) & np.uint32((1 << bits) - 1)
     return out
 
 
-def document_sets(documents: DataFrame, *, with_signature: bool = True) -> DataFrame:
-    """``doc_id, n, d1, d2`` of every row, and ``sig``, the signature as 20 longs."""
+def signatures(sets: np.ndarray, cuts: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    return _minima(sets, cuts, bands * ROWS, BITS)
+
+
+def fine_signatures(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """One bit of each of many minima, packed."""
+    return np.packbits(_minima(sets, cuts, FINE, 1), axis=1)
+
+
+def _longs(packed: np.ndarray) -> pa.Array:
+    values = np.ascontiguousarray(packed).view("<i8")
+    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
+
+
+def document_sets(documents: DataFrame, *, shingle: int = SHINGLE, bands: int = BANDS) -> DataFrame:
+    """``doc_id, n, d1, d2, sig`` of every row: the size of its set, 128 bits that tell
+    it, and its signature as longs."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, borders in text_slices(batch.column(1)):
-                sets, cuts = shingle_sets(raw, borders)
+                sets, cuts = shingle_sets(raw, borders, shingle)
                 d1, d2 = digests(sets, cuts)
-                cells = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts)), pa.array(d1), pa.array(d2)]
-                if with_signature:
-                    packed = signatures(sets, cuts).view("<i8")
-                    offsets = np.arange(0, packed.size + 1, packed.shape[1], dtype=np.int32)
-                    cells.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed.ravel())))
-                yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n", "d1", "d2", "sig"][: len(cells)])
-
-    schema = "doc_id long, n long, d1 long, d2 long" + ", sig array<long>" * with_signature
+                cells = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts)), pa.array(d1), pa.array(d2), _longs(signatures(sets, cuts, bands))]
+                yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n", "d1", "d2", "sig"])
+
+    schema = "doc_id long, n long, d1 long, d2 long, sig array<long>"
     return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def band_keys(sig: str) -> Column:
+def band_keys(sig: str, bands: int) -> Column:
     """Array of the signature's band keys, five bytes each under the band's number."""
     keys = []
-    for band in range(BANDS):
+    for band in range(bands):
         at, shift = divmod(band * ROWS, 8)
         low = F.shiftrightunsigned(F.col(sig)[at], 8 * shift)
         if shift + ROWS > 8:
@@ -104,19 +120,19 @@ def band_keys(sig: str) -> Column:
     return F.array(*keys)
 
 
-def estimate(a: str, b: str) -> Column:
-    """Similarity from the differing bits: lanes that differ have half their bits
-    differ, so a share s of equal lanes leaves (1 - s) / 2 of the bits; that corrects
-    for lanes and bits that agree by chance."""
-    bits = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LANES // 8)), F.lit(0))
-    return F.lit(1.0) - bits.cast("double") * (2.0 / (LANES * BITS))
+def estimate(a: str, b: str, longs: int) -> Column:
+    """Similarity from the differing bits of two signatures: lanes that differ have
+    half their bits differ, so a share s of equal minima leaves (1 - s) / 2 of the
+    bits; that corrects for minima whose low bits agree by chance."""
+    bits = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)), F.lit(0))
+    return F.lit(1.0) - bits.cast("double") * (2.0 / (64 * longs))
 
 
 def _zip(texts: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(texts)
 
 
-def node_texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+def node_texts(documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """``node, ztext``: the compressed text of one document of each node."""
     needed = nodes.select("node", F.col("node.rep").alias("rep"), F.col("node.d1").alias("d1"))
     texts = documents.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
@@ -125,7 +141,7 @@ def node_texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lo, hi, raw, borders in text_slices(batch.column(1)):
-                sets, cuts = shingle_sets(raw, borders)
+                sets, cuts = shingle_sets(raw, borders, shingle)
                 d1, _ = digests(sets, cuts)
                 same = np.flatnonzero(d1 == batch.column(2).slice(lo, hi - lo).to_numpy())
                 data = raw.tobytes()
@@ -137,10 +153,24 @@ def node_texts(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     return zipped.groupBy("rep", "d1").agg(F.first("ztext").alias("ztext")).select(F.struct("rep", "d1").alias("node"), "ztext")
 
 
-def confirmed(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def fine_estimates(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node, fine``: the finer signature of each text."""
+
+    def run(batches):
+        plain = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                held = [plain.decompress(x) for x in part.column(1).to_pylist()]
+                raw = np.frombuffer(b"".join(held), np.uint8)
+                sets, cuts = shingle_sets(raw, np.concatenate([[0], np.cumsum([len(x) for x in held])]), shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), _longs(fine_signatures(sets, cuts))], ["node", "fine"])
+
+    return texts.select("node", "ztext").mapInArrow(run, "node struct<rep:long,d1:long>, fine array<long>")
+
+
+def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets have 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    texts = cut_lineage(node_texts(documents, nodes), "texts")
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("ztext").alias("ta")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("ztext").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -154,7 +184,7 @@ def confirmed(documents: DataFrame, pairs: DataFrame, percent: int) -> DataFrame
                 for cell in (part.column(2), part.column(3)):
                     texts = [plain.decompress(x) for x in cell.to_pylist()]
                     raw = np.frombuffer(b"".join(texts), np.uint8)
-                    sets, cuts = shingle_sets(raw, np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+                    sets, cuts = shingle_sets(raw, np.concatenate([[0], np.cumsum([len(x) for x in texts])]), shingle)
                     sizes.append(np.diff(cuts))
                     columns.append((np.repeat(np.arange(part.num_rows), np.diff(cuts)), sets))
                 rows = np.concatenate([columns[0][0], columns[1][0]])
@@ -190,47 +220,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(documents: DataFrame, *, percent: int = 85) -> DataFrame:
+def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS) -> DataFrame:
     """``doc_id, n, d1, d2, component_id, is_node``, one row per document.
 
-    Sets are the distinct three-word shingles of the lower-cased text. Rows of one
+    Sets are the distinct shingles (of three words by default) of the lower-cased text. Rows of one
     set are copies of each other; ``is_node`` marks the row(s) that stand for their
     whole component. Null and empty texts have no set and are linked with nothing,
     as are rows without an id. Repeated rows have the same result.
     """
-    rows = cut_lineage(document_sets(documents), "sets")
+    rows = cut_lineage(document_sets(documents, shingle=shingle, bands=bands), "sets")
     real = rows.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = cut_lineage(
         real.groupBy("n", "d1", "d2", "sig").agg(F.min("doc_id").alias("rep"))
         .select(F.struct("rep", "d1").alias("node"), "n", "d1", "d2", "sig"), "nodes",
     )
-    banded = nodes.select("node", F.explode(band_keys("sig")).alias("bucket"))
+    banded = nodes.select("node", F.explode(band_keys("sig", bands)).alias("bucket"))
     # Centres by a hash, so that a bucket's centre is no particular document.
     order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
     centres = banded.groupBy("bucket").agg(F.min(order)["node"].alias("centre"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
     members = cut_lineage(banded.join(centres, "bucket"), "buckets")
 
+    # The text of one document of each node that shares a bucket moves once.
+    texts = cut_lineage(node_texts(documents, members.select("node").distinct(), shingle), "texts")
+
     signed = nodes.select("node", "sig", "n")
-    cut = percent / 100 - SLACK
     pairs = members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = cut_lineage(confirmed(documents, cut_lineage(_plausible(pairs, signed, cut, percent), "pairs"), percent), "links")
+    longs, cut = bands * ROWS // 8, percent / 100 - SLACK
+    links = cut_lineage(confirmed(texts, cut_lineage(_plausible(pairs, signed, longs, cut, percent), "pairs"), percent, shingle), "links")
     labels = components(links)
 
-    # What is left: pairs of a bucket in two components. A component that is alone
-    # in its bucket has none.
+    # What is left: pairs of a bucket in two components. They are looked at with the
+    # finer signature, and those that may be alike on their full sets.
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("centre")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).filter("low != high")
-    left = labelled.join(mixed.select("bucket", "main"), "bucket").join(signed, "node")
-    left = cut_lineage(left, "mixed")
-    minor = left.filter("label != main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"), F.col("n").alias("na"))
-    others = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"), F.col("n").alias("nb"), "main")
-    close = (estimate("sa", "sb") >= cut) & _sizes_fit("na", "nb", percent)
+    open_rows = cut_lineage(labelled.join(mixed.select("bucket", "main"), "bucket"), "mixed")
+    fine = cut_lineage(fine_estimates(texts.join(open_rows.select("node").distinct(), "node", "left_semi"), shingle), "fine")
+    left = open_rows.join(fine.join(nodes.select("node", "n"), "node"), "node")
+    minor = left.filter("label != main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("fine").alias("fa"), F.col("n").alias("na"))
+    others = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("fine").alias("fb"), F.col("n").alias("nb"), "main")
+    close = _sizes_fit("na", "nb", percent) & (estimate("fa", "fb", FINE // 64) >= percent / 100 - FINE_SLACK)
     # Of two minor ones, one order is enough.
     once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))
     rest = minor.join(others, (minor["bucket"] == others["bucket"]) & (F.col("la") != F.col("lb")) & once & close).select("a", "b").distinct()
-    rest = cut_lineage(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti").join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
+    rest = cut_lineage(rest, "rest")
     if rest.limit(1).count():
-        links = cut_lineage(links.unionAll(confirmed(documents, rest, percent)), "links")
+        links = cut_lineage(links.unionAll(confirmed(texts, rest, percent, shingle)), "links")
         labels = components(links)
 
     known = nodes.select("n", "d1", "d2", "node").join(labels, "node", "left").select("n", "d1", "d2", "node", F.coalesce("label", "node").alias("label"))
@@ -248,23 +282,23 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def _plausible(pairs: DataFrame, signed: DataFrame, cut: float, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, signed: DataFrame, longs: int, cut: float, percent: int) -> DataFrame:
     left = pairs.join(signed.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a")
     both = left.join(signed.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
-    return both.filter(_sizes_fit("na", "nb", percent) & (estimate("sa", "sb") >= cut)).select("a", "b")
+    return both.filter(_sizes_fit("na", "nb", percent) & (estimate("sa", "sb", longs) >= cut)).select("a", "b")
 
 
-def remove_near_duplicates(documents: DataFrame, *, percent: int = 85) -> DataFrame:
+def remove_near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = SHINGLE, bands: int = BANDS) -> DataFrame:
     """One document of each component, the one with the smallest id, with its columns.
     Documents without a set or an id stay; of repeated rows one stays."""
     columns = documents.columns
     packed = documents.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    kept = near_duplicates(documents, percent=percent).filter("is_node AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2").distinct()
+    kept = near_duplicates(documents, percent=percent, shingle=shingle, bands=bands).filter("is_node AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2").distinct()
 
     def add(batches):
         for batch in batches:
             for lo, hi, raw, borders in text_slices(batch.column(1)):
-                sets, cuts = shingle_sets(raw, borders)
+                sets, cuts = shingle_sets(raw, borders, shingle)
                 d1, d2 = digests(sets, cuts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts)), pa.array(d1), pa.array(d2), batch.column(2).slice(lo, hi - lo)],

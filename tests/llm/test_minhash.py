@@ -89,13 +89,14 @@ def test_one_of_each_group_stays(spark, family):
 
 
 def test_estimate_follows_similarity():
-    from loometry.llm.minhash import LANES, signatures
+    from loometry.llm.minhash import fine_signatures, signatures
 
     rng = np.random.default_rng(2)
     x = np.sort(rng.integers(0, 1 << 63, 2000).astype(np.uint64))
     for share in (0.5, 0.85):
         n = round(2000 * share)
         y = np.sort(np.concatenate([x[:n], rng.integers(0, 1 << 63, 2000 - n).astype(np.uint64)]))
-        sig = signatures(np.concatenate([x, y]), np.array([0, 2000, 4000]))
-        differ = np.unpackbits(sig[0] ^ sig[1]).sum()
-        assert abs(1 - 2 * differ / (8 * LANES) - n / (4000 - n)) < 0.15
+        for make, off in ((signatures, 0.15), (fine_signatures, 0.06)):
+            sig = make(np.concatenate([x, y]), np.array([0, 2000, 4000]))
+            differ = np.unpackbits(sig[0] ^ sig[1]).sum()
+            assert abs(1 - 2 * differ / (8 * sig.shape[1]) - n / (4000 - n)) < off
