@@ -204,22 +204,31 @@ def marked(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def encode(documents: DataFrame, model_file: str, *, text: str = "text") -> DataFrame:
     """All columns plus ``_ids`` (array of int): what the SentencePiece library gives
-    for the whole text, without begin and end ids. Null and empty texts have no ids.
-    The file lies on every machine. Rows stand on their own; nothing is shuffled."""
+    for the whole text, without begin and end ids; and ``_same``, whether the ids decode
+    to the text again (they do unless it holds the mark itself). Null and empty texts
+    have no ids. The file lies on every machine. Rows stand on their own; nothing is
+    shuffled."""
     columns = documents.columns
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    place = columns.index(text)
 
     def run(batches):
         pieces = loaded(model_file)
         for batch in batches:
-            for lo, hi, raw, borders in text_slices(batch.column(1)):
+            for lo, hi, raw, borders in text_slices(batch.column(0).field(place)):
                 ids, counts = pieces.encode(*marked(raw, borders))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                again, sizes = pieces.decode(ids, counts)
+                ends = np.cumsum(sizes)
+                same = [
+                    size == b - a and bool((again[end - size : end] == raw[a:b]).all())
+                    for end, size, a, b in zip(ends.tolist(), sizes.tolist(), borders[:-1].tolist(), borders[1:].tolist(), strict=True)
+                ]
                 cell = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), cell], ["row", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), cell, pa.array(same, pa.bool_())], ["row", "ids", "same"])
 
-    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>")
-    return out.select(*[F.col("row")[c].alias(c) for c in columns], F.col("ids").alias("_ids"))
+    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, same boolean")
+    return out.select(*[F.col("row")[c].alias(c) for c in columns], F.col("ids").alias("_ids"), F.col("same").alias("_same"))
 
 
 def decode(rows: DataFrame, model_file: str, *, ids: str = "_ids") -> DataFrame:

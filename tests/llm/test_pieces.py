@@ -35,18 +35,18 @@ def test_edge_texts(spark, library):
     rows = [(i, t, "r") for i, t in enumerate(TEXTS)] * 2 + [(None, "no id", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
     both = decode(encode(docs, MODEL), MODEL)
-    assert both.columns == ["doc_id", "text", "row", "_ids", "_decoded"]
+    assert both.columns == ["doc_id", "text", "row", "_ids", "_same", "_decoded"]
     found = both.collect()
     assert len(found) == len(rows)
     for r in found:
-        assert r._ids == library.encode(r.text or "") and r._decoded == (r.text or "")
+        assert r._ids == library.encode(r.text or "") and r._decoded == (r.text or "") and r._same
     assert encode(docs.limit(0), MODEL).count() == 0
 
 
 def test_a_literal_mark_reads_as_a_space(spark, library):
     docs = spark.createDataFrame([("a▁b ▁c▁",)], "text string")
     r = decode(encode(docs, MODEL), MODEL).first()
-    assert r._ids == library.encode("a▁b ▁c▁") and r._decoded == "a b  c "
+    assert r._ids == library.encode("a▁b ▁c▁") and r._decoded == "a b  c " and not r._same
 
 
 def test_ids_that_are_no_text(spark):
