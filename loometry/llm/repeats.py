@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import U64, flat, ranges, sliding_min, span_hashes, text_slices, window_hashes
+from loometry.llm.arrays import SLICE_BYTES, U64, flat, ranges, sliding_min, span_hashes, text_slices, window_hashes
 from loometry.session import cut_lineage
 
 #: Entries of one minimiser beyond which its windows are dealt one by one.
@@ -90,6 +91,35 @@ def prepared(documents: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def zipped(docs: DataFrame) -> DataFrame:
+    """``docs`` with the compressed ``ztext`` in place of ``text``, to be shuffled."""
+    columns = [c for c in docs.columns if c != "text"]
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for lo, hi, raw, borders in text_slices(batch.column(len(columns))):
+                data = raw.tobytes()
+                cells = [pack.compress(data[a:b]) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], pa.array(cells, pa.binary())], [*columns, "ztext"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
+    return docs.select(*columns, "text").mapInArrow(run, f"{schema}, ztext binary")
+
+
+def unzipped(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What ``text_slices`` gives, from compressed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    held, size, lo = [], 0, 0
+    for i, cell in enumerate(column):
+        held.append(unpack.decompress(cell.as_py()))
+        size += len(held[-1])
+        if size >= limit or i == len(column) - 1:
+            borders = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            yield lo, i + 1, np.frombuffer(b"".join(held), np.uint8), borders
+            held, size, lo = [], 0, i + 1
+
+
 def _short(tid: pa.Array) -> np.ndarray:
     """The first eight bytes of each text hash."""
     raw, _ = flat(tid)
@@ -176,14 +206,15 @@ def _full(counts: np.ndarray) -> np.ndarray:
 
 def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
     """Strings of flagged super-k-mers, packed by bucket. ``docs`` has ``key, tid,
-    hashes, text``, one row per distinct text."""
+    hashes, ztext``, one row per distinct text."""
     size = scheme.window
 
     def emit(batches):
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             keys, short = batch.column(0).to_numpy(), _short(batch.column(1))
             flags = batch.column(2)
-            for lo, hi, raw, borders in text_slices(batch.column(3)):
+            for lo, hi, raw, borders in unzipped(batch.column(3)):
                 symbols, cuts, starts, ends = scheme.symbols(raw, borders)
                 row, first, count, value = runs(scheme, symbols, cuts)
                 if not len(row):
@@ -241,7 +272,7 @@ def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
                         x = go[at]
                         length = (stop - begin)[at]
                         yield _row(
-                            bucket, raw[ranges(begin[at], length)].tobytes(), length.astype("<u4").tobytes(), key[x].astype("<i8").tobytes(),
+                            bucket, pack.compress(raw[ranges(begin[at], length)].tobytes()), length.astype("<u4").tobytes(), key[x].astype("<i8").tobytes(),
                             text[x].astype("<i8").tobytes(), head[x].astype("<u4").tobytes(), c[x].astype("u1").tobytes(), multi[at].tobytes(), b"",
                         )
                     if len(found):
@@ -251,7 +282,7 @@ def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
         names = [x.split()[0] for x in _STRINGS.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]], names)
 
-    return docs.select("key", "tid", "hashes", "text").mapInArrow(emit, _STRINGS)
+    return docs.select("key", "tid", "hashes", "ztext").mapInArrow(emit, _STRINGS)
 
 
 def _salt(rows: np.ndarray) -> np.ndarray:
@@ -281,7 +312,9 @@ def found_windows(strings: DataFrame, scheme: Scheme) -> DataFrame:
         keys, counts, multi = cell("keys", "<i8"), cell("counts", "u1").astype(np.int64), cell("multi", "u1") > 0
         owned = [cell("found", _OWNED)]
         if len(lengths):
-            bucket = Bucket(flat(group["strings"])[0], np.concatenate([[0], np.cumsum(lengths)]), keys, counts, multi)
+            unpack = zstandard.ZstdDecompressor()
+            raw = b"".join(unpack.decompress(x) for x in group["strings"].to_pylist() if x)
+            bucket = Bucket(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(lengths)]), keys, counts, multi)
             again = scheme.judge(bucket)  # one flag per window, string by string
             heads = np.cumsum(counts) - counts
             bit = np.arange(len(again)) - np.repeat(heads, counts)
@@ -312,7 +345,7 @@ def repeated_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
     firsts = cut_lineage(firsts.withColumn("short", _short_column("tid")), "texts")
     flags = flagged_minimisers(docs, scheme, 4 * parts).groupBy("text").agg(F.collect_list("hashes").alias("hashes"))
     chosen = firsts.join(flags, firsts["short"] == flags["text"]).select("key", "tid", "hashes")
-    texts = docs.join(chosen, ["key", "tid"])
+    texts = zipped(docs).join(chosen, ["key", "tid"])
     found = found_windows(travelling(texts, scheme, 8 * parts), scheme)
     gathered = found.groupBy("key", "text").agg(F.collect_list("found").alias("found"))
     return cut_lineage(
@@ -329,6 +362,20 @@ def _short_column(tid: str):
     return out
 
 
+def with_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
+    """``row`` (all columns but the text), ``is_null``, ``ztext``, ``copies`` and ``found``
+    of every document; ``copies`` is null for later copies of a text."""
+    found = repeated_windows(documents, scheme)
+    rest = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"])
+    rows = documents.select(rest.alias("row"), "doc_id", "text", F.col("text").isNull().alias("is_null"))
+    return zipped(prepared(rows, "row", "is_null")).join(found, ["key", "tid"], "left").select("row", "is_null", "ztext", "copies", "found")
+
+
+def original_columns(documents: DataFrame):
+    """The columns of ``documents`` out of ``row`` and ``text``."""
+    return [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns]
+
+
 def window_starts(cells: list[bytes] | None) -> np.ndarray:
     """First symbols of the windows in a document's cells."""
     found = np.frombuffer(b"".join(cells or []), _FOUND)

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import NOT_SPACE, covered, ranges, span_hashes, text_slices, words
-from loometry.llm.repeats import Bucket, Scheme, prepared, repeated_windows, window_starts
+from loometry.llm.arrays import NOT_SPACE, covered, ranges, span_hashes, words
+from loometry.llm.repeats import Bucket, Scheme, original_columns, unzipped, window_starts, with_windows
 
 WINDOW = 35
 #: Words of a minimiser.
@@ -54,23 +54,19 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     first included. Shorter texts, null and empty ones lose nothing. Repeated rows are
     copies of each other.
     """
-    columns = documents.columns
-    found = repeated_windows(documents, SCHEME).withColumn("known", F.lit(True))
-    row = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "text")
-    keyed = prepared(row, "row")
-    both = keyed.join(found, ["key", "tid"], "left").select("row", "text", "known", "copies", "found")
+    both = with_windows(documents, SCHEME)
 
     def cut(batches):
         for batch in batches:
-            known, copies, cells = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            for lo, hi, raw, borders in text_slices(batch.column(1)):
+            empty, copies, cells = (batch.column(i).to_pylist() for i in (1, 3, 4))
+            for lo, hi, raw, borders in unzipped(batch.column(2)):
                 starts, ends, cuts = words(raw, borders, NOT_SPACE)
                 total, gone, texts, digests = [], [], [], []
                 data = raw.tobytes()
                 for i in range(hi - lo):
                     a, b = int(cuts[i]), int(cuts[i + 1])
                     j = lo + i
-                    if known[j] and copies[j] == 1:
+                    if copies[j] == 1:
                         first = window_starts(cells[j])
                         out = covered(b - a, first, first + WINDOW)
                     else:
@@ -85,8 +81,10 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                     [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(digests, pa.string())],
                     ["n_words", "n_removed", "text", "sha256"],
                 )
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), kept], ["row", "kept"])
-
-    schema = f"row {row.schema['row'].dataType.simpleString()}, kept struct<n_words:long,n_removed:long,text:string,sha256:string>"
-    return both.mapInArrow(cut, schema).select(*[F.col("row")[c].alias(c) for c in columns], F.col("kept").alias("_kept"))
+                given = [None if empty[lo + i] else data[borders[i] : borders[i + 1]] for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(given, pa.binary()).cast(pa.string()), kept], ["row", "text", "kept"]
+                )
 
+    schema = f"row {both.schema['row'].dataType.simpleString()}, text string, kept struct<n_words:long,n_removed:long,text:string,sha256:string>"
+    return both.mapInArrow(cut, schema).select(*original_columns(documents), F.col("kept").alias("_kept"))
