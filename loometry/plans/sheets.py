@@ -166,7 +166,7 @@ SELECT '{TABLE}' AS table, {N_ROWS} AS n_rows, name, type FROM (VALUES ('cust_ke
 """)
 def s9(m):
     house, _ = warehouse(m)
-    return column_summary(m.spark.table(TABLE), TABLE)
+    return column_summary(house.spark.table(TABLE), TABLE)
 
 
 @query("s10_run_sql", f"""
@@ -178,20 +178,32 @@ def s10(m):
     return m.spark.createDataFrame([tuple(r.values()) for r in out["rows"]], "note string, n long, mean double")
 
 
-@query("l4_bounded_rows", "SELECT 500 AS row_count, true AS truncated, (SELECT count(*) > 500 FROM lineitem) AS more")
+@query("l4_bounded_rows", """
+SELECT l_shipmode, least(count(DISTINCT l_suppkey), 500) AS row_count, count(DISTINCT l_suppkey) > 500 AS truncated,
+  max(l_suppkey) FILTER (WHERE r <= 500) AS last FROM (
+  SELECT *, dense_rank() OVER (PARTITION BY l_shipmode ORDER BY l_suppkey) AS r FROM lineitem) GROUP BY 1
+UNION ALL SELECT 'ALL', least(count(*), 500), count(*) > 500, max(l_orderkey) FILTER (WHERE r <= 500) FROM (
+  SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem)
+""")
 def l4(m):
+    """The first rows of one statement per ship mode, and of one over all lines."""
     house = Warehouse(m.spark, shared_dir(m.spark, "warehouse"))
     house.register("lineitem", m.raw("lineitem"))
-    out = house.run_sql("SELECT l_orderkey FROM lineitem")
-    return m.spark.createDataFrame([(out["row_count"], out["truncated"], out["truncated"])], "row_count int, truncated boolean, more boolean")
+    modes = [r[0] for r in m.raw("lineitem").select("l_shipmode").distinct().collect()]
+    texts = {k: f"SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_shipmode = '{k}' ORDER BY k" for k in modes}
+    texts["ALL"] = "SELECT l_orderkey AS k FROM lineitem ORDER BY l_orderkey, l_linenumber"
+    found = {k: house.run_sql(text) for k, text in texts.items()}
+    rows = [(k, out["row_count"], out["truncated"], out["rows"][-1]["k"]) for k, out in found.items()]
+    return m.spark.createDataFrame(rows, "l_shipmode string, row_count long, truncated boolean, last long")
 
 
-@query("f15_table_whitelist", f"SELECT 'allowed' AS case_name, '' AS error UNION ALL SELECT 'blocked', 'query references tables disabled in this session: {TABLE}' UNION ALL SELECT 'empty list', ''")
+@query("f15_table_whitelist", f"SELECT 'allowed' AS case_name, '' AS error, {N_ROWS} AS n UNION ALL SELECT 'blocked', 'query references tables disabled in this session: {TABLE}', NULL UNION ALL SELECT 'empty list', '', {N_ROWS}")
 def f15(m):
     house, _ = warehouse(m)
     cases = {"allowed": [TABLE], "blocked": ["other"], "empty list": []}
-    rows = [(name, house.run_sql(f"SELECT count(*) FROM {TABLE}", allowed=a).get("error", "")) for name, a in cases.items()]
-    return m.spark.createDataFrame(rows, "case_name string, error string")
+    found = {name: house.run_sql(f"SELECT count(*) AS n FROM {TABLE}", allowed=a) for name, a in cases.items()}
+    rows = [(name, out.get("error", ""), out["rows"][0]["n"] if "rows" in out else None) for name, out in found.items()]
+    return m.spark.createDataFrame(rows, "case_name string, error string, n long")
 
 
 @query("s11_table_scan", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")

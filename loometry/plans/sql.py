@@ -9,7 +9,7 @@ from loometry.operators import ranking as rk
 from loometry.operators.timeline import asof_last
 from loometry.plans.registry import query
 from loometry.session import shared_dir
-from loometry.sources.warehouse import Warehouse, check_sql
+from loometry.sources.warehouse import Warehouse
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
 
@@ -20,10 +20,7 @@ def user_sql(m, text: str):
     for name in TABLES:
         if name in text:
             house.register(name, m.raw(name))
-    checked, refusal = check_sql(text, TABLES)
-    if refusal:
-        raise ValueError(refusal)
-    return house.query(checked)
+    return house.query(text)
 
 
 def passthrough(name: str, text: str, oracle: str | None = None):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loometry.functions.text import parse_number
 from loometry.sources import sheets as sh
 from loometry.sources.tables import read_table, table_names, write_table
-from loometry.sources.warehouse import Warehouse, bounded, check_sql
+from loometry.sources.warehouse import Warehouse, first_rows_of
 from loometry.session import cut_lineage
 
 
@@ -99,19 +99,46 @@ def test_parse_number(spark):
     assert got == cases
 
 
-def test_guard():
-    tables = ["up_a", "up_b", "uploads_catalog"]
-    assert check_sql(" select 1 ; ", tables) == ("select 1", None)
-    assert check_sql("WITH t AS (SELECT 1) SELECT * FROM t", tables)[1] is None
-    assert "single statement" in check_sql("select 1; select 2", tables)[1]
-    assert "single statement" in check_sql("select ';'", tables)[1]
-    assert "SELECT/WITH" in check_sql("show tables", tables)[1]
-    assert "SELECT/WITH" in check_sql("", tables)[1]
-    assert "forbidden" in check_sql("select 'call'", tables)[1]
-    assert "forbidden" in check_sql("select reflect('java.lang.System', 'exit', 1)", tables)[1]
-    assert check_sql("select settle from up_a", tables)[1] is None
-    assert check_sql("select * from up_a, up_b", tables, ["up_a"])[1].endswith("up_b")
-    assert check_sql("select * from uploads_catalog", tables, ["up_a"])[1] is None
+@pytest.fixture()
+def house(spark, tmp_path):
+    made = Warehouse(spark, str(tmp_path / "guarded"))
+    made.register("up_open", spark.range(3))
+    made.register("up_secret", spark.range(5))
+    made.register("uploads_catalog", spark.range(1))
+    return made
+
+
+def test_gate_lets_queries_pass(house):
+    for text in (" select 1 ; ", "WITH t AS (SELECT 1 AS a) SELECT * FROM t", "select 'call; drop' AS settle", "SELECT count(*) FROM up_open, range(4)",
+                 "SELECT * FROM (VALUES (1), (2)) v(a)", "FROM up_open SELECT id", "SELECT * FROM uploads_catalog"):
+        assert "rows" in house.run_sql(text, allowed=["up_open"]), text
+
+
+def test_gate_refuses(house):
+    cases = {
+        "single statement": ["select 1; select 2"],
+        "SELECT/WITH": ["", "show tables", "drop table up_open", "insert into up_open values (1)", "set a=b", "cache table up_open", "with t as (select 1) insert into up_open select * from t", "create temp view x as select 1", "explain select 1"],
+        "forbidden": ["select reflect('java.lang.System', 'exit', 1)", "select 1 where exists (select java_method('a', 'b'))", "SELECT * FROM IDENTIFIER('up_' || 'secret')",
+                      "SELECT IDENTIFIER('reflect')('java.lang.System', 'exit', 1)", "WITH t AS (SELECT * FROM IDENTIFIER('up_secret')) SELECT * FROM t"],
+        "disabled in this session: up_secret": ["select * from up_secret", "SELECT * FROM up_open WHERE id IN (SELECT id FROM up_secret)", "WITH a AS (WITH b AS (SELECT * FROM up_secret) SELECT * FROM b) SELECT * FROM a",
+                                               "SELECT (SELECT max(id) FROM UP_SECRET) FROM up_open", "SELECT * FROM up_open, LATERAL (SELECT * FROM up_secret) s"],
+    }
+    for reason, texts in cases.items():
+        for text in texts:
+            assert reason in house.run_sql(text, allowed=["up_open"]).get("error", ""), (text, house.run_sql(text, allowed=["up_open"]))
+
+
+def test_two_warehouses_do_not_share_tables_or_settings(spark, tmp_path):
+    before = spark.conf.get("spark.sql.runSQLOnFiles")
+    a, b = Warehouse(spark, str(tmp_path / "a")), Warehouse(spark, str(tmp_path / "b"))
+    for house, n in ((a, 5), (b, 1)):
+        path = tmp_path / "Same.csv"
+        path.write_text("k,v\n" + "x,1\n" * n)
+        house.ingest(str(path))
+    assert [h.run_sql("SELECT count(*) AS n FROM up_same")["rows"] for h in (a, b)] == [[{"n": 5}], [{"n": 1}]]
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == before and not spark.catalog.tableExists("up_same")
+    spark.range(1).createOrReplaceTempView("other_session_table")
+    assert "error" in a.run_sql("SELECT * FROM other_session_table")
 
 
 def test_warehouse(spark, tmp_path):
@@ -138,7 +165,7 @@ def test_warehouse(spark, tmp_path):
     spark.range(3).createOrReplaceTempView("secret")
     for hidden in ("SELECT * FROM secret", "SELECT 1 WHERE EXISTS (SELECT 1 FROM secret)", "WITH x AS (SELECT * FROM secret) SELECT * FROM x",
                    "SELECT * FROM default.up_my_sheet", "SELECT * FROM global_temp.secret"):
-        assert "outside this warehouse" in house.run_sql(hidden)["error"], hidden
+        assert "error" in house.run_sql(hidden), hidden
     assert house.run_sql("WITH x AS (SELECT * FROM up_my_sheet) SELECT count(*) AS n FROM x")["rows"] == [{"n": 3}]
     # A second session over the same folder finds the table again.
     assert Warehouse(spark, str(tmp_path / "house")).tables() == ["up_my_sheet"]
@@ -150,8 +177,8 @@ def test_warehouse(spark, tmp_path):
 
 
 def test_bounded(spark):
-    assert bounded(spark.range(5), 5)["truncated"] is False
-    assert bounded(spark.range(6), 5)["truncated"] is True
+    assert first_rows_of(spark.range(5), 5)["truncated"] is False
+    assert first_rows_of(spark.range(6), 5)["truncated"] is True
 
 
 def test_unfinished_version_is_ignored(spark, tmp_path):
