@@ -79,6 +79,13 @@ WHITESPACE = (
 # Spark functions that reach outside the tables.
 FORBIDDEN_FUNCTIONS = ["reflect", "try_reflect", "java_method"]
 
+# Refusal of a batch sheet.
+MISSING_COLUMNS = "Missing required columns: "
+
+# Line patterns of research documents: headings and list items.
+HEADING = r"^\s*#{1,6}\s+(.*\S)\s*$"
+LIST_ITEM = r"^\s*(?:[0-9]+[.)]|[-*•])\s+(.*\S)\s*$"
+
 # Refusals of the SQL gate.
 NOT_ONE_STATEMENT = "only a single statement is allowed (no ';')."
 NOT_A_QUERY = "only SELECT/WITH queries are allowed."

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,12 @@ def parse_number(col: Column) -> Column:
     return F.when(plain & finite, value).when(words & (unsigned != ""), infinite)
 
 
+def parse_whole(col: Column) -> Column:
+    """The cell as a long, null when it is not written as a whole number that fits."""
+    body = F.btrim(col, F.lit(" \t\n\r\x0b\x0c"))
+    return F.when(body.rlike("^[+-]?[0-9]+$"), body.try_cast("long"))
+
+
 def char_limit(label: Column) -> Column:
     """The number in a ``MAX n`` hint, null when there is none."""
     digits = F.regexp_extract(label, r"(?i)max\s*([0-9]+)", 1)
@@ -82,18 +90,12 @@ def language_of(market: Column) -> Column:
     return F.coalesce(names[market], market)
 
 
-def normalize_header(name: str) -> str:
-    """``Aspect Ratio`` -> ``aspect_ratio`` (one header name, on the driver)."""
-    return "_".join(name.strip().lower().split())
+def snake_case(name: str) -> str:
+    """One header name in lower case, its words joined by ``_``."""
+    return re.sub(r"\s+", "_", name.strip()).lower()
 
 
 def reply_object(reply: Column) -> Column:
     """The JSON object inside a (possibly fenced) reply as map<string,string>."""
     body = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
     return F.from_json(F.nullif(body, F.lit("")), "map<string,string>")
-
-
-def reply_text(reply: Column, index: Column, source: Column) -> Column:
-    """Item ``index`` of a reply, falling back to the source text."""
-    parsed = reply_object(reply)
-    return F.coalesce(strip(F.try_element_at(parsed, index.cast("string"))), source)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loometry.functions.media import not_deleted
 from loometry.functions.review import duration_seconds, final_run_status
-from loometry.functions.text import normalize_header
+from loometry import fixed
+from loometry.functions.text import snake_case
 from loometry.operators.timeline import asof_last
 from loometry.session import cut_lineage
 
@@ -169,18 +170,15 @@ def _mentions(values: DataFrame) -> DataFrame:
 # --- batch runs --------------------------------------------------------------------
 
 def map_headers(headers: Sequence[str], expected: Sequence[str]) -> dict[str, str]:
-    """Input name per header; unknown headers are left out, missing inputs are
-    an error."""
-    mapping = {}
-    for header in headers:
-        name = normalize_header(header)
-        if name in expected:
-            mapping[header] = name
-        elif header in expected:
-            mapping[header] = header
-    missing = [name for name in expected if name not in mapping.values()]
-    if missing:
-        raise ValueError("Missing required columns: " + ", ".join(missing))
+    """Input per header: the one that its snake-case form names, else the one of its
+    very name. Headers that name no input are left out; an input that no header names
+    is an error."""
+    inputs = set(expected)
+    named = {header: [form for form in (snake_case(header), header) if form in inputs] for header in headers}
+    mapping = {header: forms[0] for header, forms in named.items() if forms}
+    unmet = inputs.difference(mapping.values())
+    if unmet:
+        raise ValueError(fixed.MISSING_COLUMNS + ", ".join(name for name in expected if name in unmet))
     return mapping
 
 

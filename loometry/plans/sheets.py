@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loometry.functions.text import slug
 from loometry.operators.lineage import batch_rows
 from loometry.operators.changes import replace_by_key
-from loometry.operators.scans import chunk_of
 from loometry.plans.registry import query
 from loometry.session import cut_lineage, shared_dir
 from loometry.sources import sheets as sh
@@ -88,22 +87,28 @@ def s3(m):
     return sh.with_header(sh.drop_empty(staged(m))).drop(*sh.POSITION)
 
 
-NUMBERED = """slugs AS (SELECT p_brand, p_partkey, left(CASE WHEN s = '' THEN 'col' WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END, 48) AS slug FROM (
-  SELECT p_brand, p_partkey, trim(regexp_replace(lower(trim(cell)), '[^0-9a-zA-Z]+', '_', 'g'), '_') AS s FROM (
-    SELECT *, CASE WHEN p_size % 9 = 0 THEN ' -- ' WHEN p_size % 4 = 0 THEN p_size || ' ' || p_name ELSE p_name || '!' END AS cell FROM part)))"""
+NUMBERED = """slugs AS (SELECT p_partkey, left(CASE WHEN s = '' THEN 'col' WHEN regexp_matches(s, '^[0-9]') THEN 'c_' || s ELSE s END, 48) AS slug FROM (
+  SELECT p_partkey, trim(regexp_replace(lower(trim(coalesce(cell, 'nan'))), '[^0-9a-zA-Z]+', '_', 'g'), '_') AS s FROM (
+    SELECT *, CASE WHEN p_size % 9 = 0 THEN ' -- ' WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 5 = 0 THEN 'A' WHEN p_size % 7 = 0 THEN 'a 2' WHEN p_size % 4 = 0 THEN p_size || ' ' || p_name ELSE p_name || '!' END AS cell FROM part)))"""
 
 
 @query("s4_clean_names", f"""
-WITH {NUMBERED} SELECT p_brand, p_partkey, slug || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS name FROM (
-  SELECT *, row_number() OVER (PARTITION BY p_brand, slug ORDER BY p_partkey) AS n FROM slugs)
+WITH RECURSIVE {NUMBERED},
+heads AS (SELECT p_partkey // 40 AS sheet, list(p_partkey ORDER BY p_partkey) AS keys, list(slug ORDER BY p_partkey) AS slugs FROM slugs GROUP BY 1),
+walk(sheet, i, names) AS (
+  SELECT sheet, 0, []::VARCHAR[] FROM heads
+  UNION ALL SELECT w.sheet, i + 1, list_append(names, CASE WHEN NOT list_contains(names, slugs[i + 1]) THEN slugs[i + 1]
+    ELSE list_filter(list_transform(range(2, 50), lambda n: slugs[i + 1] || '_' || n), lambda c: NOT list_contains(names, c))[1] END)
+  FROM walk w JOIN heads h ON w.sheet = h.sheet WHERE i < len(slugs))
+SELECT w.sheet, unnest(keys) AS p_partkey, unnest(names) AS name FROM walk w JOIN heads h ON w.sheet = h.sheet WHERE i = len(slugs)
 """)
 def s4(m):
     size = F.col("p_size")
-    cell = F.when(size % 9 == 0, " -- ").when(size % 4 == 0, F.concat(size.cast("string"), F.lit(" "), F.col("p_name"))).otherwise(
+    cell = F.when(size % 9 == 0, " -- ").when(size % 11 == 0, None).when(size % 5 == 0, "A").when(size % 7 == 0, "a 2").when(size % 4 == 0, F.concat(size.cast("string"), F.lit(" "), F.col("p_name"))).otherwise(
         F.concat("p_name", F.lit("!"))
     )
-    cells = m.raw("part").select("p_brand", "p_partkey", cell.alias("cell"))
-    return sh.slug_counts(cells, ["p_brand"], ["p_partkey"], chunk_of("p_partkey")).select("p_brand", "p_partkey", "name")
+    cells = m.raw("part").select(F.expr("p_partkey div 40").alias("sheet"), "p_partkey", cell.alias("cell"))
+    return sh.sheet_names(cells, ["sheet"], "p_partkey")
 
 
 @query("text_slug", """
@@ -115,7 +120,7 @@ def text_slug(m):
 
 
 @query("s5_coerce_numeric", f"""
-WITH {SHEET} SELECT c0::DOUBLE AS cust_key, c1 AS name, c2::DOUBLE AS acct_bal, c3 AS acct_bal_2, c4::DOUBLE AS c_2nd, c6 AS note
+WITH {SHEET} SELECT c0::BIGINT AS cust_key, c1 AS name, c2::DOUBLE AS acct_bal, c3 AS acct_bal_2, c4::DOUBLE AS c_2nd, c6 AS note
 FROM sheet WHERE c_custkey % 41 <> 0
 """)
 def s5(m):
@@ -161,7 +166,7 @@ def s8(m):
 
 
 @query("s9_describe_table", f"""
-SELECT '{TABLE}' AS table, {N_ROWS} AS n_rows, name, type FROM (VALUES ('cust_key', 'double'), ('name', 'string'), ('acct_bal', 'double'),
+SELECT '{TABLE}' AS table, {N_ROWS} AS n_rows, name, type FROM (VALUES ('cust_key', 'bigint'), ('name', 'string'), ('acct_bal', 'double'),
   ('acct_bal_2', 'string'), ('c_2nd', 'double'), ('note', 'string')) v(name, type)
 """)
 def s9(m):
@@ -179,9 +184,9 @@ def s10(m):
 
 
 @query("l4_bounded_rows", """
-SELECT l_shipmode, least(count(DISTINCT l_suppkey), 500) AS row_count, count(DISTINCT l_suppkey) > 500 AS truncated,
+SELECT l_returnflag, least(count(DISTINCT l_suppkey), 500) AS row_count, count(DISTINCT l_suppkey) > 500 AS truncated,
   max(l_suppkey) FILTER (WHERE r <= 500) AS last FROM (
-  SELECT *, dense_rank() OVER (PARTITION BY l_shipmode ORDER BY l_suppkey) AS r FROM lineitem) GROUP BY 1
+  SELECT *, dense_rank() OVER (PARTITION BY l_returnflag ORDER BY l_suppkey) AS r FROM lineitem) GROUP BY 1
 UNION ALL SELECT 'ALL', least(count(*), 500), count(*) > 500, max(l_orderkey) FILTER (WHERE r <= 500) FROM (
   SELECT l_orderkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem)
 """)
@@ -189,12 +194,12 @@ def l4(m):
     """The first rows of one statement per ship mode, and of one over all lines."""
     house = Warehouse(m.spark, shared_dir(m.spark, "warehouse"))
     house.register("lineitem", m.raw("lineitem"))
-    modes = [r[0] for r in m.raw("lineitem").select("l_shipmode").distinct().collect()]
-    texts = {k: f"SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_shipmode = '{k}' ORDER BY k" for k in modes}
+    modes = [r[0] for r in m.raw("lineitem").select("l_returnflag").distinct().collect()]
+    texts = {k: f"SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = '{k}' ORDER BY k" for k in modes}
     texts["ALL"] = "SELECT l_orderkey AS k FROM lineitem ORDER BY l_orderkey, l_linenumber"
     found = {k: house.run_sql(text) for k, text in texts.items()}
     rows = [(k, out["row_count"], out["truncated"], out["rows"][-1]["k"]) for k, out in found.items()]
-    return m.spark.createDataFrame(rows, "l_shipmode string, row_count long, truncated boolean, last long")
+    return m.spark.createDataFrame(rows, "l_returnflag string, row_count long, truncated boolean, last long")
 
 
 @query("f15_table_whitelist", f"SELECT 'allowed' AS case_name, '' AS error, {N_ROWS} AS n UNION ALL SELECT 'blocked', 'query references tables disabled in this session: {TABLE}', NULL UNION ALL SELECT 'empty list', '', {N_ROWS}")

@@ -9,42 +9,49 @@ reach the driver.
 from __future__ import annotations
 
 import csv
-import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loometry import fixed
-from loometry.functions.text import is_missing_cell, parse_number, slug
+from loometry.functions.text import is_missing_cell, parse_number, parse_whole, slug
 from loometry.operators.scans import scan
 
 POSITION = ["_file", "_block", "_seq"]
-
-
-def _csv(spark: SparkSession, path: str, width: int, multiline: bool) -> DataFrame:
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    return (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE").option("header", "false").option("escape", '"')
-        .option("multiLine", str(multiline).lower()).csv(path)
-    )
+#: Lines read for the head of a sheet, more only where cells span lines; and characters of a line.
+HEAD_LINES = (64, 4096)
+LINE_CHARACTERS = 1 << 20
 
 
 def _head_records(spark: SparkSession, path: str, n: int = fixed.HEADER_SEARCH_ROWS) -> list[list[str]]:
-    """The first ``n`` non-blank records of the sheet, for its shape only."""
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_seq"),
-    )
-    # A record may span lines, so take more lines until n records are whole.
-    count = 8 * n
-    while True:
-        first = [r["value"] for r in lines.orderBy(*POSITION).limit(count).select("value").collect()]
-        records = [r for r in csv.reader(line + "\n" for line in first) if any(c.strip() for c in r) or len(r) > 1]
-        if len(records) > n or len(first) < count:
-            return records[:n]
-        count *= 8
+    """The first ``n`` non-blank records of the sheet, for its shape only.
+
+    Lines come from the first block of the first files, in the order of their names.
+    A line or a quoted cell that goes on past the bounds below is an error.
+    """
+    records: list[list[str]] = []
+    for file in sorted(unquote(f) for f in spark.read.text(path).inputFiles()):
+        value = F.col("value")
+        lines = spark.read.text(file).filter((F.col("_metadata.file_block_start") == 0) & (F.btrim(value, F.lit(fixed.WHITESPACE)) != ""))
+        for count in HEAD_LINES:
+            first = [r[0] for r in lines.select(F.substring(value, 1, LINE_CHARACTERS + 1)).limit(count).collect()]
+            if any(len(line) > LINE_CHARACTERS for line in first):
+                raise ValueError(f"a line of the sheet's head has more than {LINE_CHARACTERS} characters")
+            try:
+                found = list(csv.reader([line + "\n" for line in first], strict=False))
+            except csv.Error as error:
+                raise ValueError(f"a quoted cell of the sheet's head does not end: {error}") from error
+            # The last record may go on in lines not yet read.
+            if len(found) > n - len(records) or len(first) < count:
+                break
+        else:
+            raise ValueError(f"the first {n} records of the sheet do not end within {HEAD_LINES[-1]} lines")
+        records += found
+        if len(records) >= n:
+            break
+    return records[:n]
 
 
 def read_sheet_csv(spark: SparkSession, path: str, *, multiline: bool = False) -> DataFrame:
@@ -96,22 +103,26 @@ def drop_empty(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if c in POSITION], *kept).na.drop("all", subset=kept or None)
 
 
-def clean_names(cells: list[str | None]) -> list[str]:
-    """Column names from header cells. A repeated name gets ``_2``, ``_3``, ...,
-    counting on until it is free."""
-    taken: dict[str, int] = {}
-    out: list[str] = []
-    for cell in cells:
-        words = re.sub("[^0-9a-z]+", "_", ("nan" if cell is None else cell).strip().lower()).strip("_") or "col"
-        name = ("c_" + words if words[0].isdigit() else words)[: fixed.MAX_COLUMN_NAME]
-        n = taken.get(name, 0) + 1
-        free = name if n == 1 else f"{name}_{n}"
-        while free in out:
-            n += 1
-            free = f"{name}_{n}"
-        taken[name] = n
-        out.append(free)
-    return out
+def unique_names(slugs: Column) -> Column:
+    """An array of names with repeats told apart: each gets the first of ``_2``, ``_3``,
+    ... that no name before it has."""
+    def place(names: Column, name: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(2), F.size(names) + 2), lambda n: F.concat(name, F.lit("_"), n.cast("string")))
+        free = F.filter(numbered, lambda candidate: ~F.array_contains(names, candidate))
+        return F.array_append(names, F.when(F.array_contains(names, name), F.get(free, F.lit(0))).otherwise(name))
+
+    return F.aggregate(slugs, F.array().cast("array<string>"), place)
+
+
+def header_names(cells: Column) -> Column:
+    """Column names from an array of header cells; an empty cell reads ``nan``."""
+    return unique_names(F.transform(cells, lambda cell: slug(F.coalesce(cell, F.lit("nan")))))
+
+
+def clean_names(spark: SparkSession, cells: list[str | None]) -> list[str]:
+    """``header_names`` of one sheet."""
+    row = spark.createDataFrame([(cells,)], "cells array<string>")
+    return row.select(header_names(F.col("cells"))).first()[0]
 
 
 def header_scores(df: DataFrame) -> Column:
@@ -134,7 +145,7 @@ def with_header(df: DataFrame) -> DataFrame:
     if head is None:
         return df.filter(F.lit(False))
     names = cell_names(df)
-    titles = clean_names([head[c] for c in names])
+    titles = clean_names(df.sparkSession, [head[c] for c in names])
     position = F.struct(*[F.col(c) for c in POSITION])
     below = position > F.struct(*[F.lit(head[c]).alias(c) for c in POSITION])
     return df.filter(below).select(*POSITION, *[F.col(c).alias(t) for c, t in zip(names, titles)])
@@ -142,16 +153,21 @@ def with_header(df: DataFrame) -> DataFrame:
 
 def coerce_numeric(df: DataFrame, share: float = fixed.NUMERIC_SHARE) -> DataFrame:
     """Columns turn numeric when at least ``share`` of all rows parse; cells that
-    do not parse turn null. One pass counts every column."""
+    do not parse turn null. A column whose every cell is a whole number keeps them
+    whole. One pass counts every column."""
     names = cell_names(df)
+    cells = [F.col(f"`{c}`") for c in names]
     counts = df.agg(
-        F.count(F.lit(1)).alias("_all"), *[F.count(parse_number(F.col(f"`{c}`"))).alias(c) for c in names]
+        F.count(F.lit(1)).alias("all"), F.array(*[F.count(parse_number(c)) for c in cells]).alias("numbers"),
+        F.array(*[F.count(parse_whole(c)) for c in cells]).alias("whole"),
     ).first()
-    total = counts["_all"]
-    numeric = {c for c in names if total and counts[c] > 0 and counts[c] / total >= share}
-    return df.select(*[
-        parse_number(F.col(f"`{c}`")).alias(c) if c in numeric else F.col(f"`{c}`") for c in df.columns
-    ])
+    total, out = counts["all"], {}
+    for name, cell, numbers, whole in zip(names, cells, counts["numbers"], counts["whole"], strict=True):
+        if total and whole == total:
+            out[name] = parse_whole(cell)
+        elif total and numbers and numbers / total >= share:
+            out[name] = parse_number(cell)
+    return df.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
 
 
 def clean_sheet(df: DataFrame) -> DataFrame | None:
@@ -168,13 +184,10 @@ def clean_sheet(df: DataFrame) -> DataFrame | None:
     return coerce_numeric(named)
 
 
-def slug_counts(cells: DataFrame, keys: list[str], order: list[str], chunk: Column) -> DataFrame:
-    """Column names for many sheets at once: slug, and ``_n`` on repeats.
-
-    ``cells`` (keys..., order..., cell) lists the header cells of all sheets.
-    """
-    named = cells.withColumn("slug", slug(F.col("cell")))
-    counted = scan(named, [*keys, "slug"], order, chunk, number="_n")
-    return counted.withColumn(
-        "name", F.when(F.col("_n") == 1, F.col("slug")).otherwise(F.concat_ws("_", "slug", "_n"))
-    ).drop("_n")
+def sheet_names(cells: DataFrame, keys: list[str], order: str, cell: str = "cell") -> DataFrame:
+    """``keys, order, name`` for the header cells of many sheets at once. A sheet's
+    cells are one array: as many as it has columns."""
+    heads = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, cell))).alias("_cells"))
+    named = heads.withColumn("_names", header_names(F.col("_cells")[cell]))
+    pairs = named.select(*keys, F.inline(F.arrays_zip(F.col("_cells")[order].alias(order), F.col("_names").alias("name"))))
+    return pairs.toDF(*keys, order, "name")

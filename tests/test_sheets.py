@@ -66,12 +66,31 @@ def test_header_after_the_eighth_row_is_not_looked_for(spark, tmp_path):
     assert sh.cell_names(sh.clean_sheet(df)) == ["a", "b"]
 
 
-def test_names():
-    assert sh.clean_names(["Cust Key!", " cust-key", None, None, "2nd", "--", "A_2", "a", "a"]) == [
+def test_names(spark):
+    assert sh.clean_names(spark, ["Cust Key!", " cust-key", None, None, "2nd", "--", "A_2", "a", "a"]) == [
         "cust_key", "cust_key_2", "nan", "nan_2", "c_2nd", "col", "a_2", "a", "a_3",
     ]
-    assert sh.clean_names(["x" * 60]) == ["x" * 48]
-    assert sh.clean_names(["9" + "x" * 60]) == ["c_9" + "x" * 45]
+    assert sh.clean_names(spark, ["A", "a", "A 2", None]) == ["a", "a_2", "a_2_2", "nan"]
+    assert sh.clean_names(spark, ["x" * 60]) == ["x" * 48]
+    assert sh.clean_names(spark, ["9" + "x" * 60]) == ["c_9" + "x" * 45]
+
+
+def test_whole_numbers_stay_whole(spark, tmp_path):
+    ids = [9007199254740993 + i for i in range(5)]
+    body = "".join(f"{i},{i % 3},{'' if n == 2 else 7}\n" for n, i in enumerate(ids))
+    clean = sh.clean_sheet(sheet(spark, tmp_path, "id,part,gap\n" + body))
+    assert dict(clean.drop(*sh.POSITION).dtypes) == {"id": "bigint", "part": "bigint", "gap": "double"}
+    assert sorted(r["id"] for r in clean.collect()) == ids
+
+
+def test_head_of_odd_sheets(spark, tmp_path):
+    assert sh.cell_names(sheet(spark, tmp_path, "a,b\n1,2\n" + "\n" * 100000, "tail.csv")) == ["_c0", "_c1"]
+    (tmp_path / "quote.csv").write_text('a,b\n"never ends' + "\nx,y" * 50000)
+    with pytest.raises(ValueError, match="does not end|do not end"):
+        sh.read_sheet_csv(spark, str(tmp_path / "quote.csv"))
+    (tmp_path / "long.csv").write_text("a,b\n" + "x" * 1100000)
+    with pytest.raises(ValueError, match="characters"):
+        sh.read_sheet_csv(spark, str(tmp_path / "long.csv"))
 
 
 def test_nothing_usable(spark, tmp_path):
@@ -154,7 +173,7 @@ def test_warehouse(spark, tmp_path):
     catalog = read_table(spark, str(tmp_path / "house" / "uploads_catalog")).collect()
     assert [(r["table_name"], r["n_rows"], r["n_cols"], r["columns"]) for r in catalog] == [("up_my_sheet", 3, 2, "name,score")]
     told = house.describe_table("up_my_sheet")
-    assert told["columns"] == [{"name": "name", "type": "string"}, {"name": "score", "type": "double"}]
+    assert told["columns"] == [{"name": "name", "type": "string"}, {"name": "score", "type": "bigint"}]
     assert told["n_rows"] == 3 and len(told["sample"]) == 3
     assert "unknown table" in house.describe_table("nope")["error"]
     assert "disabled" in house.describe_table("up_my_sheet", ["other"])["error"]
