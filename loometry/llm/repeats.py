@@ -32,8 +32,11 @@ from loometry.session import cut_lineage
 MANY = 4096
 NO_ID = (1 << 63) - 1
 _FOUND = np.dtype([("first", "<u4"), ("mask", "<u8")])
-_ENTRY = np.dtype([("hash", "<u8"), ("text", "<i8"), ("multi", "u1")])
-_MODES = ((1, 0), (0, 1), (1, 1))  # as a string, as windows
+#: Minimiser hashes travel as six bytes; that more of them agree by chance only lets
+#: a few more windows through to the exact step.
+_MASK = U64((1 << 48) - 1)
+#: How flagged windows travel: as a string, one by one, or both.
+STRING, SINGLE, BOTH = 0, 1, 2
 
 
 @dataclass(frozen=True)
@@ -42,31 +45,47 @@ class Scheme:
     byte spans of each; ``judge`` finds the repeated windows of a bucket."""
 
     window: int
-    k: int
+    k: int  # of the minimisers that are counted: long enough to be rare
+    deal: int  # of those that deal out: short, so that super-k-mers are long
     within: bool  # whether repeats inside one document count
     symbols: Callable
     judge: Callable
 
 
-def runs(scheme: Scheme, symbols: np.ndarray, cuts: np.ndarray):
-    """Super-k-mers: row, first window, number of windows, hash of the minimiser."""
-    n, size = len(symbols), scheme.window
+def minimisers(symbols: np.ndarray, cuts: np.ndarray, size: int, k: int):
+    """Of each window within a row: row, place, place of its minimiser and its hash."""
+    n = len(symbols)
     none = np.zeros(0, np.int64)
     if n < size:
         return none, none, none, np.zeros(0, U64)
-    hashes = window_hashes(symbols, scheme.k)
+    hashes = window_hashes(symbols, k)
     place = np.arange(len(hashes), dtype=U64)
-    least = sliding_min((hashes & U64(0xFFFFFFFF00000000)) | place, size - scheme.k + 1) & U64(0xFFFFFFFF)
+    least = sliding_min((hashes & U64(0xFFFFFFFF00000000)) | place, size - k + 1) & U64(0xFFFFFFFF)
     rows = np.repeat(np.arange(len(cuts) - 1, dtype=np.int32), np.diff(cuts))
     valid = np.flatnonzero(rows[: n - size + 1] == rows[size - 1 :])
-    if not len(valid):
-        return none, none, none, np.zeros(0, U64)
-    own, least = rows[valid], least[valid].astype(np.int64)
-    new = np.ones(len(valid), bool)
-    new[1:] = (least[1:] != least[:-1]) | (own[1:] != own[:-1])
+    least = least[valid].astype(np.int64)
+    return rows[valid].astype(np.int64), valid, least, hashes[least] & _MASK
+
+
+def runs(*marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs along which no mark changes."""
+    n = len(marks[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for mark in marks:
+        new[1:] |= mark[1:] != mark[:-1]
     at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(valid)))
-    return own[at].astype(np.int64), valid[at], count, hashes[least[at]]
+    return at, np.diff(np.append(at, n))
+
+
+def pack6(hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack6(cell: bytes) -> np.ndarray:
+    out = np.zeros((len(cell) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(cell, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -96,7 +115,7 @@ def zipped(docs: DataFrame) -> DataFrame:
     columns = [c for c in docs.columns if c != "text"]
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for lo, hi, raw, borders in text_slices(batch.column(len(columns))):
                 data = raw.tobytes()
@@ -127,22 +146,27 @@ def _short(tid: pa.Array) -> np.ndarray:
 
 
 def flagged_minimisers(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
-    """``text, hashes``: for each text the minimisers that occur again, in packed
-    cells of 9 bytes: the hash and how its super-k-mers travel (index of _MODES)."""
+    """``text, hashes, modes``: for each text the minimisers that occur again, packed,
+    and how their windows travel."""
+    kinds = "bucket long, hashes binary, multi binary, texts binary, counts binary, known binary"
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def row(bucket, *cells):
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]], names)
 
     def emit(batches):
         for batch in batches:
             short = _short(batch.column(0))
             for lo, hi, raw, borders in text_slices(batch.column(1)):
                 symbols, cuts, _, _ = scheme.symbols(raw, borders)
-                row, _, _, value = runs(scheme, symbols, cuts)
-                if not len(row):
+                own, _, least, hashes = minimisers(symbols, cuts, scheme.window, scheme.k)
+                if not len(own):
                     continue
-                text = short[lo:hi][row]
-                order, heads = _groups(text, value)
-                counts = np.diff(np.append(heads, len(order)))
-                value, text = value[order[heads]], text[order[heads]]
-                several = counts > 1  # within one text
+                at, _ = runs(own, least)
+                text, value = short[lo:hi][own[at]], hashes[at]
+                order, heads = _groups(value, text)  # by text
+                members = np.diff(np.append(heads, len(order)))
+                value, text, several = value[order[heads]], text[order[heads]], members > 1
                 # Known to repeat inside the slice: flagged here; one entry tells the bucket.
                 order, heads = _groups(value)
                 members = np.diff(np.append(heads, len(order)))
@@ -151,53 +175,51 @@ def flagged_minimisers(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFra
                 inside = np.logical_or.reduceat(several[order], heads) if scheme.within else np.zeros(len(heads), bool)
                 multi = np.empty(len(order), bool)
                 multi[order] = np.repeat((members > 1) | inside, members)
-                sent = ~multi | first
-                entries = np.empty(int(sent.sum()), _ENTRY)
-                entries["hash"], entries["text"], entries["multi"] = value[sent], text[sent], multi[sent]
-                for bucket, at in _by_bucket((entries["hash"] % U64(buckets)).astype(np.int64)):
-                    yield _row(bucket, entries[at].tobytes(), b"")
-                known = np.empty(int(multi.sum()), [("text", "<i8"), ("hash", "<u8")])
-                known["text"], known["hash"] = text[multi], value[multi]
-                if len(known):
-                    yield _row(int(value[0] % U64(buckets)), b"", known.tobytes())
-
-    def _row(bucket, entries, known):
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([entries], pa.binary()), pa.array([known], pa.binary())], ["bucket", "entries", "known"])
+                sent = np.flatnonzero(~multi | first)
+                for bucket, x in _by_bucket((value[sent] % U64(buckets)).astype(np.int64)):
+                    x = sent[x]  # by text still
+                    head, count = runs(text[x])
+                    yield row(bucket, pack6(value[x]), np.packbits(multi[x]).tobytes(), text[x][head].tobytes(), count.astype("<u4").tobytes(), b"")
+                if multi.any():
+                    known = np.empty(int(multi.sum()), [("text", "<i8"), ("hash", "<u8")])
+                    known["text"], known["hash"] = text[multi], value[multi]
+                    yield row(int(value[0] % U64(buckets)), b"", b"", b"", b"", known.tobytes())
 
     def decide(group: pa.Table) -> pa.Table:
-        entries = np.frombuffer(flat(group["entries"])[0].tobytes(), _ENTRY)
+        hashes, multi, texts = [], [], []
+        for h, m, t, c in zip(*(group[n].to_pylist() for n in ("hashes", "multi", "texts", "counts")), strict=True):
+            hashes.append(unpack6(h))
+            multi.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(hashes[-1])).astype(bool))
+            texts.append(np.repeat(np.frombuffer(t, "<i8"), np.frombuffer(c, "<u4")))
+        value, multi, text = np.concatenate(hashes), np.concatenate(multi), np.concatenate(texts)
         known = np.frombuffer(flat(group["known"])[0].tobytes(), [("text", "<i8"), ("hash", "<u8")])
-        texts, hashes, modes = [known["text"]], [known["hash"]], [np.full(len(known), 2, np.uint8)]
-        if len(entries):
-            e = entries[np.lexsort((entries["text"], entries["hash"]))]
-            new = np.ones(len(e), bool)
-            new[1:] = e["hash"][1:] != e["hash"][:-1]
-            at = np.flatnonzero(new)
-            sizes = np.diff(np.append(at, len(e)))
-            repeated = np.logical_or.reduceat(e["multi"].astype(bool), at)
-            if scheme.within:
-                repeated |= sizes > 1
-            else:
-                repeated |= e["text"][at] != e["text"][np.append(at[1:], len(e)) - 1]
-            again = np.repeat(repeated, sizes) & (e["multi"] == 0)
-            texts.append(e["text"][again])
-            hashes.append(e["hash"][again])
-            modes.append(np.repeat(sizes > MANY, sizes)[again].astype(np.uint8))
-        text, value, mode = np.concatenate(texts), np.concatenate(hashes), np.concatenate(modes)
+        found = [(known["text"], known["hash"], np.full(len(known), BOTH, np.uint8))]
+        if len(value):
+            order = np.lexsort((text, value))
+            value, multi, text = value[order], multi[order], text[order]
+            at, sizes = runs(value)
+            repeated = np.logical_or.reduceat(multi, at)
+            repeated |= (sizes > 1) if scheme.within else (text[at] != text[at + sizes - 1])
+            again = np.repeat(repeated, sizes) & ~multi
+            mode = np.where(sizes > MANY, SINGLE, STRING).astype(np.uint8)
+            found.append((text[again], value[again], np.repeat(mode, sizes)[again]))
+        text, value, mode = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(text, kind="stable")
-        text = text[order]
-        cell = np.empty(len(order), [("hash", "<u8"), ("mode", "u1")])
-        cell["hash"], cell["mode"] = value[order], mode[order]
-        owners, at = np.unique(text, return_index=True)
-        cells = [cell[a:b].tobytes() for a, b in zip(at.tolist(), [*at[1:].tolist(), len(text)], strict=True)] if len(text) else []
-        return pa.table({"text": pa.array(owners, pa.int64()), "hashes": pa.array(cells, pa.binary())})
+        text, value, mode = text[order], value[order], mode[order]
+        head, count = runs(text) if len(text) else (np.zeros(0, int), np.zeros(0, int))
+        spans = [(a, a + n) for a, n in zip(head.tolist(), count.tolist(), strict=True)]
+        return pa.table({
+            "text": pa.array(text[head], pa.int64()), "hashes": pa.array([pack6(value[a:b]) for a, b in spans], pa.binary()),
+            "modes": pa.array([mode[a:b].tobytes() for a, b in spans], pa.binary()),
+        })
 
-    packed = docs.select("tid", "text").mapInArrow(emit, "bucket long, entries binary, known binary")
-    return packed.groupBy("bucket").applyInArrow(decide, "text long, hashes binary")
+    packed = docs.select("tid", "text").mapInArrow(emit, kinds)
+    return packed.groupBy("bucket").applyInArrow(decide, "text long, hashes binary, modes binary")
 
 
-_STRINGS = "bucket long, strings binary, lengths binary, keys binary, texts binary, firsts binary, counts binary, multi binary, found binary"
-_OWNED = np.dtype([("key", "<i8"), ("text", "<i8"), ("first", "<u4"), ("mask", "<u8")])
+_CELLS = ["strings", "lengths", "keys", "texts", "firsts", "counts", "multi", "found"]
+_STRINGS = "bucket long, " + ", ".join(f"{c} binary" for c in _CELLS)
+_OWNED = np.dtype([("key", "<i8"), ("text", "<i4"), ("first", "<u4"), ("mask", "<u8")])
 
 
 def _full(counts: np.ndarray) -> np.ndarray:
@@ -205,84 +227,81 @@ def _full(counts: np.ndarray) -> np.ndarray:
 
 
 def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
-    """Strings of flagged super-k-mers, packed by bucket. ``docs`` has ``key, tid,
-    hashes, ztext``, one row per distinct text."""
+    """Strings of flagged windows, packed by bucket. ``docs`` has ``key, tid, hashes,
+    modes, ztext``, one row per distinct text."""
     size = scheme.window
 
     def emit(batches):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
+
+        def row(bucket, *cells):
+            cells = [pack.compress(c) if c else b"" for c in cells]
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]], ["bucket", *_CELLS])
+
         for batch in batches:
-            keys, short = batch.column(0).to_numpy(), _short(batch.column(1))
-            flags = batch.column(2)
-            for lo, hi, raw, borders in unzipped(batch.column(3)):
+            keys, short = batch.column(0).to_numpy(), _short(batch.column(1)).astype(np.int32)
+            for lo, hi, raw, borders in unzipped(batch.column(4)):
                 symbols, cuts, starts, ends = scheme.symbols(raw, borders)
-                row, first, count, value = runs(scheme, symbols, cuts)
-                if not len(row):
+                own, places, least, hashes = minimisers(symbols, cuts, size, scheme.k)
+                cells = [b"".join(x or []) for x in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                flag = unpack6(b"".join(cells))
+                mode = np.frombuffer(b"".join(b"".join(x or []) for x in batch.column(3).slice(lo, hi - lo).to_pylist()), np.uint8)
+                if not len(own) or not len(flag):
                     continue
                 # The flags of each row, found by row and hash.
-                cells = [b"".join(x or []) for x in flags.slice(lo, hi - lo).to_pylist()]
-                flag = np.frombuffer(b"".join(cells), [("hash", "<u8"), ("mode", "u1")])
-                owner = np.repeat(np.arange(hi - lo), [len(c) // 9 for c in cells])
-                mark = np.argsort(flag["hash"] ^ _salt(owner), kind="stable")
-                marks = (flag["hash"] ^ _salt(owner))[mark]
-                if not len(marks):
-                    continue
-                mine = value ^ _salt(row)
-                at = np.minimum(np.searchsorted(marks, mine), len(marks) - 1)
-                hit = marks[at] == mine
-                mode = flag["mode"][mark][at]
-                parts = []
-                string = hit & (mode != 1)
-                parts.append((row[string], first[string], count[string], value[string]))
-                each = hit & (mode != 0)
-                if each.any():
-                    single = ranges(first[each], count[each])
-                    parts.append((np.repeat(row[each], count[each]), single, np.ones(len(single), np.int64), None))
-                for r, f, c, v in parts:
-                    if not len(r):
+                flag = flag ^ _salt(np.repeat(np.arange(hi - lo), [len(c) // 6 for c in cells]))
+                order = np.argsort(flag, kind="stable")
+                flag, mode = flag[order], mode[order]
+                at, count = runs(own, least)
+                mine = hashes[at] ^ _salt(own[at])
+                spot = np.minimum(np.searchsorted(flag, mine), len(flag) - 1)
+                hit = np.repeat(flag[spot] == mine, count)
+                how = np.repeat(mode[spot], count)
+                del least, hashes
+                _, _, dealt, deal = minimisers(symbols, cuts, size, scheme.deal)
+                for single in (False, True):
+                    x = np.flatnonzero(hit & (how != (STRING if single else SINGLE)))
+                    if not len(x):
                         continue
+                    if single:
+                        head, c = x, np.ones(len(x), np.int64)
+                    else:
+                        head, c = runs(own[x], dealt[x], x - np.arange(len(x)))
+                        head = x[head]
+                    r, f = own[head], places[head]
                     tail = f + c + size - 1
-                    d1 = span_hashes(symbols, f, tail)
-                    d2 = span_hashes(symbols, f, tail, 1)
-                    # Buckets of their own for windows: a document may send both.
-                    deal = (d1 % U64(buckets)).astype(np.int64) + buckets if v is None else (v % U64(buckets)).astype(np.int64)
-                    key, text, head = keys[lo:hi][r], short[lo:hi][r], (f - cuts[r]).astype(np.uint32)
-                    order, heads = _groups(key, d2, d1)
+                    d1, d2 = (span_hashes(symbols, f, tail, i) for i in (0, 1))
+                    # Buckets of their own for single windows: a document may send both.
+                    to = (d1 % U64(buckets)).astype(np.int64) + buckets if single else (deal[head] % U64(buckets)).astype(np.int64)
+                    key, text, begin = keys[lo:hi][r], short[lo:hi][r], (f - cuts[r]).astype(np.uint32)
                     # Equal strings of the slice: one travels, by the smallest key.
-                    g = np.empty(len(order), bool)
-                    g[0] = True
-                    a, b = d1[order], d2[order]
-                    g[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-                    at = np.flatnonzero(g)
-                    members = np.diff(np.append(at, len(order)))
-                    lead = np.repeat(order[at], members)
+                    order = np.lexsort((key, d2, d1))
+                    at, members = runs(d1[order], d2[order])
                     if scheme.within:
                         settled = np.repeat(members > 1, members)
-                        send = g
+                        send = np.zeros(len(order), bool)
+                        send[at] = True
                     else:
-                        settled = key[order] != key[lead]
+                        settled = key[order] != np.repeat(key[order[at]], members)
                         send = ~settled
                     sure = order[settled]
                     found = np.empty(len(sure), _OWNED)
-                    found["key"], found["text"], found["first"], found["mask"] = key[sure], text[sure], head[sure], _full(c[sure])
-                    go = order[send]
-                    multi = settled[send].astype(np.uint8)
-                    begin, stop = starts[f[go]], ends[tail[go] - 1]
-                    for bucket, at in _by_bucket(deal[go]):
-                        x = go[at]
-                        length = (stop - begin)[at]
-                        yield _row(
-                            bucket, pack.compress(raw[ranges(begin[at], length)].tobytes()), length.astype("<u4").tobytes(), key[x].astype("<i8").tobytes(),
-                            text[x].astype("<i8").tobytes(), head[x].astype("<u4").tobytes(), c[x].astype("u1").tobytes(), multi[at].tobytes(), b"",
+                    found["key"], found["text"], found["first"], found["mask"] = key[sure], text[sure], begin[sure], _full(c[sure])
+                    multi = np.zeros(len(order), np.uint8)
+                    multi[order[settled]] = 1
+                    go = np.sort(order[send])  # by document
+                    first, last = starts[f], ends[tail - 1]
+                    for bucket, y in _by_bucket(to[go]):
+                        y = go[y]
+                        length = last[y] - first[y]
+                        yield row(
+                            bucket, raw[ranges(first[y], length)].tobytes(), length.astype("<u4").tobytes(), key[y].astype("<i8").tobytes(),
+                            text[y].tobytes(), begin[y].astype("<u4").tobytes(), c[y].astype("u1").tobytes(), multi[y].tobytes(), b"",
                         )
                     if len(found):
-                        yield _row(int(deal[0]), *[b""] * 7, found.tobytes())
-
-    def _row(bucket, *cells):
-        names = [x.split()[0] for x in _STRINGS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]], names)
+                        yield row(int(to[0]), *[b""] * 7, found.tobytes())
 
-    return docs.select("key", "tid", "hashes", "ztext").mapInArrow(emit, _STRINGS)
+    return docs.select("key", "tid", "hashes", "modes", "ztext").mapInArrow(emit, _STRINGS)
 
 
 def _salt(rows: np.ndarray) -> np.ndarray:
@@ -305,23 +324,23 @@ def found_windows(strings: DataFrame, scheme: Scheme) -> DataFrame:
     """``key, text, found``: windows of each document that repeat, as packed cells."""
 
     def settle(group: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+
         def cell(name, kind):
-            return np.frombuffer(flat(group[name])[0].tobytes(), kind)
+            return np.frombuffer(b"".join(unpack.decompress(x) for x in group[name].to_pylist() if x), kind)
 
         lengths = cell("lengths", "<u4").astype(np.int64)
-        keys, counts, multi = cell("keys", "<i8"), cell("counts", "u1").astype(np.int64), cell("multi", "u1") > 0
         owned = [cell("found", _OWNED)]
         if len(lengths):
-            unpack = zstandard.ZstdDecompressor()
-            raw = b"".join(unpack.decompress(x) for x in group["strings"].to_pylist() if x)
-            bucket = Bucket(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum(lengths)]), keys, counts, multi)
+            keys, counts = cell("keys", "<i8"), cell("counts", "u1").astype(np.int64)
+            bucket = Bucket(cell("strings", np.uint8), np.concatenate([[0], np.cumsum(lengths)]), keys, counts, cell("multi", "u1") > 0)
             again = scheme.judge(bucket)  # one flag per window, string by string
             heads = np.cumsum(counts) - counts
             bit = np.arange(len(again)) - np.repeat(heads, counts)
             masks = np.add.reduceat(again.astype(U64) << bit.astype(U64), heads)
             some = masks > 0
             out = np.empty(int(some.sum()), _OWNED)
-            out["key"], out["text"], out["first"], out["mask"] = keys[some], cell("texts", "<i8")[some], cell("firsts", "<u4")[some], masks[some]
+            out["key"], out["text"], out["first"], out["mask"] = keys[some], cell("texts", "<i4")[some], cell("firsts", "<u4")[some], masks[some]
             owned.append(out)
         rows = np.concatenate(owned)
         order, heads = _groups(rows["text"], rows["key"])
@@ -330,7 +349,7 @@ def found_windows(strings: DataFrame, scheme: Scheme) -> DataFrame:
         packed["first"], packed["mask"] = rows["first"], rows["mask"]
         ends = np.append(heads[1:], len(rows))[: len(heads)].tolist()
         cells = [packed[a:b].tobytes() for a, b in zip(heads.tolist(), ends, strict=True)]
-        return pa.table({"key": pa.array(rows["key"][heads], pa.int64()), "text": pa.array(rows["text"][heads], pa.int64()), "found": pa.array(cells, pa.binary())})
+        return pa.table({"key": pa.array(rows["key"][heads], pa.int64()), "text": pa.array(rows["text"][heads].astype(np.int64)), "found": pa.array(cells, pa.binary())})
 
     return strings.groupBy("bucket").applyInArrow(settle, "key long, text long, found binary")
 
@@ -343,13 +362,13 @@ def repeated_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
     docs = prepared(documents)
     firsts = docs.groupBy("tid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     firsts = cut_lineage(firsts.withColumn("short", _short_column("tid")), "texts")
-    flags = flagged_minimisers(docs, scheme, 4 * parts).groupBy("text").agg(F.collect_list("hashes").alias("hashes"))
-    chosen = firsts.join(flags, firsts["short"] == flags["text"]).select("key", "tid", "hashes")
+    flags = flagged_minimisers(docs, scheme, parts).groupBy("text").agg(F.collect_list(F.struct("hashes", "modes")).alias("flags"))
+    chosen = firsts.join(flags, firsts["short"] == flags["text"]).select("key", "tid", F.col("flags.hashes").alias("hashes"), F.col("flags.modes").alias("modes"))
     texts = zipped(docs).join(chosen, ["key", "tid"])
-    found = found_windows(travelling(texts, scheme, 8 * parts), scheme)
+    found = found_windows(travelling(texts, scheme, 4 * parts), scheme)
     gathered = found.groupBy("key", "text").agg(F.collect_list("found").alias("found"))
     return cut_lineage(
-        firsts.join(gathered.withColumnRenamed("text", "short"), ["key", "short"], "left").select("key", "tid", "copies", "found"), "found"
+        firsts.withColumn("short", F.shiftright(F.shiftleft("short", 32), 32)).join(gathered.withColumnRenamed("text", "short"), ["key", "short"], "left").select("key", "tid", "copies", "found"), "found"
     )
 
 

@@ -17,8 +17,8 @@ from loometry.llm.arrays import NOT_SPACE, covered, ranges, span_hashes, words
 from loometry.llm.repeats import Bucket, Scheme, original_columns, unzipped, window_starts, with_windows
 
 WINDOW = 35
-#: Words of a minimiser.
-K = 6
+#: Words of a minimiser that is counted, and of one that deals out.
+K, DEAL = 6, 3
 
 
 def word_symbols(raw: np.ndarray, borders: np.ndarray):
@@ -42,7 +42,7 @@ def count_windows(bucket: Bucket, size: int = WINDOW) -> np.ndarray:
     return again
 
 
-SCHEME = Scheme(WINDOW, K, True, word_symbols, count_windows)
+SCHEME = Scheme(WINDOW, K, DEAL, True, word_symbols, count_windows)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
