@@ -123,3 +123,46 @@ WITH v AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_NOT_SPACE = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLE["op5_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {_NOT_SPACE.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 34), ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 33, 1))) t(p)),
+r AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM g) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, q FROM r, unnest(range(p, p + 35)) t(q)),
+x AS (SELECT doc_id, q, w[q] AS word FROM d, unnest(range(1, len(w) + 1)) t(q)),
+k AS (SELECT x.doc_id, count(c.q) AS n_removed, string_agg(word, ' ' ORDER BY x.q) FILTER (WHERE c.q IS NULL) AS kept
+  FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.q = c.q GROUP BY x.doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+ORACLE["op7_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_ALNUM.format(_LOWER)} AS w FROM documents),
+i AS (SELECT item_id, {_ALNUM.format(_LOWER)} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(list_slice(w, p, p + least(len(w), 13) - 1), ' ') AS s
+  FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(p) WHERE len(w) > 0),
+dn AS (SELECT * FROM d, (SELECT DISTINCT n FROM win) k),
+g AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS s FROM dn, unnest(range(1, greatest(len(w) - n + 2, 1))) t(p)),
+hits AS (SELECT g.doc_id, g.p, g.n, win.item_id FROM g JOIN win ON g.s = win.s AND g.n = win.n),
+hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM hits) h, unnest(range(p, p + n)) t(q) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""
+
+ORACLE["op10_minhash"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_NOT_SPACE.format(_LOWER)} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 2), ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 1, 2))) t(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach ON d.doc_id = reach.a GROUP BY d.doc_id
+"""
