@@ -6,6 +6,7 @@ one, so a lost executor or driver leaves the previous version in place.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,10 +42,36 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer is at, or has finished, the version this one would write."""
+
+
+def _claim(spark: SparkSession, path: str, version: int):
+    """Create the version's claim file; of two writers only one succeeds. Returns how
+    to give the claim back."""
+    jvm = spark.sparkContext._jvm
+    claim = jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{version}")
+    fs = claim.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        fs.create(claim, False).close()
+    except Py4JJavaError as error:
+        if fs.exists(claim):
+            raise ConcurrentWrite(f"version {version} of {path} has a writer (stale claims: {path}/_claims)") from error
+        raise
+    return lambda: fs.delete(claim, False)
+
+
 def write_table(df: DataFrame, path: str) -> DataFrame:
-    """Write the next version and return it as read back."""
+    """Write the next version and return it as read back. A second writer of the same
+    version fails, rather than undo what the first has changed."""
     spark = df.sparkSession
     versions = _versions(spark, path)
-    target = f"{path}/v={(versions[-1] if versions else 0) + 1}"
-    df.write.mode("overwrite").parquet(target)
+    version = (versions[-1] if versions else 0) + 1
+    release = _claim(spark, path, version)
+    target = f"{path}/v={version}"
+    try:
+        df.write.mode("overwrite").parquet(target)
+    except BaseException:
+        release()
+        raise
     return spark.read.parquet(target)

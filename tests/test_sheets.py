@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loometry.functions.text import parse_number
 from loometry.sources import sheets as sh
-from loometry.sources.tables import read_table, table_names, write_table
+from loometry.sources.tables import ConcurrentWrite, read_table, table_names, write_table
 from loometry.sources.warehouse import Warehouse, first_rows_of
 from loometry.session import cut_lineage
 
@@ -208,3 +208,16 @@ def test_unfinished_version_is_ignored(spark, tmp_path):
     assert write_table(spark.range(4), root).count() == 4
     assert table_names(spark, str(tmp_path)) == ["t"]
     assert read_table(spark, str(tmp_path / "none")) is None
+
+
+def test_a_version_has_one_writer(spark, tmp_path):
+    root = str(tmp_path / "t")
+    write_table(spark.range(3), root)
+    (tmp_path / "t" / "_claims" / "2").write_text("")
+    with pytest.raises(ConcurrentWrite, match="version 2"):
+        write_table(spark.range(4), root)
+    (tmp_path / "t" / "_claims" / "2").unlink()
+    broken = spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        write_table(broken, root)
+    assert write_table(spark.range(4), root).count() == 4
