@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once. One longer document forms a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1_500_000
 
 _MULT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 U64 = np.uint64
@@ -110,13 +110,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _prefix_sums(symbols: np.ndarray, which: int) -> np.ndarray:
+    up, _ = powers(len(symbols) + 1, which)
+    terms = symbols.astype(U64)
+    terms += U64(1)
+    terms *= up[: len(symbols)]
+    total = np.zeros(len(symbols) + 1, U64)
+    np.cumsum(terms, out=total[1:])
+    return total
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """Hash of ``symbols[start:end]`` for many spans at once (polynomial prefix sums)."""
-    up, down = powers(len(symbols) + 1, which)
-    total = np.zeros(len(symbols) + 1, U64)
-    np.cumsum((symbols.astype(U64) + U64(1)) * up[: len(symbols)], out=total[1:])
-    value = (total[ends] - total[starts]) * down[starts]
-    return mix(value ^ (ends - starts).astype(U64) * U64(_MULT[1 - which]))
+    _, down = powers(len(symbols) + 1, which)
+    total = _prefix_sums(symbols, which)
+    value = total[ends] - total[starts]
+    value *= down[starts]
+    value ^= (ends - starts).astype(U64) * U64(_MULT[1 - which])
+    return mix(value)
 
 
 def window_hashes(symbols: np.ndarray, size: int, which: int = 0) -> np.ndarray:
@@ -124,8 +135,13 @@ def window_hashes(symbols: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     n = len(symbols) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
-    starts = np.arange(n)
-    return span_hashes(symbols, starts, starts + size, which)
+    _, down = powers(len(symbols) + 1, which)
+    total = _prefix_sums(symbols, which)
+    value = total[size:] - total[:-size]
+    del total
+    value *= down[:n]
+    value ^= U64(size * _MULT[1 - which] % (1 << 64))
+    return mix(value)
 
 
 def sliding_min(values: np.ndarray, size: int) -> np.ndarray:

@@ -59,8 +59,10 @@ def minimisers(symbols: np.ndarray, cuts: np.ndarray, size: int, k: int):
     if n < size:
         return none, none, none, np.zeros(0, U64)
     hashes = window_hashes(symbols, k)
-    place = np.arange(len(hashes), dtype=U64)
-    least = sliding_min((hashes & U64(0xFFFFFFFF00000000)) | place, size - k + 1) & U64(0xFFFFFFFF)
+    least = hashes & U64(0xFFFFFFFF00000000)
+    least |= np.arange(len(hashes), dtype=U64)
+    least = sliding_min(least, size - k + 1)
+    least &= U64(0xFFFFFFFF)
     rows = np.repeat(np.arange(len(cuts) - 1, dtype=np.int32), np.diff(cuts))
     valid = np.flatnonzero(rows[: n - size + 1] == rows[size - 1 :])
     least = least[valid].astype(np.int64)
