@@ -54,6 +54,8 @@ SAMPLE_ROWS = 5
 TOP_WORKSPACES = 10
 MAX_PAGE_SIZE = 100
 STUCK_AFTER = "1 hour"
+# How long a stream remembers an upload to drop its copies.
+UPLOAD_RETENTION = "30 days"
 TRAILING_DAYS = 180
 CLIP_GAP_TOLERANCE = 0.01
 RATIO_TOLERANCE = 0.02

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loometry import fixed
 from loometry.plans.bindings import assets_of
 from loometry.plans.registry import query
 from loometry.session import shared_dir
@@ -61,7 +62,7 @@ def st4(m):
 @query("st5_first_uploads", "SELECT DISTINCT user_id, file_hash FROM source_assets")
 def st5(m):
     uploads = assets_of(m.stream("part"))
-    out = st.run_to_table(st.first_uploads(uploads, "3650 days"), shared_dir(m.spark, "st5"))
+    out = st.run_to_table(st.first_uploads(uploads, fixed.UPLOAD_RETENTION), shared_dir(m.spark, "st5"))
     return out.select("user_id", "file_hash")
 
 
