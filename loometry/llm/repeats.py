@@ -16,13 +16,14 @@ slice of documents has for one bucket; equal strings of a slice travel once.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loometry.llm.arrays import SLICE_BYTES, U64, flat, ranges, sliding_min, span_hashes, text_slices, window_hashes
@@ -356,6 +357,13 @@ def found_windows(strings: DataFrame, scheme: Scheme) -> DataFrame:
     return strings.groupBy("bucket").applyInArrow(settle, "key long, text long, found binary")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it does once the
+    driver has collected the frames that held them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def repeated_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
     """``key, tid, copies, found`` for the first document (smallest key) of each
     distinct text; rows of ``documents`` without one are later copies of a text."""
@@ -365,13 +373,20 @@ def repeated_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
     firsts = docs.groupBy("tid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     firsts = cut_lineage(firsts.withColumn("short", _short_column("tid")), "texts")
     flags = flagged_minimisers(docs, scheme, parts).groupBy("text").agg(F.collect_list(F.struct("hashes", "modes")).alias("flags"))
+    flags = cut_lineage(flags, "flags")
+    release_shuffles(spark)
     chosen = firsts.join(flags, firsts["short"] == flags["text"]).select("key", "tid", F.col("flags.hashes").alias("hashes"), F.col("flags.modes").alias("modes"))
     texts = zipped(docs).join(chosen, ["key", "tid"])
     found = found_windows(travelling(texts, scheme, 4 * parts), scheme)
     gathered = found.groupBy("key", "text").agg(F.collect_list("found").alias("found"))
-    return cut_lineage(
-        firsts.withColumn("short", F.shiftright(F.shiftleft("short", 32), 32)).join(gathered.withColumnRenamed("text", "short"), ["key", "short"], "left").select("key", "tid", "copies", "found"), "found"
+    short = F.shiftright(F.shiftleft("short", 32), 32)
+    out = cut_lineage(
+        firsts.withColumn("short", short).join(gathered.withColumnRenamed("text", "short"), ["key", "short"], "left")
+        .select("key", "tid", "copies", "found"), "found",
     )
+    del found, gathered, texts, chosen
+    release_shuffles(spark)
+    return out
 
 
 def _short_column(tid: str):
