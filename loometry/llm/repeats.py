@@ -17,6 +17,7 @@ slice of documents has for one bucket; equal strings of a slice travel once.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -359,9 +360,12 @@ def found_windows(strings: DataFrame, scheme: Scheme) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps: it does once the
-    driver has collected the frames that held them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver's Python, and then its JVM, have collected the frames that held them. The
+    link between the two hands over what Python has dropped about once a second."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1.5)
+        spark.sparkContext._jvm.System.gc()
 
 
 def repeated_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
