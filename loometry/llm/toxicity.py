@@ -21,8 +21,8 @@ SAMPLE_ROWS = 6000
 #: A feature needs this many sample documents.
 MIN_DOCUMENTS = 4
 PREFIX_BYTES = 4
-#: L1 penalties tried; held-out likelihood chooses.
-PENALTIES = (5e-4, 1e-3)
+#: L1 penalty of the selection.
+L1 = 1e-3
 STEPS = 150
 
 
@@ -102,7 +102,7 @@ def _descend(rows: np.ndarray, columns: np.ndarray, m: int, grades: np.ndarray,
     return weights, spread()
 
 
-def fit_arrays(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, *, l1: float, steps: int = STEPS) -> Model:
+def fit_arrays(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, *, l1: float = L1, steps: int = STEPS) -> Model:
     """Fit on (row, feature) pairs: an L1 penalty selects the features, a second
     descent without most of it sets their weights."""
     top = int(grades.max()) if len(grades) else 0
@@ -124,26 +124,6 @@ def fit_arrays(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, *, l1:
     return Model(vocabulary, weights, theta)
 
 
-def choose(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, penalties=PENALTIES) -> float:
-    """The penalty that predicts every fourth document best from the others."""
-    if not len(grades) or grades.max() == 0:
-        return penalties[0]
-    held = np.arange(len(grades)) % 4 == 3
-    place = np.cumsum(~held) - 1
-    losses = []
-    for l1 in penalties:
-        own = ~held[rows]
-        model = fit_arrays(place[rows[own]], values[own], grades[~held], l1=l1)
-        at = np.minimum(np.searchsorted(model.vocabulary, values), max(len(model.vocabulary) - 1, 0))
-        known = model.vocabulary[at] == values if len(model.vocabulary) else np.zeros(len(values), bool)
-        logit = np.bincount(rows[known], model.weights[at[known]], minlength=len(grades))[held]
-        above = np.concatenate([np.ones((held.sum(), 1)), _sigmoid(logit[:, None] - model.thresholds), np.zeros((held.sum(), 1))], 1)
-        real = np.minimum(grades[held], len(model.thresholds))
-        p = above[np.arange(len(real)), real] - above[np.arange(len(real)), real + 1]
-        losses.append(-np.log(np.maximum(p, 1e-6)).mean())
-    return penalties[int(np.argmin(losses))]
-
-
 def split_toxic(rows: np.ndarray, values: np.ndarray, grades: np.ndarray, l1: float) -> np.ndarray:
     """Three grades out of two: of the toxic documents, those that a first fit finds
     more toxic than their median become grade 2, the severe ones."""
@@ -186,10 +166,9 @@ def fit(documents: DataFrame, grades: DataFrame, *, sample_rows: int = SAMPLE_RO
     values = np.frombuffer(b"".join(cells), U64)
     rows = np.repeat(np.arange(len(cells)), [len(c) // 8 for c in cells])
     grade = np.array(found.column("grade").to_pylist(), np.int64)
-    l1 = choose(rows, values, grade)
     if len(grade) and grade.max() == 1:
-        grade = split_toxic(rows, values, grade, l1)
-    return fit_arrays(rows, values, grade, l1=l1)
+        grade = split_toxic(rows, values, grade, L1)
+    return fit_arrays(rows, values, grade)
 
 
 def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
