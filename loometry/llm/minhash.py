@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash, confirmed on full shingle sets.
 
-Documents with the same set are one node. A node keeps the low byte of each of
-its minima; packed bytes serve as band keys, and the bit count of two signatures'
+Documents with the same set are one node. A node keeps a byte of each of its mixed
+minima; packed bytes serve as band keys, and the bit count of two signatures'
 difference estimates their similarity. Nodes of a bucket meet the bucket's centre
 first; once the links found so far are joined into components, only pairs of a
 bucket that lie in different components are looked at, so that no group is ever
@@ -28,10 +28,11 @@ BANDS, ROWS, BITS = 32, 5, 8
 #: Estimates this far below the threshold are not looked at further. The
 #: estimate's deviation is below 0.035 at 0.8 and above, so this is over five of them.
 SLACK = 0.2
-#: One-bit lanes of the finer signature, and the same for its estimate, whose
-#: deviation is below 0.0135 there.
+#: One-bit lanes of the finer signature. For sets of similarity s its estimate has a
+#: deviation of sqrt((1 - s^2) / FINE), whatever their sizes, as the lanes' bits are
+#: independent of one another; pairs are given so many deviations.
 FINE = 2048
-FINE_SLACK = 0.07
+FINE_DEVIATIONS = 6
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 32, FINE, np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, FINE, np.uint32)
@@ -65,15 +66,29 @@ def digests(sets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def _stir(x: np.ndarray) -> np.ndarray:
+    """Mix 32-bit values, so that their low bits depend on all of the value's."""
+    x = x ^ (x >> np.uint32(16))
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
 def _minima(sets: np.ndarray, cuts: np.ndarray, lanes: int, bits: int) -> np.ndarray:
-    """Low bits of the minima, a row of ``lanes`` for each set (empty: zeros)."""
+    """Bits of the mixed minima, a row of ``lanes`` for each set (empty: zeros).
+
+    A minimum's own low bits are a function of the shingle's low bits: the lowest one
+    is the same for all lanes up to a constant. Mixed, they differ from lane to lane.
+    """
     some = np.flatnonzero(np.diff(cuts) > 0)
     out = np.zeros((len(cuts) - 1, lanes), np.uint8)
     if not len(some):
         return out
     x, heads = (sets >> U64(32)).astype(np.uint32), cuts[:-1][some]
     for lane in range(lanes):
-        out[some, lane] = np.minimum.reduceat(x * _A[lane] + _B[lane], heads) & np.uint32((1 << bits) - 1)
+        out[some, lane] = _stir(np.minimum.reduceat(x * _A[lane] + _B[lane], heads)) & np.uint32((1 << bits) - 1)
     return out
 
 
@@ -128,6 +143,15 @@ def estimate(a: str, b: str, longs: int) -> Column:
     return F.lit(1.0) - bits.cast("double") * (2.0 / (64 * longs))
 
 
+def fine_cut(a: str, b: str, percent: int) -> Column:
+    """The lowest fine estimate of linked sets of these sizes: from the smallest
+    similarity of ``percent`` or more that their sizes allow, less the deviations."""
+    both = F.col(a) + F.col(b)
+    common = F.ceil(both * percent / (100 + percent) - 1e-9)
+    least = common / (both - common)
+    return least - FINE_DEVIATIONS * F.sqrt(F.greatest(1 - least * least, F.lit(0.0)) / FINE)
+
+
 def _zip(texts: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(texts)
 
@@ -258,7 +282,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
     left = open_rows.join(fine.join(nodes.select("node", "n"), "node"), "node")
     minor = left.filter("label != main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("fine").alias("fa"), F.col("n").alias("na"))
     others = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("fine").alias("fb"), F.col("n").alias("nb"), "main")
-    close = _sizes_fit("na", "nb", percent) & (estimate("fa", "fb", FINE // 64) >= percent / 100 - FINE_SLACK)
+    close = _sizes_fit("na", "nb", percent) & (estimate("fa", "fb", FINE // 64) >= fine_cut("na", "nb", percent))
     # Of two minor ones, one order is enough.
     once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))
     rest = minor.join(others, (minor["bucket"] == others["bucket"]) & (F.col("la") != F.col("lb")) & once & close).select("a", "b").distinct()

@@ -100,3 +100,42 @@ def test_estimate_follows_similarity():
             sig = make(np.concatenate([x, y]), np.array([0, 2000, 4000]))
             differ = np.unpackbits(sig[0] ^ sig[1]).sum()
             assert abs(1 - 2 * differ / (8 * sig.shape[1]) - n / (4000 - n)) < off
+
+
+def test_estimates_of_short_texts_keep_links(spark):
+    """Pairs at the threshold of 4 to 20 shingles: none is below the cut."""
+    from loometry.llm import minhash
+
+    rng = np.random.default_rng(3)
+    for percent, sizes in ((85, ((6, 7), (7, 8), (12, 14), (17, 20))), (80, ((4, 5), (8, 10), (12, 15), (16, 20)))):
+        for small, large in sizes:
+            x = rng.integers(0, 1 << 63, (1500, large)).astype(np.uint64) << np.uint64(1)
+            sets = np.concatenate([part for row in x for part in (np.sort(row[:small]), np.sort(row))])
+            cuts = np.concatenate([[0], np.cumsum(np.tile([small, large], len(x)))])
+            packed = minhash.fine_signatures(sets, cuts)
+            differ = np.unpackbits(packed[0::2] ^ packed[1::2], axis=1).sum(1)
+            found = 1 - 2 * differ / minhash.FINE
+            assert found.std() < 1.15 * np.sqrt((1 - (small / large) ** 2) / minhash.FINE)
+            pair = spark.createDataFrame([(small, large)], "na long, nb long")
+            cut = pair.select(minhash.fine_cut("na", "nb", percent)).first()[0]
+            assert percent / 100 - 0.1 < cut < small / large
+            assert found.min() >= cut
+
+
+def test_short_families_around_a_third_text(spark):
+    """Two linked texts of 6 to 20 shingles in each family, among many that are alike
+    but linked with nothing, so that a bucket's centre is nearly always one of those."""
+    docs = []
+    for family in range(140):
+        size = (6, 6, 6, 7, 12, 20)[family % 6]
+        core = [f"f{family}w{i}" for i in range(size + 2)]
+        more = {6: 1, 7: 1, 12: 2, 20: 3}[size]
+        texts = [core, core + [f"f{family}e{i}" for i in range(more)]]
+        for other in range(36):
+            texts.append([f"f{family}o{other}x{i}" for i in range(more + 1)] + core)
+        docs += [(1000 * family + i, " ".join(t)) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    got = near_duplicates(frame).selectExpr("doc_id", "n", "component_id", "doc_id = component_id").collect()
+    want = plain(docs)
+    assert sum(not kept for _, _, _, kept in want) == 140
+    assert sorted((tuple(r) for r in got), key=str) == want
