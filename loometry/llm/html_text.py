@@ -20,7 +20,20 @@ MAX_PAD = 80
 MAX_SPAN = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link base svg math object iframe canvas audio video datalist param source track".split())
+HIDDEN = frozenset("head script style template noscript title meta link base object iframe canvas audio video datalist param source track".split())
+#: Elements of SVG and MathML whose content is not shown; the rest is inline text.
+#: What ``use`` elements repeat is not repeated.
+FOREIGN = frozenset(("svg", "math"))
+FOREIGN_HIDDEN = frozenset("title desc metadata defs symbol annotation annotation-xml".split())
+#: Labels and cells, which stand apart.
+FOREIGN_APART = frozenset("text mtr mlabeledtr mtd".split())
+#: Inside these markup is HTML again.
+INTEGRATION = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: HTML that ends an open SVG or MathML element.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure fieldset form details".split())
 LINE = frozenset(
     "html body div section article aside nav header footer main address li dt dd figcaption hgroup legend summary "
@@ -55,10 +68,13 @@ SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign", "holds_foreign")
 
-    def __init__(self, tag: str, attrs: dict):
+    def __init__(self, tag: str, attrs: dict, parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
+        #: Whether it is inside SVG or MathML, and whether its children are.
+        self.foreign = parent is not None and parent.holds_foreign
+        self.holds_foreign = tag in FOREIGN or (self.foreign and tag not in INTEGRATION)
 
 
 class TreeBuilder(HTMLParser):
@@ -82,6 +98,9 @@ class TreeBuilder(HTMLParser):
             del self.stack[found:]
 
     def handle_starttag(self, tag, attrs):
+        if tag in BREAKOUT:
+            while self.stack[-1].holds_foreign:
+                self.stack.pop()
         if any(n.tag == "head" for n in self.stack[:4]) and tag not in HEAD_ONLY and tag != "head":
             self._close({"head"}, {"html"})
         if tag in CLOSES_P:
@@ -95,13 +114,17 @@ class TreeBuilder(HTMLParser):
         self._push(tag, dict(attrs))
 
     def _push(self, tag, attrs):
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.stack[-1])
         self.stack[-1].children.append(node)
         if tag not in VOID and len(self.stack) < MAX_DEPTH:
             self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
+        depth, within = len(self.stack), self.stack[-1].holds_foreign
         self.handle_starttag(tag, attrs)
+        # Only there a slash ends the element.
+        if tag in FOREIGN or (within and tag not in BREAKOUT):
+            del self.stack[depth:]
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -129,7 +152,14 @@ class TreeBuilder(HTMLParser):
 
 def hidden(node: Node) -> bool:
     attrs = node.attrs
-    if node.tag in HIDDEN or "hidden" in attrs:
+    if node.foreign:
+        if node.tag in FOREIGN_HIDDEN or (attrs.get("display") or "").strip().lower() == "none":
+            return True
+        if (attrs.get("visibility") or "").strip().lower() in ("hidden", "collapse"):
+            return True
+    elif "hidden" in attrs:
+        return True
+    if node.tag in HIDDEN:
         return True
     if node.tag == "input" and (attrs.get("type") or "").strip().lower() in ("hidden", "password", "checkbox", "radio", "file", "image"):
         return True
@@ -230,6 +260,10 @@ class Renderer:
             self.text(" " + (node.attrs.get("value") or node.attrs.get("placeholder") or "") + " ")
         elif tag == "wbr":
             pass
+        elif node.foreign and tag in FOREIGN_APART:
+            self.text(" ")
+            self.children(node)
+            self.text(" ")
         elif tag in ("ul", "ol", "menu"):
             self.list(node)
         elif tag == "table":

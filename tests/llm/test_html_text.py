@@ -31,6 +31,25 @@ def test_page(html, text):
     assert page_text(html) == text
 
 
+FOREIGN = [
+    ("<p>so <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds", "so a=2 holds"),
+    ("<svg viewBox='0 0 1 1'><rect/><text x=1>North</text><g><text>South <tspan>9</tspan></text></g></svg>end", "North South 9 end"),
+    *[(f"<svg><{t}>no</{t}><text>yes</text></svg>", "yes") for t in ("title", "desc", "metadata", "defs", "symbol")],
+    *[(f"<math><semantics><mi>x</mi><{t}>no</{t}></semantics></math>", "x") for t in ("annotation", "annotation-xml")],
+    ("<svg><defs><text>no</text></defs><defs/><title/><text>yes</text></svg>", "yes"),
+    ("<svg><text display=none>no</text><text style='visibility:hidden'>no</text><text>yes</text></svg>", "yes"),
+    ("<svg><foreignObject><div>a</div><div>b</div></foreignObject></svg>", "a\nb"),
+    ("<svg><defs><p>out</p>", "out"), ("<svg/>a<math/>b", "ab"), ("a<desc>b</desc><defs>c</defs>", "abc"),
+    ("<p>a<div/>b", "a\n\nb"), ("<svg><style>.x{}</style><script>no()</script><a href=x><text>link</text></a></svg>", "link"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>", "1 2"),
+]
+
+
+@pytest.mark.parametrize("html,text", FOREIGN)
+def test_formulas_and_drawings(html, text):
+    assert page_text(html) == text
+
+
 def test_deep_and_long_pages_keep_all_text():
     deep = "<div>" * 30000 + "core" + "</div>" * 30000 + "<p>after"
     assert page_text(deep).split() == ["core", "after"]
