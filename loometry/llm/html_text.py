@@ -7,16 +7,17 @@ keeps block spacing, list markers and table columns. Row-local per page.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements nested deeper are laid beside one another, as browsers do; no text is lost.
+#: Elements nested deeper are laid beside one another in the tree, as browsers do; they
+#: stay open and hide what they would hide. No text is lost.
 MAX_DEPTH = 200
-#: Wider cells do not widen their column for the other rows.
-MAX_PAD = 80
 MAX_SPAN = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,13 +69,16 @@ SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "foreign", "holds_foreign")
+    __slots__ = ("tag", "attrs", "children", "foreign", "holds_foreign", "home", "gone", "closed")
 
     def __init__(self, tag: str, attrs: dict, parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, attrs, []
         #: Whether it is inside SVG or MathML, and whether its children are.
         self.foreign = parent is not None and parent.holds_foreign
         self.holds_foreign = tag in FOREIGN or (self.foreign and tag not in INTEGRATION)
+        #: For elements below the depth limit: the element of the tree that takes their
+        #: content, whether they are hidden, and whether their content is.
+        self.home, self.gone, self.closed = self, False, False
 
 
 class TreeBuilder(HTMLParser):
@@ -84,29 +88,41 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("root", {})
         self.stack = [self.root]
+        #: Places of the open elements in the stack, by tag.
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def _last(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, depth: int) -> None:
+        """End all elements from this place of the stack on."""
+        for node in self.stack[depth:]:
+            self.places[node.tag].pop()
+            self._mark(node)
+        del self.stack[depth:]
 
     def _close(self, tags, scope) -> None:
         """End the outermost of ``tags`` that is open inside ``scope``."""
-        found = None
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in scope:
-                break
-            if tag in tags:
-                found = i
-        if found is not None:
-            del self.stack[found:]
+        if not any(self.places.get(t) for t in tags):
+            return
+        floor, found = self._last(scope), len(self.stack)
+        for tag in tags:
+            places = self.places.get(tag) or []
+            i = bisect_right(places, floor)
+            if i < len(places):
+                found = min(found, places[i])
+        self._cut(found)
 
     def handle_starttag(self, tag, attrs):
         if tag in BREAKOUT:
             while self.stack[-1].holds_foreign:
-                self.stack.pop()
-        if any(n.tag == "head" for n in self.stack[:4]) and tag not in HEAD_ONLY and tag != "head":
+                self._cut(len(self.stack) - 1)
+        if (self.places.get("head") or [4])[0] < 4 and tag not in HEAD_ONLY and tag != "head":
             self._close({"head"}, {"html"})
         if tag in CLOSES_P:
             self._close({"p"}, BARRIER)
         if tag[0] == "h" and tag[1:] in ("1", "2", "3", "4", "5", "6") and re.fullmatch(r"h[1-6]", self.stack[-1].tag):
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
         if tag in ("td", "th") and self.stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
@@ -114,40 +130,61 @@ class TreeBuilder(HTMLParser):
         self._push(tag, dict(attrs))
 
     def _push(self, tag, attrs):
-        node = Node(tag, attrs, self.stack[-1])
-        self.stack[-1].children.append(node)
-        if tag not in VOID and len(self.stack) < MAX_DEPTH:
+        parent = self.stack[-1]
+        node = Node(tag, attrs, parent)
+        depth = len(self.stack)
+        # The summary of the deepest details is the one thing of it that is shown.
+        if parent.home is parent and (depth < MAX_DEPTH or (depth == MAX_DEPTH and tag == "summary" and parent.tag == "details")):
+            parent.children.append(node)
+        else:
+            self._flatten(node, parent)
+        if tag not in VOID:
+            self.places[tag].append(depth)
             self.stack.append(node)
 
+    def _flatten(self, node: Node, parent: Node) -> None:
+        """An element below the limit: empty ones in the tree mark its start and end."""
+        node.home = parent.home
+        first = node.tag == "summary" and parent.tag == "details" and not any(c.tag == "summary" for c in parent.children)
+        node.gone = hidden(node) or (parent.gone if first else parent.closed)
+        node.closed = node.gone or (node.tag == "details" and "open" not in node.attrs)
+        if parent.home is not parent and first:
+            parent.children.append(node)
+        self._mark(node)
+
+    def _mark(self, node: Node) -> None:
+        if node.home is not node and not node.gone:
+            mark = Node(node.tag, node.attrs)
+            mark.foreign = node.foreign
+            node.home.children.append(mark)
+
     def handle_startendtag(self, tag, attrs):
         depth, within = len(self.stack), self.stack[-1].holds_foreign
         self.handle_starttag(tag, attrs)
         # Only there a slash ends the element.
         if tag in FOREIGN or (within and tag not in BREAKOUT):
-            del self.stack[depth:]
+            self._cut(min(depth, len(self.stack)))
 
     def handle_endtag(self, tag):
         if tag == "br":
             self._push("br", {})
             return
-        if tag == "p" and not any(n.tag == "p" for n in self.stack):
+        if tag == "p" and not self.places.get("p"):
             self._push("p", {})
         stop = {"table"} if tag != "table" else frozenset()
         if tag in ("ul", "ol", "dl", "table", "body", "html"):
             stop = frozenset()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in stop:
-                return
+        place = self._last((tag,))
+        if place and self._last(stop) <= place:
+            self._cut(place)
 
     def handle_data(self, data):
         top = self.stack[-1]
         if top.tag == "head" and data.strip():
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
             top = self.stack[-1]
-        top.children.append(data)
+        if not top.closed:
+            top.home.children.append(data)
 
 
 def hidden(node: Node) -> bool:
@@ -377,7 +414,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
         for column, wide, lines in cells:
             if wide == 1:
                 longest = max(map(len, lines), default=0)
-                width[column] = max(width.get(column, 0), longest if longest <= MAX_PAD else 0)
+                width[column] = max(width.get(column, 0), longest)
     columns = sorted({c for cells in grid for c, _, lines in cells if lines})
     start, at = {}, 0
     for c in columns:

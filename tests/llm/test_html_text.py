@@ -66,6 +66,27 @@ def test_query_covers_all_pages(spark, data_dir):
     assert all("track(" not in r.text and "{margin" not in r.text for r in rows)
 
 
+def test_elements_below_the_depth_limit_hide_and_end():
+    for depth in (190, 198, 199, 200, 201, 5000):
+        deep = "<div>" * depth
+        assert page_text(f"{deep}a<p hidden>no</p><script>no</script><style>no</style>b") == "ab"
+        assert page_text(f"{deep}<span style='display:none'>no<b>no</b><img alt=no></span>yes") == "yes"
+        # The end of an inner element ends no outer one.
+        assert page_text(f"<span hidden>{deep}<span>no</span>no</span>") == ""
+        assert page_text(f"{deep}<details><summary>s</summary>no<b>no</b></details>t").split() == ["s", "t"]
+        assert page_text(f"{deep}a<div>b</div>c<b>d</b>e") == "a\nb\ncde"
+        assert page_text(f"{deep}a<svg><defs>no</defs><text>b</text></svg>").split() == ["a", "b"]
+    assert page_text("<p><object>" + "<div>" * 50000 + "x") == ""
+
+
+def test_cells_of_any_length_keep_columns_aligned():
+    long = "word " * 30 + "end"
+    rows = page_text(f"<table><tr><td>{long}<td>b<tr><td>x<td>c</table>").split("\n")
+    assert rows == [long + "  b", "x" + " " * (len(long) + 1) + "c"]
+    rows = page_text(f"<table><tr><td>{long}<td>b<tr><td>{long} 2<td>c</table>").split("\n")
+    assert rows[0].index("  b") == len(long) + 2 and rows[1].index("  c") == len(long) + 2
+
+
 def test_nulls_repeats_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, None, "r"), (1, None, "r"), (None, "<p>x", None)], "page_id long, html string, row string")
     out = extract(rows)
