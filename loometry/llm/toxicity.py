@@ -141,7 +141,8 @@ def fit(documents: DataFrame, grades: DataFrame, *, sample_rows: int = SAMPLE_RO
     """Fit on at most ``sample_rows`` labelled documents.
 
     ``grades`` has ``doc_id`` and ``grade``; the highest grade of an id counts, null
-    ids and grades do not. Where the labels only tell toxic (1) from clean (0), the
+    ids and grades do not. Of several rows of one id, the text with the smallest hash
+    counts, so that ``sample_rows`` bounds what comes to the driver. Where the labels only tell toxic (1) from clean (0), the
     toxic ones are graded by ``split_toxic``. Without a graded document, or where all
     are of grade 0, the model holds every text for clean.
     """
@@ -151,17 +152,20 @@ def fit(documents: DataFrame, grades: DataFrame, *, sample_rows: int = SAMPLE_RO
     )
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # At most sample_rows short rows: the side that is broadcast is bounded.
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    joined = texts.join(F.broadcast(chosen), "doc_id")
+    one = joined.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
 
     def extract(batches):
         for batch in batches:
-            for lo, hi, raw, borders in text_slices(batch.column(1)):
+            for lo, hi, raw, borders in text_slices(batch.column(2)):
                 rows, values = distinct(*features(raw, borders))
                 cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
                 cells = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cells, pa.binary())], ["grade", "features"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(cells, pa.binary())], ["doc_id", "grade", "features"])
 
-    found = joined.mapInArrow(extract, "grade int, features binary").toArrow()
+    id_type = one.schema["doc_id"].dataType.simpleString()
+    # By id, so that the sums of the fit do not depend on how the rows arrive.
+    found = one.mapInArrow(extract, f"doc_id {id_type}, grade int, features binary").toArrow().sort_by("doc_id")
     cells = found.column("features").to_pylist()
     values = np.frombuffer(b"".join(cells), U64)
     rows = np.repeat(np.arange(len(cells)), [len(c) // 8 for c in cells])

@@ -55,3 +55,26 @@ def test_without_labels_and_edge_rows(spark):
     grades = spark.createDataFrame([(i, 1 if i % 4 == 0 else 0) for i in range(80)] * 2, "doc_id long, grade int")
     model = fit(rows, grades)
     assert {r.doc_id for r in score(rows, model).filter("_toxicity.rejected").collect()} == set(range(0, 80, 4))
+
+
+def test_rows_of_one_id_count_once(spark, monkeypatch):
+    """An id repeated over most rows has one row in the fit, whatever their order."""
+    from loometry.llm import toxicity as module
+
+    texts = [(i, f"vile word{i % 7}" if i % 2 else f"kind word{i % 7}") for i in range(40)]
+    hot = [(1, f"kind other text {i % 11}") for i in range(500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, grade int")
+    sizes = []
+    real = module.fit_arrays
+
+    def seen(rows, values, grades, **options):
+        sizes.append(len(grades))
+        return real(rows, values, grades, **options)
+
+    monkeypatch.setattr(module, "fit_arrays", seen)
+    models = []
+    for rows in (texts + hot, hot[::-1] + texts[::-1]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        models.append(fit(docs, labels, sample_rows=30))
+    assert set(sizes) == {30}
+    assert (models[0].vocabulary == models[1].vocabulary).all() and (models[0].weights == models[1].weights).all()
