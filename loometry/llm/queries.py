@@ -166,3 +166,16 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r
 SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach ON d.doc_id = reach.a GROUP BY d.doc_id
 """
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from loometry.llm.packing import encode, pack
+
+    packed = pack(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return packed.select(
+        F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("n_ids").alias("doc_tokens"), "sequence_id", "offset"
+    )
