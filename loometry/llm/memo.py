@@ -30,12 +30,16 @@ class WordIds:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
-    def encode(self, raw: np.ndarray, borders: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(
+        self, raw: np.ndarray, borders: np.ndarray, starts: np.ndarray, ends: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows end to end and how many each row has. Words begin at
-        ``starts`` and end where the next begins; every non-empty row begins one."""
+        ``starts`` and end at ``ends``, or where the next begins; every non-empty row
+        then begins one."""
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(borders) - 1, np.int64)
-        ends = np.append(starts[1:], len(raw))
+        if ends is None:
+            ends = np.append(starts[1:], len(raw))
         unique, place, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         self._learn(raw, starts[place], ends[place], unique)
         slot = self.slot[np.searchsorted(self.known, unique)][inverse]

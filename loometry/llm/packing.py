@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import NOT_SPACE, binaries, flat, text_slices
+from loometry.llm.arrays import LOWER, NOT_SPACE, binaries, byte_table, flat, text_slices, words
 from loometry.llm.memo import WordIds
 
 #: Examples that wait in a task, and ids in an outgoing batch, about.
@@ -36,37 +36,87 @@ def encode(documents: DataFrame, tokenizer_file: str, *, key: str = "doc_id", te
     little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never looks beyond it (nor do its special
-    tokens hold any), so that the distinct words of a slice are encoded once.
+    tokens hold any); so the distinct words of a slice are encoded once. Neither does it
+    look from a letter or digit to the stop after it, nor tell a word's first letter A-Z
+    from the small one: words part there and begin small.
     """
 
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-
-        def encode_words(words: list[str]) -> list[list[int]]:
-            out = []
-            for i in range(0, len(words), 4096):
-                out += [e.ids for e in tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-            return out
-
-        memo = WordIds(encode_words)
+        memo = WordIds(_encoder(tokenizer_file))
         for batch in batches:
             for lo, hi, raw, borders in text_slices(batch.column(1)):
-                # A word starts after white space, or with its row.
-                first = np.zeros(len(raw), bool)
-                first[1:] = NOT_SPACE[raw[1:]] & ~NOT_SPACE[raw[:-1]]
-                first[borders[:-1][np.diff(borders) > 0]] = True
-                ids, counts = memo.encode(raw, borders, np.flatnonzero(first))
-                total = np.cumsum(counts)
-                cells = np.insert(ids.astype("<u4"), total, end)
+                raw, starts, ends = _parts(raw, borders)
+                ids, counts = memo.encode(raw, borders, starts, ends)
+                cells = np.insert(ids.astype("<u4"), np.cumsum(counts), end)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), binaries(cells, counts + 1)], ["key", "ids"])
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary")
 
 
+_STOP = ~byte_table(b".,;:!?")
+_LETTER = byte_table(bytes(c for c in range(256) if not chr(c).isalnum() or c > 127))
+#: Second bytes of the two-byte letters U+00C0 to U+00FF.
+_LATIN = np.zeros(256, bool)
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
+
+
+def _parts(raw: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes with words begun small, and the starts and ends of their parts."""
+    starts, ends, _ = words(raw, borders, NOT_SPACE)
+    if not len(starts):
+        return raw, starts, ends
+    letter = _LETTER[raw]
+    letter[1:] |= (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
+    stop = _STOP[raw]
+    stop[1:] &= letter[:-1]
+    stop[0] = False
+    stop[starts] = False
+    stops = np.flatnonzero(stop)
+    small = raw.copy()
+    small[starts] = LOWER[raw[starts]]
+    return small, np.sort(np.concatenate([starts, stops])), np.sort(np.concatenate([ends, stops]))
+
+
+def _encoder(tokenizer_file: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def ids_of(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_words(found: list[str]) -> list[list[int]]:
+        """A call costs more than a word, so words of letters go together: each must then
+        have just one id that closes a word. If one has more, they go one by one."""
+        out: list[list[int]] = [[] for _ in found]
+        single = [i for i, word in enumerate(found) if not word.isalpha()]
+        joined = [i for i, word in enumerate(found) if word.isalpha()]
+        for lo in range(0, len(joined), 1024):
+            group = joined[lo : lo + 1024]
+            ids = ids_of([" ".join([found[i] for i in group])])[0]
+            ends = (np.flatnonzero(closes[np.array(ids, np.int64)]) + 1).tolist()
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                single += group
+                continue
+            at = 0
+            for i, e in zip(group, ends, strict=True):
+                out[i] = ids[at:e]
+                at = e
+        for lo in range(0, len(single), 4096):
+            group = single[lo : lo + 4096]
+            for i, ids in zip(group, ids_of([found[i] for i in group]), strict=True):
+                out[i] = ids
+        return out
+
+    return encode_words
+
+
 class _Unit:
     """A stretch of an example, ids ``start`` onwards; the first ``prompt`` ids of the
     example bear no loss."""

@@ -51,7 +51,8 @@ def test_query_packs_every_id_without_padding(spark, data_dir):
 
 TEXTS = [
     "", None, " ", "a", "It's WE'LL 's 'S", "12 345 6th", "é ö 日本 語 É ́x", "<|endoftext|> x<|endoftext|>y <|startoftext|>", "tab\tand\r\nline\x0b\x0cx",
-    "a b　c d", "ΣΑΣ ΑΣ", "🙂 🙂🙂", "word " * 9000, "x" * 30000, " lead", "trail \n",
+    "a b　c d", "ΣΑΣ ΑΣ", "🙂 🙂🙂", "word " * 9000, "x" * 30000, " lead", "trail \n", "A,b.c;D:É!ñ?× ,×,÷. 1.5,a.. İ, ǅ. \u0345a, X<|ENDOFTEXT|>. <|endoftext|>,",
+    "A" + "\u0301. e\u0301,e\u0301 가나, \u1112\u1161\u11ab. ﬁ, ŉ. it's, IT'S. 's. 'LL,",
 ]
 
 
