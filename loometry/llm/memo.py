@@ -7,6 +7,7 @@ distinct word is encoded once and remembered by its worker.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -62,7 +63,7 @@ class WordIds:
         cells = self.encode_words([data[a:b].decode() for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
         counts = np.array([len(c) for c in cells], np.int64)
         base = len(self.cells)
-        self.cells = np.concatenate([self.cells, np.fromiter((x for c in cells for x in c), np.int32, int(counts.sum()))])
+        self.cells = np.concatenate([self.cells, np.fromiter(chain.from_iterable(cells), np.int32, int(counts.sum()))])
         self.slot = np.insert(self.slot, at[fresh], len(self.count) + np.arange(len(cells)))
         self.known = np.insert(self.known, at[fresh], hashes[fresh])
         self.start = np.concatenate([self.start, base + np.cumsum(counts) - counts])

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +43,29 @@ def encode(documents: DataFrame, tokenizer_file: str, *, key: str = "doc_id", te
     """
 
     def run(batches):
-        memo = WordIds(_encoder(tokenizer_file))
-        for batch in batches:
-            for lo, hi, raw, borders in text_slices(batch.column(1)):
-                raw, starts, ends = _parts(raw, borders)
-                ids, counts = memo.encode(raw, borders, starts, ends)
-                cells = np.insert(ids.astype("<u4"), np.cumsum(counts), end)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), binaries(cells, counts + 1)], ["key", "ids"])
+        for keys, cells, counts in _encoded(batches, tokenizer_file, end):
+            yield pa.RecordBatch.from_arrays([keys, binaries(cells, counts)], ["key", "ids"])
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary")
 
 
+def _encoded(batches, tokenizer_file: str, end: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, ids end to end, and how many each row has."""
+    memo = _memo(tokenizer_file)
+    for batch in batches:
+        for lo, hi, raw, borders in text_slices(batch.column(1)):
+            raw, starts, ends = _parts(raw, borders)
+            ids, counts = memo.encode(raw, borders, starts, ends)
+            yield batch.column(0).slice(lo, hi - lo), np.insert(ids.astype("<u4"), np.cumsum(counts), end), counts + 1
+
+
+@lru_cache(maxsize=1)
+def _memo(tokenizer_file: str) -> WordIds:
+    """What a worker remembers of one tokenizer, at most (``memo.REMEMBERED`` words)."""
+    return WordIds(_encoder(tokenizer_file))
+
+
 _STOP = ~byte_table(b".,;:!?")
 _LETTER = byte_table(bytes(c for c in range(256) if not chr(c).isalnum() or c > 127))
 #: Second bytes of the two-byte letters U+00C0 to U+00FF.
@@ -97,8 +109,8 @@ def _encoder(tokenizer_file: str):
         out: list[list[int]] = [[] for _ in found]
         single = [i for i, word in enumerate(found) if not word.isalpha()]
         joined = [i for i, word in enumerate(found) if word.isalpha()]
-        for lo in range(0, len(joined), 1024):
-            group = joined[lo : lo + 1024]
+        for lo in range(0, len(joined), 128):
+            group = joined[lo : lo + 128]
             ids = ids_of([" ".join([found[i] for i in group])])[0]
             ends = (np.flatnonzero(closes[np.array(ids, np.int64)]) + 1).tolist()
             if len(ends) != len(group) or ends[-1] != len(ids):
@@ -217,6 +229,9 @@ class _Packer:
             yield part
 
 
+_PIECES = "start long, length long, ids binary, n_ids long, sequence_id long, offset long"
+
+
 def pack(
     examples: DataFrame, *, tokens: int = 2048, segments: int = 256, loss_tokens: int | None = None, prompt: str | None = None, cut: bool = True,
 ) -> DataFrame:
@@ -234,61 +249,83 @@ def pack(
     no piece. Other columns are ignored. An empty table gives no rows. A
     ``sequence_id`` is the partition's number times 2^36 plus a running number.
     """
-    if min(tokens, segments, tokens if loss_tokens is None else loss_tokens) < 1:
-        raise ValueError("every limit must be positive")
-    limits = (tokens, segments, tokens if loss_tokens is None else loss_tokens)
+    limits = _limits(tokens, segments, loss_tokens)
     rows = examples.select("key", "ids", (F.col(prompt).cast("long") if prompt else F.lit(0).cast("long")).alias("prompt"))
-    kind = rows.schema["key"].dataType
 
     def run(batches):
-        packer = _Packer(*limits, cut)
-        number = TaskContext.get().partitionId() << 36
-        out: list[tuple] = []
-        cells: list[np.ndarray] = []
-        held = 0
-        key_type = pa.int64()
-
-        def batch_out():
-            keys, starts, totals, numbers, offsets = zip(*out, strict=True)
-            sizes = np.array([len(c) for c in cells], np.int64)
-            return pa.RecordBatch.from_arrays([
-                pa.array(keys, key_type), pa.array(starts, pa.int64()), pa.array(sizes), binaries(np.concatenate(cells), sizes),
-                pa.array(totals, pa.int64()), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64()),
-            ], ["key", "start", "length", "ids", "n_ids", "sequence_id", "offset"])
-
-        def emit(sequence):
-            nonlocal number, held
-            at = 0
-            for unit in sequence:
-                out.append((unit.key, unit.start, unit.total, number, at))
-                cells.append(unit.ids)
-                at += len(unit.ids)
-            held += at
-            number += 1
-
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            raw, borders = flat(batch.column(1))
-            ids, borders = np.frombuffer(raw.tobytes(), "<u4"), borders // 4
-            keys, prompts = batch.column(0).to_pylist(), batch.column(2).fill_null(0).to_pylist()
-            for i, key in enumerate(keys):
+        def read():
+            for batch in batches:
+                raw, borders = flat(batch.column(1))
+                ids = np.frombuffer(raw.tobytes(), "<u4")
+                yield batch.column(0), ids, np.diff(borders) // 4, batch.column(2).fill_null(0).to_pylist()
+
+        yield from _pieces(read(), _Packer(*limits, cut))
+
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {_PIECES}")
+
+
+def pack_texts(
+    documents: DataFrame, tokenizer_file: str, *, key: str = "doc_id", text: str = "text", end: int = 1,
+    tokens: int = 2048, segments: int = 256, loss_tokens: int | None = None,
+) -> DataFrame:
+    """``pack(encode(...))`` in one step, so that ids do not leave their task."""
+    limits = _limits(tokens, segments, loss_tokens)
+
+    def run(batches):
+        read = ((keys, ids, counts, [0] * len(keys)) for keys, ids, counts in _encoded(batches, tokenizer_file, end))
+        yield from _pieces(read, _Packer(*limits, True))
+
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {_PIECES}")
+
+
+def _limits(tokens: int, segments: int, loss_tokens: int | None) -> tuple[int, int, int]:
+    limits = (tokens, segments, tokens if loss_tokens is None else loss_tokens)
+    if min(limits) < 1:
+        raise ValueError("every limit must be positive")
+    return limits
+
+
+def _pieces(read, packer: _Packer) -> Iterator[pa.RecordBatch]:
+    """Batches of pieces of the sequences that ``packer`` fills from ``read``: keys, ids
+    end to end, how many each row has, and how many of those bear no loss."""
+    number = TaskContext.get().partitionId() << 36
+    rows: list[tuple] = []
+    cells: list[np.ndarray] = []
+    held = 0
+    key_type = pa.int64()
+
+    def batch_out() -> pa.RecordBatch:
+        keys, starts, totals, numbers, offsets = zip(*rows, strict=True)
+        sizes = np.array([len(c) for c in cells], np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.array(keys, key_type), pa.array(starts, pa.int64()), pa.array(sizes), binaries(np.concatenate(cells), sizes),
+            pa.array(totals, pa.int64()), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64()),
+        ], ["key", "start", "length", "ids", "n_ids", "sequence_id", "offset"])
+
+    def filled():
+        nonlocal key_type
+        for keys, ids, counts, prompts in read:
+            key_type = keys.type
+            borders = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            for i, key in enumerate(keys.to_pylist()):
                 if borders[i] == borders[i + 1]:
                     continue
                 packer.add(key, ids[borders[i] : borders[i + 1]].copy(), prompts[i])
                 if len(packer.units) >= WAITING:
-                    for sequence in packer.sequences(WAITING // 2):
-                        emit(sequence)
-                        if held >= OUT_IDS:
-                            yield batch_out()
-                            out, cells, held = [], [], 0
-        for sequence in packer.sequences(0):
-            emit(sequence)
-            if held >= OUT_IDS:
-                yield batch_out()
-                out, cells, held = [], [], 0
-        if out:
+                    yield from packer.sequences(WAITING // 2)
+        yield from packer.sequences(0)
+
+    for sequence in filled():
+        at = 0
+        for unit in sequence:
+            rows.append((unit.key, unit.start, unit.total, number, at))
+            cells.append(unit.ids)
+            at += len(unit.ids)
+        number += 1
+        held += at
+        if held >= OUT_IDS:
             yield batch_out()
-
-    return rows.mapInArrow(
-        run, f"key {kind.simpleString()}, start long, length long, ids binary, n_ids long, sequence_id long, offset long"
-    )
+            rows, cells, held = [], [], 0
+    if rows:
+        yield batch_out()

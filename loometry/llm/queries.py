@@ -173,9 +173,9 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
 
-    from loometry.llm.packing import encode, pack
+    from loometry.llm.packing import pack_texts
 
-    packed = pack(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    packed = pack_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select(
         F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("n_ids").alias("doc_tokens"), "sequence_id", "offset"
     )

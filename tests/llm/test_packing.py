@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loometry.llm.packing import encode, pack
+from loometry.llm.packing import encode, pack, pack_texts
 from loometry.llm.queries import QUERIES, table
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
@@ -59,8 +59,8 @@ TEXTS = [
 def test_odd_texts(spark):
     tokenizer = Tokenizer.from_file(FILE)
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)], "doc_id long, text string, key string")
-    for parts in (1, 3):
-        packed = pack(encode(docs.repartition(parts), FILE)).select(
+    for packed in (pack(encode(docs.repartition(1), FILE)), pack_texts(docs.repartition(3), FILE)):
+        packed = packed.select(
             F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("n_ids").alias("doc_tokens"), "sequence_id", "offset"
         )
         check(packed.collect(), {i: ids_of(tokenizer, t) for i, t in enumerate(TEXTS)})
