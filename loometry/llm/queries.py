@@ -200,3 +200,10 @@ s AS (SELECT item_id, doc_id, r, CAST(sum(CAST(floor(1000 * ln((2 * nn + 2) / (2
 k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
 """
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loometry.llm.conversation_repair import repair_damaged
+
+    return repair_damaged(table(spark, sf_dir, "conversations"))
