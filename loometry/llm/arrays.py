@@ -3,8 +3,8 @@ rolling hashes and sliding minima. All of it works on slices of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +82,11 @@ def words(raw: np.ndarray, borders: np.ndarray, table: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, borders)
 
 
-@lru_cache(maxsize=8)
+#: Powers kept for the next call, at most so many of each base and of its inverse.
+_KEPT_POWERS = 1 << 21
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(size: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     base = _MULT[which]
     out = []
@@ -96,8 +100,48 @@ def _powers(size: int, which: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse. A longer table serves for
+    shorter ones; those for a very long text are made anew."""
     size = 1 << max(16, int(n).bit_length())
-    return _powers(size, which)
+    if size > _KEPT_POWERS:
+        return _powers(size, which)
+    if which not in _TABLES or len(_TABLES[which][0]) < size:
+        _TABLES[which] = _powers(size, which)
+    return _TABLES[which]
+
+
+def free() -> None:
+    """Give what a task has used back to the system: workers are used again, and what
+    they keep adds up."""
+    _TABLES.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(step: Callable) -> Callable:
+    """``step`` for ``mapInArrow``, freeing its memory at the end of the task."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            free()
+
+    return run
+
+
+def tidy_group(step: Callable) -> Callable:
+    """``step`` for ``applyInArrow``, freeing its memory after each group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return step(group)
+        finally:
+            free()
+
+    return run
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import ALNUM, LOWER, covered, ranges, span_hashes, text_slices, words
+from loometry.llm.arrays import ALNUM, LOWER, covered, ranges, span_hashes, text_slices, tidy, words
 
 #: Text of the benchmark held by a task at once; a larger benchmark takes more passes.
 BLOCK_BYTES = 8 << 20
@@ -195,7 +195,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, size: int = 13, block_by
                     ], ["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
         out_item = _arrow_type(benchmark, "item_id")
-        part = documents.select("doc_id", "text").mapInArrow(search, schema)
+        part = documents.select("doc_id", "text").mapInArrow(tidy(search), schema)
         found = part if found is None else found.unionAll(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
@@ -255,7 +255,7 @@ def contamination(
                     ["row", "text", "hit", "items"],
                 )
 
-        rows = rows.mapInArrow(look_up, f"row {row_type}, text string, hit binary, items string")
+        rows = rows.mapInArrow(tidy(look_up), f"row {row_type}, text string, hit binary, items string")
 
     def judge(batches):
         for batch in batches:
@@ -275,7 +275,7 @@ def contamination(
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), found], ["row", "found"])
 
-    judged = rows.mapInArrow(judge, f"row {row_type}, found struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean>")
+    judged = rows.mapInArrow(tidy(judge), f"row {row_type}, found struct<n_words:long,n_hit:long,n_items:long,items_sha256:string,contaminated:boolean>")
     return judged.select(*[F.col("row")[c].alias(c) for c in columns], F.col("found").alias("_found"))
 
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import LOWER, NOT_SPACE, U64, mix, ranges, span_hashes, text_slices, words
+from loometry.llm.arrays import LOWER, NOT_SPACE, U64, mix, ranges, span_hashes, text_slices, tidy, words
 from loometry.session import cut_lineage
 
 SHINGLE = 3
@@ -120,7 +120,7 @@ def document_sets(documents: DataFrame, *, shingle: int = SHINGLE, bands: int =
                 yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n", "d1", "d2", "sig"])
 
     schema = "doc_id long, n long, d1 long, d2 long, sig array<long>"
-    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def band_keys(sig: str, bands: int) -> Column:
@@ -173,7 +173,7 @@ def node_texts(documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFram
                 rep = batch.column(0).slice(lo, hi - lo).take(pa.array(same))
                 yield pa.RecordBatch.from_arrays([rep, pa.array(d1[same]), pa.array(cells, pa.binary())], ["rep", "d1", "ztext"])
 
-    zipped = both.mapInArrow(run, "rep long, d1 long, ztext binary")
+    zipped = both.mapInArrow(tidy(run), "rep long, d1 long, ztext binary")
     return zipped.groupBy("rep", "d1").agg(F.first("ztext").alias("ztext")).select(F.struct("rep", "d1").alias("node"), "ztext")
 
 
@@ -190,7 +190,7 @@ def fine_estimates(texts: DataFrame, shingle: int) -> DataFrame:
                 sets, cuts = shingle_sets(raw, np.concatenate([[0], np.cumsum([len(x) for x in held])]), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), _longs(fine_signatures(sets, cuts))], ["node", "fine"])
 
-    return texts.select("node", "ztext").mapInArrow(run, "node struct<rep:long,d1:long>, fine array<long>")
+    return texts.select("node", "ztext").mapInArrow(tidy(run), "node struct<rep:long,d1:long>, fine array<long>")
 
 
 def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -221,7 +221,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame, percent: int, shingle: int) ->
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(linked)), part.column(1).filter(pa.array(linked))], ["a", "b"])
 
     kind = "struct<rep:long,d1:long>"
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(tidy(run), f"a {kind}, b {kind}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,11 +267,20 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
     # The text of one document of each node that shares a bucket moves once.
     texts = cut_lineage(node_texts(documents, members.select("node").distinct(), shingle), "texts")
 
+    # Every node meets one centre first, that of the least hash: most of a family meets
+    # the same one. What is then in another component than a centre meets that one too.
     signed = nodes.select("node", "sig", "n")
-    pairs = members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     longs, cut = bands * ROWS // 8, percent / 100 - SLACK
+    one = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("centre").alias("h"), F.col("centre")))["centre"].alias("b"))
+    pairs = one.filter("node != b").select(F.col("node").alias("a"), "b")
     links = cut_lineage(confirmed(texts, cut_lineage(_plausible(pairs, signed, longs, cut, percent), "pairs"), percent, shingle), "links")
     labels = components(links)
+    here = members.filter("node != centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    for side in ("a", "b"):
+        here = here.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
+    pairs = cut_lineage(_plausible(here.filter("la != lb").select("a", "b"), signed, longs, cut, percent), "pairs")
+    links = cut_lineage(links.unionAll(confirmed(texts, pairs, percent, shingle)), "links")
+    labels = components(links)
 
     # What is left: pairs of a bucket in two components. They are looked at with the
     # finer signature, and those that may be alike on their full sets.
@@ -279,13 +288,15 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).filter("low != high")
     open_rows = cut_lineage(labelled.join(mixed.select("bucket", "main"), "bucket"), "mixed")
     fine = cut_lineage(fine_estimates(texts.join(open_rows.select("node").distinct(), "node", "left_semi"), shingle), "fine")
-    left = open_rows.join(fine.join(nodes.select("node", "n"), "node"), "node")
-    minor = left.filter("label != main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("fine").alias("fa"), F.col("n").alias("na"))
-    others = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("fine").alias("fb"), F.col("n").alias("nb"), "main")
+    left = open_rows.join(fine.join(nodes.select("node", "n", band_keys("sig", bands).alias("keys")), "node"), "node")
+    minor = left.filter("label != main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("fine").alias("fa"), F.col("n").alias("na"), F.col("keys").alias("ka"))
+    others = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("fine").alias("fb"), F.col("n").alias("nb"), F.col("keys").alias("kb"), "main")
     close = _sizes_fit("na", "nb", percent) & (estimate("fa", "fb", FINE // 64) >= fine_cut("na", "nb", percent))
     # Of two minor ones, one order is enough.
     once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))
-    rest = minor.join(others, (minor["bucket"] == others["bucket"]) & (F.col("la") != F.col("lb")) & once & close).select("a", "b").distinct()
+    # A pair meets in the first bucket that both are in, and in no other.
+    first = F.array_intersect("ka", "kb")[0] == minor["bucket"]
+    rest = minor.join(others, (minor["bucket"] == others["bucket"]) & (F.col("la") != F.col("lb")) & once & close & first).select("a", "b")
     rest = cut_lineage(rest, "rest")
     if rest.limit(1).count():
         links = cut_lineage(links.unionAll(confirmed(texts, rest, percent, shingle)), "links")
@@ -331,7 +342,7 @@ def remove_near_duplicates(documents: DataFrame, *, percent: int = 85, shingle:
 
     row_type = packed.schema["row"].dataType.simpleString()
     rows = packed.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(
-        add, f"doc_id long, n long, d1 long, d2 long, row {row_type}"
+        tidy(add), f"doc_id long, n long, d1 long, d2 long, row {row_type}"
     )
     whole = rows.filter("n = 0 OR doc_id IS NULL").select("row")
     chosen = rows.filter("n > 0").join(kept, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select("row")

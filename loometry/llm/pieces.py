@@ -20,11 +20,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import ranges, slices, text_slices
+from loometry.llm.arrays import ranges, slices, text_slices, tidy
 from loometry.llm.memo import WordIds
 
 MARK = "▁"
 _SPACE = 32
+#: Pairs of pieces whose merging a worker remembers (some 120 bytes each).
+REMEMBERED_PAIRS = 400_000
 #: Ids decoded at once, about.
 SLICE_IDS = 1 << 19
 
@@ -144,6 +146,8 @@ class Pieces:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Pieces of distinct words, whose spaces stand for marks, in the order given."""
+        if len(self.apart) > REMEMBERED_PAIRS:
+            self.apart.clear()
         marked_words = [w.replace(" ", MARK) for w in words]
         order = sorted(range(len(words)), key=marked_words.__getitem__)
         out: list[list[int]] = [[]] * len(words)
@@ -214,6 +218,8 @@ def encode(documents: DataFrame, model_file: str, *, text: str = "text") -> Data
 
     def run(batches):
         pieces = loaded(model_file)
+        # The words of one task: workers are used again for other things.
+        pieces.memo.forget()
         for batch in batches:
             for lo, hi, raw, borders in text_slices(batch.column(0).field(place)):
                 ids, counts = pieces.encode(*marked(raw, borders))
@@ -226,8 +232,9 @@ def encode(documents: DataFrame, model_file: str, *, text: str = "text") -> Data
                 ]
                 cell = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), cell, pa.array(same, pa.bool_())], ["row", "ids", "same"])
+        pieces.memo.forget()
 
-    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, same boolean")
+    out = packed.mapInArrow(tidy(run), f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, same boolean")
     return out.select(*[F.col("row")[c].alias(c) for c in columns], F.col("ids").alias("_ids"), F.col("same").alias("_same"))
 
 
@@ -251,5 +258,5 @@ def decode(rows: DataFrame, model_file: str, *, ids: str = "_ids") -> DataFrame:
                     at += size
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(texts, pa.string())], ["row", "text"])
 
-    out = packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, text string")
+    out = packed.mapInArrow(tidy(run), f"row {packed.schema['row'].dataType.simpleString()}, text string")
     return out.select(*[F.col("row")[c].alias(c) for c in columns], F.col("text").alias("_decoded"))

@@ -27,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import SLICE_BYTES, U64, flat, ranges, sliding_min, span_hashes, text_slices, window_hashes
+from loometry.llm.arrays import SLICE_BYTES, U64, flat, ranges, sliding_min, span_hashes, text_slices, tidy, tidy_group, window_hashes
 from loometry.session import cut_lineage
 
 #: Entries of one minimiser beyond which its windows are dealt one by one.
 MANY = 4096
+#: Bytes of distinct text for each bucket, about; never fewer buckets than shuffle partitions.
+BUCKET_BYTES = 64 << 20
 NO_ID = (1 << 63) - 1
 _FOUND = np.dtype([("first", "<u4"), ("mask", "<u8")])
 #: Minimiser hashes travel as six bytes; that more of them agree by chance only lets
@@ -127,7 +129,7 @@ def zipped(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:-1]], pa.array(cells, pa.binary())], [*columns, "ztext"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.select(*columns, "text").mapInArrow(run, f"{schema}, ztext binary")
+    return docs.select(*columns, "text").mapInArrow(tidy(run), f"{schema}, ztext binary")
 
 
 def unzipped(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -151,7 +153,7 @@ def _short(tid: pa.Array) -> np.ndarray:
 
 def flagged_minimisers(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
     """``text, hashes, modes``: for each text the minimisers that occur again, packed,
-    and how their windows travel."""
+    and how their windows travel; a text has one row."""
     kinds = "bucket long, hashes binary, multi binary, texts binary, counts binary, known binary"
     names = [x.split()[0] for x in kinds.split(", ")]
 
@@ -208,22 +210,34 @@ def flagged_minimisers(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFra
             mode = np.where(sizes > MANY, SINGLE, STRING).astype(np.uint8)
             found.append((text[again], value[again], np.repeat(mode, sizes)[again]))
         text, value, mode = (np.concatenate(x) for x in zip(*found, strict=True))
+        # A row per group of texts, so that rows follow neither texts nor buckets.
+        to = (text.view(U64) % U64(buckets)).astype(np.int64)
+        out = {"group": [], "texts": [], "hashes": [], "modes": []}
+        for number, x in _by_bucket(to) if len(to) else ():
+            for name, cell in zip(out, (number, text[x].tobytes(), pack6(value[x]), mode[x].tobytes()), strict=True):
+                out[name].append(cell)
+        return pa.table({n: pa.array(v, pa.int64() if n == "group" else pa.binary()) for n, v in out.items()})
+
+    def gather(group: pa.Table) -> pa.Table:
+        text, mode = (np.frombuffer(b"".join(group[n].to_pylist()), t) for n, t in (("texts", "<i8"), ("modes", "u1")))
+        value = unpack6(b"".join(group["hashes"].to_pylist()))
         order = np.argsort(text, kind="stable")
         text, value, mode = text[order], value[order], mode[order]
-        head, count = runs(text) if len(text) else (np.zeros(0, int), np.zeros(0, int))
+        head, count = runs(text)
         spans = [(a, a + n) for a, n in zip(head.tolist(), count.tolist(), strict=True)]
         return pa.table({
             "text": pa.array(text[head], pa.int64()), "hashes": pa.array([pack6(value[a:b]) for a, b in spans], pa.binary()),
             "modes": pa.array([mode[a:b].tobytes() for a, b in spans], pa.binary()),
         })
 
-    packed = docs.select("tid", "text").mapInArrow(emit, kinds)
-    return packed.groupBy("bucket").applyInArrow(decide, "text long, hashes binary, modes binary")
+    packed = docs.select("tid", "text").mapInArrow(tidy(emit), kinds)
+    decided = packed.groupBy("bucket").applyInArrow(tidy_group(decide), "group long, texts binary, hashes binary, modes binary")
+    return decided.groupBy("group").applyInArrow(tidy_group(gather), "text long, hashes binary, modes binary")
 
 
 _CELLS = ["strings", "lengths", "keys", "texts", "firsts", "counts", "multi", "found"]
 _STRINGS = "bucket long, " + ", ".join(f"{c} binary" for c in _CELLS)
-_OWNED = np.dtype([("key", "<i8"), ("text", "<i4"), ("first", "<u4"), ("mask", "<u8")])
+_OWNED = np.dtype([("text", "<i8"), ("first", "<u4"), ("mask", "<u8")])
 
 
 def _full(counts: np.ndarray) -> np.ndarray:
@@ -231,7 +245,7 @@ def _full(counts: np.ndarray) -> np.ndarray:
 
 
 def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
-    """Strings of flagged windows, packed by bucket. ``docs`` has ``key, tid, hashes,
+    """Strings of flagged windows, packed by bucket. ``docs`` has ``key, uid, hashes,
     modes, ztext``, one row per distinct text."""
     size = scheme.window
 
@@ -243,13 +257,13 @@ def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([c], pa.binary()) for c in cells]], ["bucket", *_CELLS])
 
         for batch in batches:
-            keys, short = batch.column(0).to_numpy(), _short(batch.column(1)).astype(np.int32)
+            keys, uids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi, raw, borders in unzipped(batch.column(4)):
                 symbols, cuts, starts, ends = scheme.symbols(raw, borders)
                 own, places, least, hashes = minimisers(symbols, cuts, size, scheme.k)
-                cells = [b"".join(x or []) for x in batch.column(2).slice(lo, hi - lo).to_pylist()]
+                cells = batch.column(2).slice(lo, hi - lo).to_pylist()
                 flag = unpack6(b"".join(cells))
-                mode = np.frombuffer(b"".join(b"".join(x or []) for x in batch.column(3).slice(lo, hi - lo).to_pylist()), np.uint8)
+                mode = np.frombuffer(b"".join(batch.column(3).slice(lo, hi - lo).to_pylist()), np.uint8)
                 if not len(own) or not len(flag):
                     continue
                 # The flags of each row, found by row and hash.
@@ -277,7 +291,7 @@ def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
                     d1, d2 = (span_hashes(symbols, f, tail, i) for i in (0, 1))
                     # Buckets of their own for single windows: a document may send both.
                     to = (d1 % U64(buckets)).astype(np.int64) + buckets if single else (deal[head] % U64(buckets)).astype(np.int64)
-                    key, text, begin = keys[lo:hi][r], short[lo:hi][r], (f - cuts[r]).astype(np.uint32)
+                    key, text, begin = keys[lo:hi][r], uids[lo:hi][r], (f - cuts[r]).astype(np.uint32)
                     # Equal strings of the slice: one travels, by the smallest key.
                     order = np.lexsort((key, d2, d1))
                     at, members = runs(d1[order], d2[order])
@@ -290,7 +304,7 @@ def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
                         send = ~settled
                     sure = order[settled]
                     found = np.empty(len(sure), _OWNED)
-                    found["key"], found["text"], found["first"], found["mask"] = key[sure], text[sure], begin[sure], _full(c[sure])
+                    found["text"], found["first"], found["mask"] = text[sure], begin[sure], _full(c[sure])
                     multi = np.zeros(len(order), np.uint8)
                     multi[order[settled]] = 1
                     go = np.sort(order[send])  # by document
@@ -300,12 +314,12 @@ def travelling(docs: DataFrame, scheme: Scheme, buckets: int) -> DataFrame:
                         length = last[y] - first[y]
                         yield row(
                             bucket, raw[ranges(first[y], length)].tobytes(), length.astype("<u4").tobytes(), key[y].astype("<i8").tobytes(),
-                            text[y].tobytes(), begin[y].astype("<u4").tobytes(), c[y].astype("u1").tobytes(), multi[y].tobytes(), b"",
+                            text[y].astype("<i8").tobytes(), begin[y].astype("<u4").tobytes(), c[y].astype("u1").tobytes(), multi[y].tobytes(), b"",
                         )
                     if len(found):
                         yield row(int(to[0]), *[b""] * 7, found.tobytes())
 
-    return docs.select("key", "tid", "hashes", "modes", "ztext").mapInArrow(emit, _STRINGS)
+    return docs.select("key", "uid", "hashes", "modes", "ztext").mapInArrow(tidy(emit), _STRINGS)
 
 
 def _salt(rows: np.ndarray) -> np.ndarray:
@@ -325,7 +339,7 @@ class Bucket:
 
 
 def found_windows(strings: DataFrame, scheme: Scheme) -> DataFrame:
-    """``key, text, found``: windows of each document that repeat, as packed cells."""
+    """``uid, found``: windows of each text that repeat, as packed cells."""
 
     def settle(group: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
@@ -344,18 +358,18 @@ def found_windows(strings: DataFrame, scheme: Scheme) -> DataFrame:
             masks = np.add.reduceat(again.astype(U64) << bit.astype(U64), heads)
             some = masks > 0
             out = np.empty(int(some.sum()), _OWNED)
-            out["key"], out["text"], out["first"], out["mask"] = keys[some], cell("texts", "<i4")[some], cell("firsts", "<u4")[some], masks[some]
+            out["text"], out["first"], out["mask"] = cell("texts", "<i8")[some], cell("firsts", "<u4")[some], masks[some]
             owned.append(out)
         rows = np.concatenate(owned)
-        order, heads = _groups(rows["text"], rows["key"])
+        order, heads = _groups(rows["text"])
         rows = rows[order]
         packed = np.empty(len(rows), _FOUND)
         packed["first"], packed["mask"] = rows["first"], rows["mask"]
         ends = np.append(heads[1:], len(rows))[: len(heads)].tolist()
         cells = [packed[a:b].tobytes() for a, b in zip(heads.tolist(), ends, strict=True)]
-        return pa.table({"key": pa.array(rows["key"][heads], pa.int64()), "text": pa.array(rows["text"][heads].astype(np.int64)), "found": pa.array(cells, pa.binary())})
+        return pa.table({"uid": pa.array(rows["text"][heads].astype(np.int64)), "found": pa.array(cells, pa.binary())})
 
-    return strings.groupBy("bucket").applyInArrow(settle, "key long, text long, found binary")
+    return strings.groupBy("bucket").applyInArrow(tidy_group(settle), "uid long, found binary")
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -372,22 +386,19 @@ def repeated_windows(documents: DataFrame, scheme: Scheme) -> DataFrame:
     """``key, tid, copies, found`` for the first document (smallest key) of each
     distinct text; rows of ``documents`` without one are later copies of a text."""
     spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = prepared(documents)
-    firsts = docs.groupBy("tid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
-    firsts = cut_lineage(firsts.withColumn("short", _short_column("tid")), "texts")
-    flags = flagged_minimisers(docs, scheme, parts).groupBy("text").agg(F.collect_list(F.struct("hashes", "modes")).alias("flags"))
-    flags = cut_lineage(flags, "flags")
+    firsts = docs.groupBy("tid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).alias("size"))
+    # A number of its own tells each text from then on, whatever ids are null or repeated.
+    firsts = cut_lineage(firsts.withColumn("short", _short_column("tid")).withColumn("uid", F.monotonically_increasing_id()), "texts")
+    size = firsts.agg(F.sum("size")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    flags = cut_lineage(flagged_minimisers(docs, scheme, parts), "flags")
     release_shuffles(spark)
-    chosen = firsts.join(flags, firsts["short"] == flags["text"]).select("key", "tid", F.col("flags.hashes").alias("hashes"), F.col("flags.modes").alias("modes"))
+    chosen = firsts.join(flags, firsts["short"] == flags["text"]).select("key", "tid", "uid", "hashes", "modes")
     texts = zipped(docs).join(chosen, ["key", "tid"])
     found = found_windows(travelling(texts, scheme, 4 * parts), scheme)
-    gathered = found.groupBy("key", "text").agg(F.collect_list("found").alias("found"))
-    short = F.shiftright(F.shiftleft("short", 32), 32)
-    out = cut_lineage(
-        firsts.withColumn("short", short).join(gathered.withColumnRenamed("text", "short"), ["key", "short"], "left")
-        .select("key", "tid", "copies", "found"), "found",
-    )
+    gathered = found.groupBy("uid").agg(F.collect_list("found").alias("found"))
+    out = cut_lineage(firsts.join(gathered, "uid", "left").select("key", "tid", "copies", "found"), "found")
     del found, gathered, texts, chosen
     release_shuffles(spark)
     return out

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import NOT_SPACE, covered, ranges, span_hashes, words
+from loometry.llm.arrays import NOT_SPACE, covered, ranges, span_hashes, tidy, words
 from loometry.llm.repeats import Bucket, Scheme, original_columns, unzipped, window_starts, with_windows
 
 WINDOW = 35
@@ -87,4 +87,4 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                 )
 
     schema = f"row {both.schema['row'].dataType.simpleString()}, text string, kept struct<n_words:long,n_removed:long,text:string,sha256:string>"
-    return both.mapInArrow(cut, schema).select(*original_columns(documents), F.col("kept").alias("_kept"))
+    return both.mapInArrow(tidy(cut), schema).select(*original_columns(documents), F.col("kept").alias("_kept"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loometry.llm.arrays import ALNUM, LOWER, U64, mix, span_hashes, text_slices, words
+from loometry.llm.arrays import ALNUM, LOWER, U64, mix, span_hashes, text_slices, tidy, words
 
 #: Labelled documents the model is fitted on, at most: those first in hash order.
 SAMPLE_ROWS = 6000
@@ -196,7 +196,7 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0), cell], ["row", "found"])
 
     schema = f"row {packed.schema['row'].dataType.simpleString()}, found struct<severity:double,grade:int,rejected:boolean>"
-    judged = packed.mapInArrow(judge, schema)
+    judged = packed.mapInArrow(tidy(judge), schema)
     return judged.select(*[F.col("row")[c].alias(c) for c in columns], F.col("found").alias("_toxicity"))
 
 

@@ -89,3 +89,30 @@ def test_clashing_columns_and_empty_table(spark):
     out = remove_earlier(docs)
     assert out.columns == [*docs.columns, "_kept"] and out.first()["_kept"]["text"] == "a b"
     assert remove_earlier(docs.limit(0)).count() == 0
+
+
+def colliding(passage):
+    """A text that holds the passage and one that shares nothing with it, whose SHA-256
+    agree in 32 bits."""
+    def short(text):
+        return hashlib.sha256(text.encode()).digest()[:4]
+
+    holders = {short(f"{passage} {i}"): f"{passage} {i}" for i in range(200_000)}
+    words = " ".join(f"other{i}" for i in range(45))
+    for i in range(200_000):
+        text = f"{words} {i}"
+        if short(text) in holders:
+            return holders[short(text)], text
+    raise AssertionError("no collision found")
+
+
+def test_texts_without_or_with_repeated_ids_keep_apart(spark):
+    from loometry.llm.substring_dedup import remove_repeats
+
+    passage = " ".join(f"word{i}" for i in range(40))
+    holder, innocent = colliding(passage)
+    for doc_id in (None, 5):
+        docs = spark.createDataFrame([(1, passage), (doc_id, holder), (doc_id, innocent)], "doc_id long, text string")
+        for kept in (remove_earlier(docs), remove_repeats(docs)):
+            gone = {r.text: r._kept.n_removed for r in kept.collect()}
+            assert gone[innocent] == 0 and gone[holder] > 0
