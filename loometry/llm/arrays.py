@@ -132,14 +132,19 @@ def tidy(step: Callable) -> Callable:
     return run
 
 
+#: Bytes of a group from which on its memory is given back.
+_LARGE_GROUP = 32 << 20
+
+
 def tidy_group(step: Callable) -> Callable:
-    """``step`` for ``applyInArrow``, freeing its memory after each group."""
+    """``step`` for ``applyInArrow``, freeing its memory after a large group."""
 
     def run(group: pa.Table) -> pa.Table:
         try:
             return step(group)
         finally:
-            free()
+            if group.nbytes >= _LARGE_GROUP:
+                free()
 
     return run
 

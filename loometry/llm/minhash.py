@@ -22,6 +22,8 @@ from loometry.llm.arrays import LOWER, NOT_SPACE, U64, mix, ranges, span_hashes,
 from loometry.session import cut_lineage
 
 SHINGLE = 3
+#: Bytes of text worked on at once.
+SLICE = 1 << 19
 #: Bands by default. A pair of similarity s shares none of n bands with probability
 #: (1 - s^5)^n: 7e-9 at 0.85 with 32, 5e-9 at 0.8 with 48.
 BANDS, ROWS, BITS = 32, 5, 8
@@ -113,7 +115,7 @@ def document_sets(documents: DataFrame, *, shingle: int = SHINGLE, bands: int =
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, borders in text_slices(batch.column(1)):
+            for lo, hi, raw, borders in text_slices(batch.column(1), SLICE):
                 sets, cuts = shingle_sets(raw, borders, shingle)
                 d1, d2 = digests(sets, cuts)
                 cells = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts)), pa.array(d1), pa.array(d2), _longs(signatures(sets, cuts, bands))]
@@ -164,7 +166,7 @@ def node_texts(documents: DataFrame, nodes: DataFrame, shingle: int) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for lo, hi, raw, borders in text_slices(batch.column(1)):
+            for lo, hi, raw, borders in text_slices(batch.column(1), SLICE):
                 sets, cuts = shingle_sets(raw, borders, shingle)
                 d1, _ = digests(sets, cuts)
                 same = np.flatnonzero(d1 == batch.column(2).slice(lo, hi - lo).to_numpy())
@@ -332,7 +334,7 @@ def remove_near_duplicates(documents: DataFrame, *, percent: int = 85, shingle:
 
     def add(batches):
         for batch in batches:
-            for lo, hi, raw, borders in text_slices(batch.column(1)):
+            for lo, hi, raw, borders in text_slices(batch.column(1), SLICE):
                 sets, cuts = shingle_sets(raw, borders, shingle)
                 d1, d2 = digests(sets, cuts)
                 yield pa.RecordBatch.from_arrays(
