@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None):
     def register(build):
         QUERIES[name] = lambda spark, sf_dir: build(Model(spark, sf_dir))
         if sql is not None:
-            ORACLE[name] = with_bindings(sql)
+            ORACLE[name] = sql if sql in ORACLE.values() else with_bindings(sql)
         return build
 
     return register

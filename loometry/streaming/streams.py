@@ -94,14 +94,17 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def run_merge(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Process everything that is there through ``merge_latest``."""
+def run_batches(stream: DataFrame, checkpoint: str, write) -> None:
+    """Process everything that is there, one micro-batch after the other."""
     query = (
-        stream.writeStream.foreachBatch(merge_latest(f"{path}/table", keys, order))
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def run_merge(stream: DataFrame, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Process everything that is there through ``merge_latest``."""
+    run_batches(stream, f"{path}/checkpoint", merge_latest(f"{path}/table", keys, order))
     return read_latest(stream.sparkSession, f"{path}/table", stream)
 
 
