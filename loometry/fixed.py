@@ -124,7 +124,7 @@ TRY_ON_BUCKETS = {
     "vto_shoe": "shoes",
 }
 
-# File extension per mime type; types that are not listed give "bin".
+# File extension per mime type, of those a plain installation knows; others give "bin".
 MIME_EXTENSIONS = {
     "image/jpeg": "jpg",
     "image/png": "png",
@@ -133,6 +133,9 @@ MIME_EXTENSIONS = {
     "application/pdf": "pdf",
 }
 
+# Types of step fields whose values name media.
+MEDIA_FIELDS = ["image", "audio", "video"]
+
 # Final status of a run by the state its executor reports.
 RUN_STATUS = {
     "SUCCEEDED": "completed",

@@ -274,6 +274,56 @@ def may_act(requests: DataFrame, items: DataFrame, workspace_id: int, user_id: i
     return requests.join(allowed, (F.col("type") == F.col("_t")) & (F.col("id") == F.col("_i")), "left_semi")
 
 
+def requested(requests: DataFrame, items: DataFrame) -> DataFrame:
+    """Every requested (type, id) once, with what is stored of it: ``item`` is null where
+    there is no such item, or where it is deleted."""
+    stored = items.filter(not_deleted()).select(
+        F.col("item_type").alias("_t"), F.col("id").alias("_i"), F.struct(*items.columns).alias("item")
+    )
+    wanted = requests.select("type", "id").distinct()
+    return wanted.join(stored, (F.col("type") == F.col("_t")) & (F.col("id") == F.col("_i")), "left").drop("_t", "_i")
+
+
+def bulk_outcome(requests: DataFrame, items: DataFrame, workspace_id: int, user_id: int, is_admin: bool) -> DataFrame:
+    """What a bulk action does with each requested item: ``done``, or why it is skipped
+    (``missing``, ``elsewhere``, ``not_owner``), as (type, id, outcome)."""
+    own = F.lit(True) if is_admin else F.coalesce(F.col("item.user_id") == user_id, F.lit(False))
+    outcome = (
+        F.when(F.col("item").isNull(), "missing")
+        .when(~F.coalesce(F.col("item.workspace_id") == workspace_id, F.lit(False)), "elsewhere")
+        .when(~own, "not_owner").otherwise("done")
+    )
+    return requested(requests, items).select("type", "id", outcome.alias("outcome"))
+
+
+def bulk_counts(outcomes: DataFrame) -> DataFrame:
+    """How many requested items were acted on, and how many were skipped and why."""
+    count = lambda *names: F.count_if(F.col("outcome").isin(*names))
+    return outcomes.agg(
+        count("done").alias("done"), count("missing", "elsewhere", "not_owner").alias("skipped"),
+        count("missing").alias("missing"), count("elsewhere").alias("elsewhere"), count("not_owner").alias("not_owner"),
+    )
+
+
+def chosen_downloads(
+    requests: DataFrame, items: DataFrame, workspaces: DataFrame, members: DataFrame, user_id: int, is_admin: bool
+) -> DataFrame:
+    """The download manifest of the requested items that exist and lie in a workspace
+    that the user may see: public, own, or one they are a member of (any, for an admin)."""
+    found = requested(requests, items).filter("item IS NOT NULL").select("item.*")
+    if not is_admin:
+        seen = visible_workspaces(workspaces, members, user_id).select("id")
+        owned = workspaces.filter(F.col("owner_id") == user_id).select("id")
+        allowed = seen.unionByName(owned).distinct().select(F.col("id").alias("workspace_id"))
+        found = found.join(allowed, "workspace_id", "left_semi")
+    return download_manifest(found)
+
+
+def template_page(templates: DataFrame, limit: int, offset: int = 0, **wanted: str | None) -> Page:
+    """A page of the templates found, the newest first."""
+    return page(search_templates(templates, **wanted), [F.desc("created_at"), F.desc("id")], limit, offset)
+
+
 def tags_of(links: DataFrame, tags: DataFrame, item_column: str) -> DataFrame:
     """(item, tag) rows with the tag's fields."""
     return links.join(tags, F.col("tag_id") == F.col("id")).select(

@@ -109,11 +109,12 @@ def resolve_inputs(inputs: DataFrame, outputs: DataFrame, entries: DataFrame) ->
 
 
 def media_of_runs(values: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Distinct media and asset ids that the values of a run mention.
+    """Distinct media and asset ids that the media fields of a run mention.
 
-    ``values`` (run_id, value) holds JSON: a number is a media id; an object may
-    hold an asset id, a media item, or a reference to a step's output, which is
-    followed; lists are searched to any depth. ``outputs`` (run_id, step_id,
+    ``values`` (run_id, field_type, value) holds JSON in fields of every type; only those
+    of type image, audio and video are looked at, so that a seed is no media id. In
+    them a number is a media id; an object may hold an asset id, a media item, or a
+    reference to a step's output, which is followed; lists are searched to any depth. ``outputs`` (run_id, step_id,
     entry_pos, output, value) gives the step results; the last run of a step
     counts.
     """
@@ -123,7 +124,8 @@ def media_of_runs(values: DataFrame, outputs: DataFrame) -> DataFrame:
         F.col("value").alias("_next"),
     )
     final = cut_lineage(final, "results")
-    todo, found, followed = values.select("run_id", "value"), None, None
+    media = values.filter(F.col("field_type").isin(fixed.MEDIA_FIELDS))
+    todo, found, followed = media.select("run_id", "value").distinct(), None, None
     while True:
         # Parsed once and written: ids, list items and references are then read
         # from columns, and a lost executor does not repeat earlier rounds.

@@ -192,13 +192,42 @@ def export_head(meta: DataFrame) -> DataFrame:
     return meta.select("briefing_id", F.inline(lines)).filter((F.col("line") == 0) | (F.col("value") != ""))
 
 
-def write_export(grid: DataFrame, path: str) -> None:
-    """CSV files, one folder per briefing, rows in order inside each file."""
+def export_sheet(meta: DataFrame, segments: DataFrame, translations: DataFrame, rows: int = CHUNK_ROWS) -> DataFrame:
+    """Every row of every briefing's sheet: (briefing_id, part, line, cells), in order of
+    part and line. Part 0 is the header (two empty cells, the source market, then the
+    markets translated into, in fixed order), part 1 the name and the metadata that is
+    set, part 2 an empty row, part 3 the segments. ``meta`` has the briefings and their
+    name and metadata; a briefing without segments has no part 3."""
+    markets = list(fixed.TARGET_MARKETS)
+    have = translations.groupBy("briefing_id").agg(F.collect_set("market").alias("_have"))
+    known = F.coalesce("_have", F.array().cast("array<string>"))
+    listed = F.filter(F.array(*[F.lit(m) for m in markets]), lambda m: F.array_contains(known, m))
+    header = meta.select("briefing_id").join(have, "briefing_id", "left").select(
+        "briefing_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("line"),
+        F.concat(F.array(F.lit(""), F.lit(""), F.lit(fixed.SOURCE_MARKET)), listed).alias("cells"),
+    )
+    # The name is the first cell; a metadata row leaves the second one empty.
+    named = F.when(F.col("line") == 0, F.array("label")).otherwise(F.array(F.col("label"), F.lit(""), F.col("value")))
+    head = export_head(meta).select("briefing_id", F.lit(1).alias("part"), F.col("line").cast("long").alias("line"), named.alias("cells"))
+    spacer = meta.select("briefing_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("line"), F.array().cast("array<string>").alias("cells"))
+    wide = export_grid(segments, translations, None, rows)
+    # A market that the briefing is not translated into is null in the grid.
+    texts = F.filter(F.array(*[F.col(m) for m in markets]), lambda x: x.isNotNull())
+    fixed_cells = F.array(F.col("block"), F.coalesce("label", F.lit("")), F.coalesce(fixed.SOURCE_MARKET, F.lit("")))
+    body = wide.select("briefing_id", F.lit(3).alias("part"), F.col("segment_index").cast("long").alias("line"), F.concat(fixed_cells, texts).alias("cells"))
+    return header.unionByName(head).unionByName(spacer).unionByName(body)
+
+
+def write_export(sheet: DataFrame, path: str) -> None:
+    """CSV files of whole sheets in order: rows are range-partitioned by briefing and
+    place, so a file holds many small briefings, and a large one spans several files.
+    The first columns of a row tell its briefing and place."""
+    order = ["briefing_id", "part", "line"]
+    widest = 3 + len(fixed.TARGET_MARKETS)
+    cells = [F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(widest)]
     (
-        grid.repartition("briefing_id", F.expr(f"segment_index div {CHUNK_ROWS}"))
-        .sortWithinPartitions("briefing_id", "segment_index")
-        .drop("segment_index").write.partitionBy("briefing_id").option("header", True)
-        .option("escape", '"').mode("overwrite").csv(path)
+        sheet.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, *cells)
+        .write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
     )
 
 
@@ -244,33 +273,50 @@ def _anchor(needle: Column) -> Column:
     return F.coalesce(F.array_max(parts)["p"], needle)
 
 
-def _pieces(words: DataFrame, lengths: Sequence[int]) -> DataFrame:
-    """(word, anchor): the pieces of each word that have one of the lengths."""
-    size = F.char_length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("i"))
-    sized = starts.select("word", "i", F.explode(F.array(*[F.lit(k) for k in lengths])).alias("k"))
-    fitting = sized.filter(F.col("i") + F.col("k") - 1 <= size)
-    return fitting.select("word", F.substring("word", F.col("i"), F.col("k")).alias("anchor"))
+#: Letters of a gram; shorter terms stand under the whole of their text.
+GRAM = 3
+
+
+def _grams(column: str, size: int) -> Column:
+    """The distinct runs of ``size`` letters, in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _containing(vocabulary: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(word, anchor) for the words that contain an anchor.
+
+    Each anchor stands under the gram that the fewest words have. The grams of the words,
+    as many as they have letters, meet those by equality, and what meets is compared.
+    """
+    sized = anchors.select("anchor", F.least(F.char_length("anchor"), F.lit(GRAM)).alias("size"))
+    sizes = sorted(r[0] for r in sized.select("size").distinct().collect())  # of 1 to GRAM
+    of_words = of_anchors = None
+    for size in sizes:
+        w = vocabulary.select("word", F.explode(_grams("word", size)).alias("gram"))
+        a = sized.filter(F.col("size") == size).select("anchor", F.explode(_grams("anchor", size)).alias("gram"))
+        of_words, of_anchors = (w, a) if of_words is None else (of_words.unionAll(w), of_anchors.unionAll(a))
+    if of_words is None:
+        return vocabulary.select("word", F.lit("").alias("anchor")).filter(F.lit(False))
+    counts = of_words.join(of_anchors.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A gram that no word has rules its anchor out.
+    rarest = of_anchors.join(counts, "gram", "left").groupBy("anchor").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    under = rarest.filter("g.n > 0").select("anchor", F.col("g.gram").alias("gram"))
+    return of_words.join(under, "gram").filter(F.contains("word", F.col("anchor"))).select("word", "anchor")
 
 
 def _occurrences(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """(briefing_id, needle) where a text contains the needle.
 
-    Terms meet the vocabulary, not the texts: each distinct word is cut into
-    pieces of the lengths that occur among the terms' anchors, and the pieces
-    meet the anchors in an equi join. A word then leads to its texts. Only terms
-    that reach beyond their anchor (several words) are checked on the text.
+    Terms meet the vocabulary, not the texts: distinct words and the terms' anchors
+    meet through grams. A word then leads to its texts. Only terms that reach beyond
+    their anchor (several words) are checked on the text.
     """
     anchored = needles.select("needle", _anchor(F.col("needle")).alias("anchor"))
-    # A handful of numbers: the distinct anchor lengths.
-    lengths = sorted(r[0] for r in anchored.select(F.char_length("anchor")).distinct().collect())
-    if not lengths:
-        return texts.select("briefing_id", F.lit("").alias("needle")).filter(F.lit(False))
     rows = texts.select("briefing_id", F.xxhash64("t").alias("h"), "t")
     runs = F.array_distinct(F.regexp_extract_all("t", F.lit("\\s+|\\S+"), F.lit(0)))
     words = rows.select("briefing_id", "h", F.explode(runs).alias("word"))
     vocabulary = words.select("word").distinct()
-    known = _pieces(vocabulary, lengths).join(anchored.select("anchor").distinct(), "anchor")
+    known = _containing(vocabulary, anchored.select("anchor").distinct())
     reached = words.join(known, "word").select("briefing_id", "h", "anchor").distinct()
     candidates = reached.join(anchored, "anchor")
     alone = candidates.filter(F.col("needle") == F.col("anchor")).select("briefing_id", "needle")

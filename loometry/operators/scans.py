@@ -212,6 +212,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 def consecutive_ids(df: DataFrame, order: str, start: int, name: str = "id") -> DataFrame:
     """New ids ``start, start+1, ...`` in the order of a unique column."""
-    rows, chunk = chunked(df, [], [order])
-    numbered = scan(rows, [], [order], chunk, number="_number")
-    return numbered.withColumn(name, F.lit(start) + F.col("_number") - 1).drop("_number", "_bucket")
+    # Only the column is sorted and numbered; whole rows meet their number by a join.
+    keys, chunk = chunked(df.select(F.col(order).alias("_key")), [], ["_key"])
+    numbered = scan(keys, [], ["_key"], chunk, number="_number").select("_key", "_number")
+    joined = df.join(numbered, F.col(order).eqNullSafe(F.col("_key")))
+    return joined.withColumn(name, F.lit(start) + F.col("_number") - 1).drop("_number", "_key")

@@ -380,10 +380,11 @@ FROM {_with_blanks_sql(6, 5)}
 
 
 def translations(m: Model) -> DataFrame:
-    """Two markets per briefing; every fifth segment is not translated."""
+    """Two markets per briefing; the last segment is not translated."""
     first = _market(F.col("briefing_id"))
     second = _market(F.col("briefing_id") * 3 + 5)
-    return m.segments.filter("segment_index % 5 <> 3").select(
+    last = m.segments.groupBy("briefing_id").agg(F.max("segment_index").alias("_last"))
+    return m.segments.join(last, "briefing_id").filter("segment_index < _last").select(
         "briefing_id", F.explode(F.array_distinct(F.array(first, second))).alias("market"),
         "segment_index", "text",
     ).select(
@@ -396,7 +397,7 @@ CTE["translations"] = f"""
 SELECT briefing_id, market, segment_index, market || ': ' || text AS text FROM (
   SELECT briefing_id, segment_index, text,
     unnest(list_distinct([{_market_sql("briefing_id")}, {_market_sql("(briefing_id * 3 + 5)")}])) AS market
-  FROM segments WHERE segment_index % 5 <> 3)
+  FROM segments s WHERE segment_index < (SELECT max(segment_index) FROM segments l WHERE l.briefing_id = s.briefing_id))
 """
 
 
@@ -749,12 +750,31 @@ FROM documents
 """
 
 
+def media_templates(m: Model) -> DataFrame:
+    key = F.col("p_partkey")
+    mime = F.when(key % 3 == 0, "image/png").when(key % 3 == 1, "video/mp4").otherwise("audio/wav")
+    return m.raw("part").select(
+        key.alias("id"), F.col("p_name").alias("name"), mime.alias("mime_type"), F.col("p_type").alias("industry"),
+        F.when(key % 7 != 0, F.col("p_brand")).alias("brand"),
+        F.when(key % 11 != 0, F.concat(F.split("p_name", " "), F.array(F.concat(L("size-"), F.col("p_size").cast("string"))))).alias("tags"),
+        (L("1996-01-01").cast("timestamp") + F.make_dt_interval((key % 1000).cast("int"))).alias("created_at"),
+    )
+
+
+CTE["media_templates"] = """
+SELECT p_partkey AS id, p_name AS name, CASE p_partkey % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'video/mp4' ELSE 'audio/wav' END AS mime_type,
+  p_type AS industry, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS brand,
+  CASE WHEN p_partkey % 11 <> 0 THEN list_append(string_split(p_name, ' '), 'size-' || p_size) END AS tags,
+  TIMESTAMP '1996-01-01' + to_days((p_partkey % 1000)::INT) AS created_at FROM part
+"""
+
+
 TABLES = {
     f.__name__: f
     for f in (
         media_items, media_links, media_items_linked, users, workspaces, workspace_members,
         source_assets, tags, media_item_tags, source_asset_tags, segments, translations,
         briefings, feedback_requests, tickets, glossary_terms, glossary_grid, copy_grid,
-        workflow_runs, step_entries, step_outputs, step_inputs, clips, reports,
+        workflow_runs, step_entries, step_outputs, step_inputs, clips, reports, media_templates,
     )
 }

@@ -143,6 +143,37 @@ def s14(m):
     return loc.export_grid(m.segments, m.translations, EXPORT_MARKETS)
 
 
+SHEET_MARKETS = fixed.TARGET_MARKETS
+_HAVE = "EXISTS (SELECT 1 FROM translations t WHERE t.briefing_id = {0} AND t.market = '{1}')"
+
+
+@query("s14_export_sheet", f"""
+WITH meta AS (SELECT id AS briefing_id, name, CASE WHEN id % 3 = 0 THEN 'r' || id || '@example.com' END AS email, CASE WHEN id % 2 = 0 THEN 'Team ' || id ELSE '' END AS requestor FROM briefings),
+have AS (SELECT briefing_id, list(DISTINCT market) AS ms FROM translations GROUP BY 1),
+tr AS (SELECT briefing_id, segment_index, market, max(text) AS text FROM translations GROUP BY ALL),
+order_of AS (SELECT unnest({SHEET_MARKETS!r}) AS market, unnest(range(1, {len(SHEET_MARKETS) + 1})) AS place),
+cells AS (SELECT s.briefing_id, s.segment_index, string_agg(coalesce(tr.text, ''), '|' ORDER BY place) AS texts
+  FROM segments s JOIN have h ON h.briefing_id = s.briefing_id JOIN order_of o ON list_contains(h.ms, o.market)
+  LEFT JOIN tr ON tr.briefing_id = s.briefing_id AND tr.segment_index = s.segment_index AND tr.market = o.market GROUP BY 1, 2)
+SELECT m.briefing_id, 0 AS part, 0::BIGINT AS line, '||EN' || coalesce((SELECT string_agg('|' || market, '' ORDER BY place) FROM order_of WHERE list_contains(h.ms, market)), '') AS cells
+FROM meta m LEFT JOIN have h ON h.briefing_id = m.briefing_id
+UNION ALL SELECT briefing_id, 1, 0, name FROM meta
+UNION ALL SELECT briefing_id, 1, 1, 'Email||' || email FROM meta WHERE coalesce(email, '') <> ''
+UNION ALL SELECT briefing_id, 1, 2, 'Requestor||' || requestor FROM meta WHERE coalesce(requestor, '') <> ''
+UNION ALL SELECT briefing_id, 2, 0, '' FROM meta
+UNION ALL SELECT s.briefing_id, 3, s.segment_index, CASE WHEN s.segment_index = 0 OR s.block IS DISTINCT FROM lag(s.block) OVER (PARTITION BY s.briefing_id ORDER BY s.segment_index) THEN coalesce(s.block, '') ELSE '' END
+  || '|' || coalesce(s.label, '') || '|' || coalesce(s.text, '') || coalesce('|' || c.texts, '') FROM segments s LEFT JOIN cells c ON c.briefing_id = s.briefing_id AND c.segment_index = s.segment_index
+""")
+def s14_sheet(m):
+    key = F.col("id")
+    meta = m.briefings.select(
+        key.alias("briefing_id"), "name", F.when(key % 3 == 0, F.concat(F.lit("r"), key.cast("string"), F.lit("@example.com"))).alias("email"),
+        F.when(key % 2 == 0, F.concat(F.lit("Team "), key.cast("string"))).otherwise("").alias("requestor"),
+        *[F.lit(None).cast("string").alias(c) for c in ("date_email", "due", "notes")],
+    )
+    return loc.export_sheet(meta, m.segments, m.translations).withColumn("cells", F.array_join("cells", "|"))
+
+
 @query("w11_block_label_once", """
 SELECT briefing_id, count(*) FILTER (WHERE shown <> '') AS labels, count(*) AS segments FROM (
   SELECT briefing_id, CASE WHEN segment_index = 0 OR block IS DISTINCT FROM lag(block) OVER (PARTITION BY briefing_id ORDER BY segment_index) THEN coalesce(block, '') ELSE '' END AS shown

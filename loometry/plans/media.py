@@ -139,6 +139,14 @@ def f8(m):
     return g.search_users(m.users, role="admin").select("id", "email")
 
 
+@query("f8_template_tags", """
+SELECT id, name, tags::VARCHAR AS tags FROM media_templates WHERE list_contains(tags, 'ring')
+""")
+def f8_templates(m):
+    shown = F.concat(F.lit("["), F.array_join("tags", ", "), F.lit("]")).alias("tags")
+    return g.search_templates(m.media_templates, tag="ring").select("id", "name", shown)
+
+
 @query("f9_contains_ci", "SELECT id, email FROM users WHERE email ILIKE '%R1_@EX%'")
 def f9(m):
     return g.search_users(m.users, email="R1_@EX", include_deleted=True).select("id", "email")
@@ -157,6 +165,15 @@ def f11(m):
     return found.select("id", "scope", "asset_type", "mime_type")
 
 
+@query("f11_template_search", """
+SELECT id, industry, brand, 'page' AS kind, (SELECT count(*) FROM media_templates WHERE industry = 'ECONOMY' AND brand = 'Brand#2' AND mime_type = 'image/png') AS total FROM (
+  SELECT * FROM media_templates WHERE industry = 'ECONOMY' AND brand = 'Brand#2' AND mime_type = 'image/png' ORDER BY created_at DESC, id DESC LIMIT 12 OFFSET 3)
+""")
+def f11_templates(m):
+    found = g.template_page(m.media_templates, 12, 3, industry="ECONOMY", brand="Brand#2", mime_type="image/png")
+    return found.data.select("id", "industry", "brand", F.lit("page").alias("kind"), F.lit(found.count).cast("long").alias("total"))
+
+
 @query("f12_key_list", """
 SELECT id, language, source FROM glossary_terms WHERE language IN ('NL', 'FR', 'NO')
 UNION ALL SELECT id, 'member', name FROM users WHERE id IN (SELECT owner_id FROM workspaces)
@@ -192,6 +209,37 @@ def f18(m):
     return g.may_act(requests, base(m), 5, 5, is_admin=False).select("type", "id")
 
 
+REQUESTS = """requests AS (SELECT DISTINCT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'media_item' ELSE 'source_asset' END AS type FROM orders),
+found AS (SELECT r.type AS wanted_type, r.id AS wanted_id, u.* FROM requests r LEFT JOIN unified u ON u.item_type = r.type AND u.id = r.id AND u.deleted_at IS NULL)"""
+
+
+def bulk_requests(m):
+    key = F.col("o_orderkey")
+    return m.raw("orders").select(key.alias("id"), F.when(key % 2 == 0, "media_item").otherwise("source_asset").alias("type"))
+
+
+@query("f18_bulk_counts", f"""
+WITH {UNIFIED}, {REQUESTS} SELECT count(*) FILTER (WHERE o = 'done') AS done, count(*) FILTER (WHERE o <> 'done') AS skipped, count(*) FILTER (WHERE o = 'missing') AS missing,
+  count(*) FILTER (WHERE o = 'elsewhere') AS elsewhere, count(*) FILTER (WHERE o = 'not_owner') AS not_owner
+FROM (SELECT CASE WHEN id IS NULL THEN 'missing' WHEN workspace_id IS DISTINCT FROM 5 THEN 'elsewhere' WHEN user_id IS DISTINCT FROM 5 THEN 'not_owner' ELSE 'done' END AS o FROM found)
+""")
+def f18_counts(m):
+    return g.bulk_counts(g.bulk_outcome(bulk_requests(m), base(m), 5, 5, is_admin=False))
+
+
+@query("s18_chosen_downloads", f"""
+WITH {UNIFIED}, {REQUESTS},
+allowed AS (SELECT id FROM workspaces WHERE scope = 'public' OR owner_id = 7 UNION SELECT workspace_id FROM workspace_members WHERE user_id = 7)
+SELECT item_type, id, gcs_uris[1] AS gcs_uri, CASE WHEN item_type = 'media_item'
+  THEN 'media_' || id || '.' || CASE mime_type WHEN 'image/jpeg' THEN 'jpg' WHEN 'image/png' THEN 'png' WHEN 'video/mp4' THEN 'mp4'
+    WHEN 'audio/mpeg' THEN 'mp3' WHEN 'application/pdf' THEN 'pdf' ELSE 'bin' END
+  ELSE 'asset_' || id || '.' || CASE WHEN gcs_uris[1] LIKE '%.%' THEN string_split(gcs_uris[1], '.')[-1] ELSE 'bin' END END AS filename
+FROM found WHERE id IS NOT NULL AND workspace_id IN (SELECT id FROM allowed) AND coalesce(gcs_uris[1], '') <> ''
+""")
+def s18_chosen(m):
+    return g.chosen_downloads(bulk_requests(m), base(m), m.workspaces, m.workspace_members, 7, is_admin=False)
+
+
 @query("f19_try_on_buckets", """
 SELECT id, CASE asset_type WHEN 'vto_top' THEN 'tops' WHEN 'vto_bottom' THEN 'bottoms' WHEN 'vto_dress' THEN 'dresses'
   WHEN 'vto_shoe' THEN 'shoes' WHEN 'vto_person_male' THEN 'male_models' ELSE 'female_models' END AS bucket

@@ -69,7 +69,7 @@ def j13(m):
 
 
 RUN_MEDIA = """vals AS (SELECT run_id, value FROM step_outputs
-    UNION SELECT i.run_id, CASE WHEN ref_step IS NULL THEN literal ELSE NULL END FROM step_inputs i WHERE ref_step IS NULL
+    UNION SELECT i.run_id, literal FROM step_inputs i WHERE ref_step IS NULL AND entry_pos % 2 = 0
     UNION SELECT i.run_id, o.value FROM step_inputs i JOIN (SELECT * FROM step_outputs WHERE (run_id, step_id, entry_pos) IN
         (SELECT (run_id, step_id, max(entry_pos)) FROM step_outputs GROUP BY run_id, step_id)) o
       ON o.run_id = i.run_id AND o.step_id = i.ref_step AND o.output = i.ref_output),
@@ -83,9 +83,13 @@ FROM flat WHERE regexp_extract(value, '([0-9]+)', 1) <> '0'
 """)
 def j17(m):
     ref = F.to_json(F.struct(F.col("ref_step").alias("step"), F.col("ref_output").alias("output")))
-    inputs = m.step_inputs.select("run_id", F.when(F.col("ref_step").isNotNull(), ref).otherwise(F.col("literal")).alias("value"))
+    # A literal of every other entry is a number field: a seed, no media id.
+    kind = F.when(F.col("ref_step").isNotNull() | (F.col("entry_pos") % 2 == 0), "image").otherwise("number")
+    value = F.when(F.col("ref_step").isNotNull(), ref).otherwise(F.col("literal"))
+    inputs = m.step_inputs.select("run_id", kind.alias("field_type"), value.alias("value"))
     outputs = m.step_outputs
-    return ln.media_of_runs(inputs.unionByName(outputs.select("run_id", "value")), outputs)
+    shown = outputs.select("run_id", F.col("output").alias("field_type"), "value")
+    return ln.media_of_runs(inputs.unionByName(shown), outputs)
 
 
 @query("w8_clip_gaps", """

@@ -11,7 +11,7 @@ from loometry.plans.registry import query
 from loometry.session import cut_lineage, shared_dir
 from loometry.sources import sheets as sh
 from loometry.sources.tables import read_table, write_table
-from loometry.sources.warehouse import Warehouse, column_summary
+from loometry.sources.warehouse import Warehouse, column_summary, sample_rows
 
 
 def messy_sheet(m, name="customers.csv") -> str:
@@ -174,6 +174,13 @@ def s9(m):
     return column_summary(house.spark.table(TABLE), TABLE)
 
 
+@query("s9_sample_rows", """
+SELECT 'regions' AS table, '{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}' AS sample FROM region ORDER BY r_regionkey LIMIT 3
+""")
+def s9_sample(m):
+    return sample_rows(m.raw("region").select("r_regionkey", "r_name"), "regions", 3)
+
+
 @query("s10_run_sql", f"""
 WITH {SHEET} SELECT c6 AS note, count(*) AS n, round(avg(c2::DOUBLE), 4) AS mean FROM sheet WHERE c_custkey % 41 <> 0 GROUP BY 1
 """)

@@ -175,8 +175,14 @@ def a17(m):
     )
 
 
-passthrough(
-    "q18_table_sample",
-    "SELECT (SELECT count(*) FROM lineitem TABLESAMPLE (50 PERCENT) REPEATABLE (7)) BETWEEN 0.4 * count(*) AND 0.6 * count(*) AS about_half FROM lineitem",
-    "SELECT count(*) > 0 AS about_half FROM lineitem",
-)
+# A sample holds rows of the table, each at most once, about as many as asked for, the
+# same ones when repeated and others under another seed.
+passthrough("q18_table_sample", """
+WITH a AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem TABLESAMPLE (50 PERCENT) REPEATABLE (7)),
+b AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem TABLESAMPLE (50 PERCENT) REPEATABLE (7)),
+c AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem TABLESAMPLE (50 PERCENT) REPEATABLE (8)),
+t AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey FROM lineitem)
+SELECT (SELECT count(*) FROM t) AS n, (SELECT count(*) FROM a) BETWEEN 0.45 * (SELECT count(*) FROM t) AND 0.55 * (SELECT count(*) FROM t) AS about_half,
+  (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM t)) AS invented, (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS changed,
+  (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM c)) > 0 AS other_seed
+""", "SELECT count(*) AS n, true AS about_half, 0::BIGINT AS invented, 0::BIGINT AS changed, true AS other_seed FROM lineitem")

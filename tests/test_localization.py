@@ -104,11 +104,38 @@ def test_export(spark, tmp_path):
         (1, 0, "A", "F", "one", "een", None), (1, 1, "", "F", "two", "", None), (1, 2, "", "F", "three", "drie", None),
         (1, 3, "A", "F", "four", "", None), (2, 0, "A", "F", "other", None, None),
     ]
-    loc.write_export(grid, str(tmp_path / "out"))
-    back = spark.read.option("header", True).csv(str(tmp_path / "out" / "briefing_id=1"))
-    assert back.columns == ["block", "label", "EN", "NL", "FR"] and back.count() == 4
-    head = loc.export_head(spark.createDataFrame([(1, "N", "e", None, None, "d", "")], "briefing_id long, name string, email string, requestor string, date_email string, due string, notes string"))
+    meta = spark.createDataFrame(
+        [(1, "N", "e", None, None, "d", ""), (3, None, None, None, None, None, None)],
+        "briefing_id long, name string, email string, requestor string, date_email string, due string, notes string",
+    )
+    head = loc.export_head(meta).filter("briefing_id = 1")
     assert [(r["label"], r["value"]) for r in head.orderBy("line").collect()] == [("N", ""), ("Email", "e"), ("Due", "d")]
+    sheet = loc.export_sheet(meta, seg.filter("briefing_id = 1"), tr, rows=1)
+    want = [
+        (1, ["", "", "EN", "NL"]), (1, ["N"]), (1, ["Email", "", "e"]), (1, ["Due", "", "d"]), (1, []), (1, ["A", "F", "one", "een"]),
+        (1, ["", "F", "two", ""]), (1, ["", "F", "three", "drie"]), (1, ["A", "F", "four", ""]), (3, ["", "", "EN"]), (3, [None]), (3, []),
+    ]
+    assert [(r.briefing_id, r.cells) for r in sheet.orderBy("briefing_id", "part", "line").collect()] == want
+    loc.write_export(sheet, str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.columns[:6] == ["briefing_id", "part", "line", "c0", "c1", "c2"] and back.count() == len(want)
+
+
+def test_rare_grams_find_what_contains_does(spark):
+    import random
+    import time
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcé\U0001f642", k=rng.randint(1, 12))) for _ in range(400)] + ["\n \t", " "]
+    anchors = [rng.choice(words)[rng.randint(0, 3):][: rng.randint(1, 6)] or "a" for _ in range(80)] + ["zzz", "zz", "\n ", "*.", "abc"]
+    long = "ab" * 500_000 + "needle" + "ba" * 100
+    vocabulary = spark.createDataFrame([(w,) for w in {*words, long}], "word string")
+    listed = spark.createDataFrame([(a,) for a in {*anchors, "needle"}], "anchor string")
+    start = time.monotonic()
+    got = {(r.word, r.anchor) for r in loc._containing(vocabulary, listed).collect()}
+    assert got == {(w, a) for w in {*words, long} for a in {*anchors, "needle"} if a in w}
+    assert time.monotonic() - start < 60
+    assert loc._containing(vocabulary, listed.limit(0)).count() == 0
 
 
 def test_content_hash(spark):

@@ -39,7 +39,9 @@ def test_media_of_runs_follows_everything(spark):
         (1, '{"sourceMediaItem": {"mediaItemId": 5}}'), (1, '{"source_asset_id": 6}'), (1, '["7", "text"]'), (1, '"4"'),
         (1, "0"), (1, None), (1, "true"), (1, '{"step": "none", "output": "x"}'), (2, "1"), (2, "not json"),
     ], "run_id long, value string")
-    got = {(r["run_id"], r["kind"], r["id"]) for r in ln.media_of_runs(values, outputs).collect()}
+    values = values.withColumn("field_type", F.lit("video"))
+    seeds = spark.createDataFrame([(2, "77", "number"), (2, "78", "text"), (2, "79", None)], "run_id long, value string, field_type string")
+    got = {(r["run_id"], r["kind"], r["id"]) for r in ln.media_of_runs(values.unionByName(seeds), outputs).collect()}
     assert got == {
         (1, "media", "1"), (1, "media", "2"), (1, "asset", "3"), (1, "media", "9"), (1, "media", "5"), (1, "asset", "6"), (2, "media", "1"),
     }
