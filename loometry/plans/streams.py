@@ -5,31 +5,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loometry import fixed
-from loometry.plans.bindings import assets_of
+from loometry.plans.bindings import MIME_BY_PRIORITY, _choose, assets_of
 from loometry.plans.registry import query
 from loometry.session import shared_dir
 from loometry.streaming import streams as st
 
 
-def media_stream(m):
-    key = F.col("o_orderkey")
-    digit = F.substring("o_orderpriority", 1, 1)
-    mime = F.when(digit.isin("1", "2"), "image/png").when(digit == "3", "video/mp4").when(digit == "4", "audio/wav")
-    return m.stream("orders").select(
-        F.col("o_orderdate").alias("created_at"), mime.otherwise("application/pdf").alias("mime_type"),
-        F.transform(F.sequence(F.lit(0), (key % 3).cast("int")), lambda i: i.cast("string")).alias("gcs_uris"),
-        F.when(key % 17 == 0, F.col("o_orderdate")).alias("deleted_at"),
-    )
-
-
 @query("st3_media_per_day", """
-WITH media AS (SELECT o_orderdate::DATE AS d, o_orderkey % 3 + 1 AS n, left(o_orderpriority, 1) AS p, o_orderkey FROM orders)
-SELECT strftime(d, '%Y-%m-%d') AS date, sum(n)::BIGINT AS total_generated, coalesce(sum(n) FILTER (WHERE p IN ('1', '2')), 0)::BIGINT AS images,
-  coalesce(sum(n) FILTER (WHERE p = '3'), 0)::BIGINT AS videos, coalesce(sum(n) FILTER (WHERE p = '4'), 0)::BIGINT AS audios
-FROM media WHERE o_orderkey % 17 <> 0 AND d + INTERVAL 1 DAY <= (SELECT max(d) FROM media WHERE o_orderkey % 17 <> 0) - INTERVAL 2 DAY GROUP BY 1
+WITH pairs AS (SELECT o_orderdate::DATE AS d, left(o_orderpriority, 1) AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+  AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 90 DAY WHERE o_orderkey % 17 <> 0),
+mark AS (SELECT least((SELECT max(o_orderdate) FROM orders WHERE o_orderkey % 17 <> 0), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 2 DAY - INTERVAL 90 DAY AS w)
+SELECT strftime(d, '%Y-%m-%d') AS date, count(*) AS total_generated, count(*) FILTER (WHERE p IN ('1', '2')) AS images,
+  count(*) FILTER (WHERE p = '3') AS videos, count(*) FILTER (WHERE p = '4') AS audios
+FROM pairs, mark WHERE d + INTERVAL 1 DAY < w GROUP BY 1
 """)
 def st3(m):
-    out = st.run_to_table(st.media_per_day(media_stream(m), "2 days"), shared_dir(m.spark, "st3"))
+    key, digit = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    items = m.stream("orders").select(
+        key.alias("id"), F.col("o_orderdate").alias("created_at"), _choose(digit, MIME_BY_PRIORITY, "application/pdf").alias("mime_type"),
+        F.when(key % 17 == 0, F.col("o_orderdate")).alias("deleted_at"),
+    )
+    files = m.stream("lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_shipdate").alias("made_at"))
+    out = st.run_to_table(st.files_per_day(items, files, "2 days", "90 days"), shared_dir(m.spark, "st3"))
     return out.withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loometry import fixed
-from loometry.functions.media import class_sums, count_of
+from loometry.functions.media import MEDIA_CLASSES, class_sums, count_of
 from loometry.functions.text import progress_text
 from loometry.operators.scans import one_row
 from loometry.sources.tables import read_table
@@ -29,6 +29,26 @@ def media_per_day(media: DataFrame, delay: str) -> DataFrame:
     )
 
 
+def files_per_day(items: DataFrame, files: DataFrame, delay: str, within: str) -> DataFrame:
+    """Files per day of their item and class, from a stream of items (id, mime_type,
+    created_at, deleted_at) and one of their files (item_id, made_at).
+
+    A file belongs to an item if it was made no earlier, and at most ``within`` later;
+    so both sides wait for each other for a bounded time. A day is final once the
+    watermarks (the smaller of the two, less ``within``) have passed it; files and items
+    older than the watermark are dropped. Files of deleted items do not count.
+    """
+    left = items.filter(F.col("deleted_at").isNull()).select("id", "mime_type", "created_at").withWatermark("created_at", delay)
+    right = files.select("item_id", "made_at").withWatermark("made_at", delay)
+    pairs = left.join(right, F.expr(f"id = item_id AND made_at >= created_at AND made_at <= created_at + INTERVAL {within}"))
+    one = lambda prefix: F.count_if(F.col("mime_type").startswith(prefix))
+    return (
+        pairs.groupBy(F.window("created_at", "1 day"))
+        .agg(F.count(F.lit(1)).alias("total_generated"), *[one(prefix).alias(name) for name, prefix in MEDIA_CLASSES.items()])
+        .select(F.to_date("window.start").alias("date"), "total_generated", *MEDIA_CLASSES)
+    )
+
+
 def stuck_jobs(statuses: DataFrame, delay: str) -> DataFrame:
     """Jobs (job_id, ts, status) that were processing and heard nothing for an
     hour. A session closes after an hour of silence; the job is stuck when its
