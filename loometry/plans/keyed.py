@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loometry.operators import changes as ch
+from loometry.operators import summaries
 from loometry.operators.ranges import interval_join
 from loometry.plans.registry import ORACLE, query
 from loometry.plans.streams import progress_stream
 from loometry.plans.upkeep import keys, now, stamp
-from loometry.session import shared_dir
+from loometry.session import cut_lineage, shared_dir
 from loometry.sources.keyed import KeyedTable
 from loometry.streaming.streams import run_batches
 
@@ -77,3 +78,45 @@ def q3(m):
     )
     pairs = interval_join(around, events.drop("event_type"), low="low", high="high", at="at").filter("event_id <> purchase")
     return pairs.groupBy(F.col("purchase").alias("event_id")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
+
+
+_K = "SELECT o_orderkey FROM orders WHERE o_custkey % {0} = 0"
+
+
+@query("a2_maintained_per_day", f"""
+SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS items, sum(coalesce(num_media, 0))::BIGINT AS total_generated,
+  coalesce(sum(num_media) FILTER (WHERE mime_type LIKE 'image/%'), 0)::BIGINT AS images, coalesce(sum(num_media) FILTER (WHERE mime_type LIKE 'video/%'), 0)::BIGINT AS videos,
+  coalesce(sum(num_media) FILTER (WHERE mime_type LIKE 'audio/%'), 0)::BIGINT AS audios
+FROM media_items WHERE CASE WHEN id IN ({_K.format(7)}) THEN false WHEN id IN ({_K.format(10)}) THEN true WHEN id IN ({_K.format(5)}) THEN false ELSE deleted_at IS NULL END GROUP BY 1
+""")
+def a2(m):
+    rows = m.media_items.select("id", "mime_type", "num_media", "created_at", "deleted_at", "deleted_by")
+    media = KeyedTable.create(rows, shared_dir(m.spark, "media"), ["id"])
+    report = summaries.DailyMedia.create(rows, shared_dir(m.spark, "report"))
+    report.change(media, keys(m, 5), lambda: media.soft_delete(keys(m, 5), now(), by=42))
+    report.change(media, keys(m, 10), lambda: media.restore(keys(m, 10)))
+    report.change(media, keys(m, 7), lambda: media.hard_delete(keys(m, 7)))
+    return report.read().withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+
+
+@query("a6_sketched_active_users", """
+SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS items, count(DISTINCT user_email) AS users, true AS users_near, true AS median_near
+FROM media_items WHERE deleted_at IS NULL GROUP BY 1
+""")
+def a6(m):
+    """Months from stored sketches of their days, beside the exact numbers: the estimates
+    must lie within four standard errors, and the median's rank within its bound."""
+    stored = cut_lineage(summaries.day_sketches(m.media_items), "sketches")
+    month = F.date_format("date", "yyyy-MM").alias("month")
+    merged = summaries.distinct_users(summaries.merged_sketches(stored, [month]), "estimate").withColumn("median", summaries.measure_quantile(0.5))
+    live = m.media_items.filter("deleted_at IS NULL").select(F.date_format("created_at", "yyyy-MM").alias("month"), "user_email", F.col("generation_time").alias("g"))
+    exact = live.join(merged.select("month", "median"), "month").groupBy("month").agg(
+        F.countDistinct("user_email").alias("exact"), F.avg((F.col("g") < F.col("median")).cast("double")).alias("below"),
+        F.avg((F.col("g") <= F.col("median")).cast("double")).alias("upto"), F.count("g").alias("n"),
+    )
+    slack = 2 * summaries.KLL_ERROR + 1 / F.col("n")
+    return merged.join(exact, "month").select(
+        "month", "items", F.col("exact").alias("users"),
+        (F.abs(F.col("estimate") - F.col("exact")) <= 4 * summaries.HLL_ERROR * F.col("exact") + 1).alias("users_near"),
+        ((F.col("below") <= 0.5 + slack) & (F.col("upto") >= 0.5 - slack)).alias("median_near"),
+    )

@@ -118,17 +118,20 @@ class KeyedTable:
 
     # ------------------------------------------------------------ changes
 
-    def write(self, rows: DataFrame, deleted: bool = False, version: int | None = None) -> int:
-        """Store whole rows (or, ``deleted``, the keys of rows that go) as the next change.
-        A given ``version`` is written again if it is there: for one writer who may repeat."""
+    def version(self) -> int:
+        """The newest finished change."""
+        return max(*_versions(self.spark, f"{self.path}/changes"), 0, *_versions(self.spark, f"{self.path}/base"))
+
+    def write(self, rows: DataFrame, deleted: bool | Column = False, version: int | None = None) -> int:
+        """Store whole rows as the next change; of those for which ``deleted`` holds, the
+        keys alone count, and their rows go. A given ``version`` is written again if it is there: for one writer who may repeat."""
         marked = rows.select(
             *[F.col(c) if c in rows.columns else F.lit(None).cast(self.schema[c].dataType).alias(c) for c in self.columns],
-            F.lit(deleted).alias(_DELETED), self._bucket_of().alias(_BUCKET),
+            (deleted if isinstance(deleted, Column) else F.lit(deleted)).alias(_DELETED), self._bucket_of().alias(_BUCKET),
         )
         release = None
         if version is None:
-            done = [*_versions(self.spark, f"{self.path}/changes"), *_versions(self.spark, f"{self.path}/base")]
-            version = max(done) + 1
+            version = self.version() + 1
             release = _claim(self.spark, f"{self.path}/changes", version)
         try:
             placed = marked.withColumn(_VERSION, F.lit(version).cast("long")).repartition(self.buckets, *self.keys)
