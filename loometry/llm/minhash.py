@@ -261,19 +261,24 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
         .select(F.struct("rep", "d1").alias("node"), "n", "d1", "d2", "sig"), "nodes",
     )
     banded = nodes.select("node", F.explode(band_keys("sig", bands)).alias("bucket"))
-    # Centres by a hash, so that a bucket's centre is no particular document.
-    order = F.struct(F.xxhash64("node").alias("h"), F.col("node"))
-    centres = banded.groupBy("bucket").agg(F.min(order)["node"].alias("centre"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    members = cut_lineage(banded.join(centres, "bucket"), "buckets")
+    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = cut_lineage(banded.join(sizes, "bucket"), "shared")
+    # A bucket's centre is its member that meets the most others over all of its buckets:
+    # of a family of edited copies that is one with few edits, which most are like.
+    meets = shared.groupBy("node").agg(F.sum("k").alias("meets"))
+    order = F.struct("meets", F.xxhash64("node").alias("h"), "node")
+    centres = shared.select("node", "bucket").join(meets, "node").groupBy("bucket").agg(F.max(order).alias("c"))
+    centres = centres.select("bucket", F.col("c.node").alias("centre"), F.col("c.meets").alias("meets"), F.col("c.h").alias("h"))
+    members = cut_lineage(shared.select("node", "bucket").join(centres, "bucket"), "buckets")
 
     # The text of one document of each node that shares a bucket moves once.
     texts = cut_lineage(node_texts(documents, members.select("node").distinct(), shingle), "texts")
 
-    # Every node meets one centre first, that of the least hash: most of a family meets
-    # the same one. What is then in another component than a centre meets that one too.
+    # Every node meets one centre first, the one that meets the most: most of a family
+    # meets the same one. What is then in another component than a centre meets that one too.
     signed = nodes.select("node", "sig", "n")
     longs, cut = bands * ROWS // 8, percent / 100 - SLACK
-    one = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("centre").alias("h"), F.col("centre")))["centre"].alias("b"))
+    one = members.groupBy("node").agg(F.max(F.struct("meets", "h", "centre"))["centre"].alias("b"))
     pairs = one.filter("node != b").select(F.col("node").alias("a"), "b")
     links = cut_lineage(confirmed(texts, cut_lineage(_plausible(pairs, signed, longs, cut, percent), "pairs"), percent, shingle), "links")
     labels = components(links)
@@ -286,7 +291,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
 
     # What is left: pairs of a bucket in two components. They are looked at with the
     # finer signature, and those that may be alike on their full sets.
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("centre")
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("centre", "meets", "h")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("main")).filter("low != high")
     open_rows = cut_lineage(labelled.join(mixed.select("bucket", "main"), "bucket"), "mixed")
     fine = cut_lineage(fine_estimates(texts.join(open_rows.select("node").distinct(), "node", "left_semi"), shingle), "fine")
