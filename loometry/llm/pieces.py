@@ -183,7 +183,7 @@ _LOADED: dict[str, Pieces] = {}
 
 
 def loaded(model_file: str) -> Pieces:
-    """The vocabulary, once per worker process."""
+    """The vocabulary, once per task."""
     if model_file not in _LOADED:
         _LOADED[model_file] = Pieces(model_file)
     return _LOADED[model_file]
@@ -218,8 +218,6 @@ def encode(documents: DataFrame, model_file: str, *, text: str = "text") -> Data
 
     def run(batches):
         pieces = loaded(model_file)
-        # The words of one task: workers are used again for other things.
-        pieces.memo.forget()
         for batch in batches:
             for lo, hi, raw, borders in text_slices(batch.column(0).field(place)):
                 ids, counts = pieces.encode(*marked(raw, borders))
@@ -232,7 +230,9 @@ def encode(documents: DataFrame, model_file: str, *, text: str = "text") -> Data
                 ]
                 cell = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), cell, pa.array(same, pa.bool_())], ["row", "ids", "same"])
-        pieces.memo.forget()
+        # The worker goes on to other things: vocabulary and pairs go too.
+        del pieces
+        _LOADED.clear()
 
     out = packed.mapInArrow(tidy(run), f"row {packed.schema['row'].dataType.simpleString()}, ids array<int>, same boolean")
     return out.select(*[F.col("row")[c].alias(c) for c in columns], F.col("ids").alias("_ids"), F.col("same").alias("_same"))
