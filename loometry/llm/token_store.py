@@ -2,8 +2,8 @@
 
 Layout of a store, all Parquet, written by Spark's own committers:
 
-``payload``  one row per block: ``shard``, ``block``, ``first`` (ids of all documents
-             before it), ``ids`` (raw little-endian numbers of ``width`` bytes, whole
+``payload``  one row per block: ``shard``, ``block``, numbers of documents and ids,
+             ``ids`` (raw little-endian numbers of ``width`` bytes, whole
              documents end to end, each closed by id 0) and ``frames`` (key, null flag
              and length of each document). Shards, blocks and documents ascend by key.
 ``index``    one row per bucket of keys: a minimal perfect hash, and for each of its
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from loometry.llm.arrays import U64, mix, text_slices
 from loometry.llm.memo import WordIds
+from loometry.session import cut_lineage
 
 #: Ids of a block, about; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
@@ -182,7 +183,7 @@ def write(documents: DataFrame, tokenizer_file: str, path: str, *, key: str = "d
     _write_index(spark, path)
 
 
-def _places(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def _places(spark: SparkSession, path: str) -> DataFrame:
     """Blocks with ``first``, the number of ids before them. Sums over shards, then blocks."""
     blocks = spark.read.schema(_PAYLOAD).parquet(f"{path}/payload")
     within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -190,30 +191,22 @@ def _places(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("all")).select("shard", F.coalesce(F.sum("all").over(over), F.lit(0)).alias("base"))
     small = blocks.select("shard", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inner"))
     firsts = small.join(shards, "shard").select("shard", "block", (F.col("inner") + F.col("base")).alias("first"))
-    return blocks.select("shard", "block", *columns).join(firsts, ["shard", "block"])
+    return firsts
 
 
-def _entries(spark: SparkSession, path: str, with_crc: bool) -> DataFrame:
-    """One row per stored document: ``key, shard, block, offset, n_ids`` (and ``crc``)."""
-    columns = ["shard", "block", "frames"] + ["width", "ids"] * with_crc
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    """One row per stored document, read from the frames: ``key, shard, block, offset, n_ids``."""
 
     def unpack(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 keys, nulls, lengths = _read_frames(row["frames"])
-                ends = np.cumsum(lengths)
                 cells = [pa.array(np.full(len(keys), row["shard"], np.int32)), pa.array(np.full(len(keys), row["block"], np.int32)),
-                         pa.array(keys, mask=nulls), pa.array(ends - lengths), pa.array(lengths)]
-                if with_crc:
-                    wide = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").tobytes()
-                    bounds = (4 * np.concatenate([[0], ends])).tolist()
-                    cells.append(pa.array([zlib.crc32(memoryview(wide)[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.int64()))
-                names = ["shard", "block", "key", "offset", "n_ids", "crc"]
-                yield pa.RecordBatch.from_arrays(cells, names[: len(cells)])
+                         pa.array(keys, mask=nulls), pa.array(np.cumsum(lengths) - lengths), pa.array(lengths)]
+                yield pa.RecordBatch.from_arrays(cells, ["shard", "block", "key", "offset", "n_ids"])
 
-    schema = "shard int, block int, key long, offset long, n_ids long" + ", crc long" * with_crc
-    blocks = spark.read.schema(_PAYLOAD).parquet(f"{path}/payload").select(*columns)
-    return blocks.mapInArrow(unpack, schema)
+    blocks = spark.read.schema(_PAYLOAD).parquet(f"{path}/payload").select("shard", "block", "frames")
+    return blocks.mapInArrow(unpack, "shard int, block int, key long, offset long, n_ids long")
 
 
 _INDEX = "bucket long, buckets long, sizes binary, bits binary, fingerprints binary, shards binary, blocks binary, offsets binary, lengths binary, copies binary"
@@ -222,7 +215,7 @@ _INDEX = "bucket long, buckets long, sizes binary, bits binary, fingerprints bin
 def _write_index(spark: SparkSession, path: str) -> None:
     total = spark.read.schema(_PAYLOAD).parquet(f"{path}/payload").agg(F.sum("n_docs")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_KEYS))
-    first = _entries(spark, path, False).groupBy("key").agg(
+    first = _entries(spark, path).groupBy("key").agg(
         F.min(F.struct("shard", "block", "offset", "n_ids")).alias("at"), F.count(F.lit(1)).alias("copies")
     )
 
@@ -297,30 +290,58 @@ def locate(keys: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
     )
 
 
-def fetch(keys: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
-    """``key, ids``: the stored ids, end id included, of the first document of each key."""
-    spark = keys.sparkSession
-    blocks = spark.read.schema(_PAYLOAD).parquet(f"{path}/payload").select("shard", "block", "width", "ids")
-    found = locate(keys, path, key=key).join(blocks, ["shard", "block"]).select("key", "offset", "n_ids", "width", "ids")
+def _cut(places: DataFrame, path: str, name: str, kind: pa.DataType, value) -> DataFrame:
+    """``value`` of the stored ids at each place (``key, shard, block, offset, n_ids``).
 
-    def cut(batches):
-        for batch in batches:
-            cells = [np.frombuffer(r["ids"], f"<u{r['width']}", r["n_ids"], r["offset"] * r["width"]).astype(np.int64) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells, pa.list_(pa.int64()))], ["key", "ids"])
+    Places meet their block once, block by block: a task holds one block and the
+    places inside it, which are no more than the block has ids. A place that reaches
+    beyond its block is an error.
+    """
+    blocks = places.sparkSession.read.schema(_PAYLOAD).parquet(f"{path}/payload").select("shard", "block", "n_ids", "width", "ids")
+    names = ["key", "shard", "block", "offset", "n_ids"]
+
+    def inside(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(names)
+        if left.num_rows and not right.num_rows:
+            raise ValueError("the index names a block that is not stored")
+        found = []
+        if left.num_rows:
+            block = right.slice(0, 1).to_pylist()[0]
+            ids = np.frombuffer(block["ids"], f"<u{block['width']}", block["n_ids"])
+            for at, n in zip(left["offset"].to_numpy().tolist(), left["n_ids"].to_numpy().tolist(), strict=True):
+                if at < 0 or at + n > len(ids):
+                    raise ValueError("the index reaches beyond its block")
+                found.append(value(ids[at : at + n]))
+        return left.append_column(name, pa.array(found, kind))
+
+    shown = {pa.int64(): "long"}.get(kind, "array<long>")
+    met = places.select(*names).groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block"))
+    return met.applyInArrow(inside, f"key long, shard int, block int, offset long, n_ids long, {name} {shown}")
 
-    return found.mapInArrow(cut, "key long, ids array<long>")
+
+def fetch(keys: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
+    """``key, ids``: the stored ids, end id included, of the first document of each key."""
+    ids = _cut(locate(keys, path, key=key), path, "ids", pa.list_(pa.int64()), lambda found: found.astype(np.int64))
+    return ids.select("key", "ids")
 
 
 def digests(keys: DataFrame, path: str, *, key: str = "doc_id") -> DataFrame:
-    """Per stored document of the keys, read from the files by way of the index:
-    ``key, start, n_tokens, ids_crc32``."""
+    """Per stored document of the keys: ``key, start, n_tokens, ids_crc32``.
+
+    Shard, block, offset and length come from the index, and the ids that stand there
+    are digested. Of a key with several documents the index knows the first place and
+    their number; the further ones are those that the frames name after it.
+    """
     spark = keys.sparkSession
-    stored = _entries(spark, path, True).alias("s")
-    at = locate(keys, path, key=key).alias("l")
-    # A key's documents stand together from the place on that the index gives.
-    here = F.struct("s.shard", "s.block", "s.offset") >= F.struct("l.shard", "l.block", "l.offset")
-    both = stored.join(at, F.col("s.key").eqNullSafe(F.col("l.key")) & here)
-    firsts = _places(spark, path, [])
-    return both.select("s.*").join(firsts, ["shard", "block"]).select(
-        "key", (F.col("first") + F.col("offset")).alias("start"), F.col("n_ids").alias("n_tokens"), F.col("crc").alias("ids_crc32")
+    first = cut_lineage(locate(keys, path, key=key), "located")
+    place = ["key", "shard", "block", "offset", "n_ids"]
+    repeated = first.filter("copies > 1").select(*[F.col(c).alias(f"l_{c}") for c in place])
+    later = F.struct("shard", "block", "offset") > F.struct("l_shard", "l_block", "l_offset")
+    more = _entries(spark, path).join(repeated, F.col("key").eqNullSafe(F.col("l_key")) & later)
+    found = _cut(
+        first.select(*place).unionByName(more.select(*place)), path, "ids_crc32", pa.int64(),
+        lambda ids: zlib.crc32(ids.astype("<u4").tobytes()),
+    )
+    return found.join(_places(spark, path), ["shard", "block"]).select(
+        "key", (F.col("first") + F.col("offset")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32"
     )

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -71,3 +72,29 @@ def test_perfect_hash_is_minimal():
     hashed = PerfectHash.build(hashes)
     assert sorted(hashed.slots(hashes).tolist()) == list(range(50000))
     assert hashed.sizes.sum() < 50000 * 4
+
+
+def test_the_answer_follows_the_index(spark, tokenizer):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(50)] + [(7, f"again {i}") for i in range(30)], "doc_id long, text string")
+    path = shared_dir(spark, "tokens")
+    write(docs, FILE, path)
+    right = {(r.key, r.start): (r.n_tokens, r.ids_crc32) for r in digests(docs, path).collect()}
+    assert len(right) == 80 and sum(k == 7 for k, _ in right) == 31
+    assert [r.start for r in digests(docs.filter("doc_id = 7"), path).orderBy("start").collect()] == sorted(s for k, s in right if k == 7)
+
+    def moved(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                row["lengths"] = (np.frombuffer(row["lengths"], "<u4") - 1).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+    wrong = shared_dir(spark, "tokens")
+    spark.read.parquet(f"{path}/payload").write.parquet(f"{wrong}/payload")
+    index = spark.read.parquet(f"{path}/index")
+    index.mapInArrow(moved, index.schema).write.parquet(f"{wrong}/index")
+    told = {r.key: (r.n_tokens, r.ids_crc32) for r in digests(docs.filter("doc_id <> 7"), wrong).collect()}
+    assert len(told) == 49
+    for (k, _), (n, crc) in right.items():
+        if k != 7:
+            assert told[k][0] == n - 1 and told[k][1] != crc
