@@ -240,3 +240,17 @@ def s15(m):
     named = rows.select("row_idx", *[F.col(c).alias(head[c]) for c in sh.cell_names(raw)])
     args = batch_rows(named, ["prompt", "aspect_ratio"], 7)
     return args.select("row_index", *[F.col("args")[k].alias(k) for k in ("workspace_id", "prompt", "aspect_ratio")])
+
+
+@query("s1_read_multiline_csv", """
+SELECT doc_id::VARCHAR AS c0, replace(replace(text, ' and ', E'\\n'), ' the ', E' "\\n\\n", ') AS c1, source AS c2 FROM documents
+""")
+def s1_multiline(m):
+    """Documents as a sheet whose cells hold line breaks, quotes and commas."""
+    broken = F.replace(F.replace(F.col("text"), F.lit(" and "), F.lit("\n")), F.lit(" the "), F.lit(' "\n\n", '))
+    cell = F.concat(F.lit('"'), F.replace(broken, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), cell, "source")
+    path = f"{shared_dir(m.spark, 'upload')}/notes.csv"
+    m.raw("documents").select(line.alias("value")).write.text(path)
+    raw = sh.read_sheet_csv(m.spark, path, multiline=True)
+    return raw.select(*[F.col(f"_c{i}").alias(f"c{i}") for i in range(3)])

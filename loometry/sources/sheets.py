@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from loometry import fixed
 from loometry.functions.text import is_missing_cell, parse_number, parse_whole, slug
 from loometry.operators.scans import scan
+from loometry.sources.records import POSITION, read_records
 
-POSITION = ["_file", "_block", "_seq"]
 #: Lines read for the head of a sheet, more only where cells span lines; and characters of a line.
 HEAD_LINES = (64, 4096)
 LINE_CHARACTERS = 1 << 20
@@ -62,22 +62,22 @@ def read_sheet_csv(spark: SparkSession, path: str, *, multiline: bool = False) -
     The width is that of the widest of the first rows: the first row alone would
     let a one-cell title line make every real row too long.
 
-    ``multiline`` allows line breaks inside quoted cells. Such a file cannot be
-    split, so use it for files of an upload's size.
+    ``multiline`` allows line breaks inside quoted cells (see ``read_records``); the
+    lines are then written once to the shared folder, still read in many tasks.
     """
     width = max((len(r) for r in _head_records(spark, path)), default=1)
     # One column more than the sheet has catches the rows that are too long.
     names = [f"_c{i}" for i in range(width + 1)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE").option("header", "false").option("escape", '"')
-        .option("multiLine", str(multiline).lower()).csv(path)
-    )
-    placed = raw.select(
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"), *names,
-    )
+    options = {"mode": "PERMISSIVE", "header": "false", "escape": '"'}
+    if multiline:
+        record = F.from_csv("value", ", ".join(f"{n} string" for n in names), options)
+        placed = read_records(spark, path).select(*POSITION, record.alias("_record")).select(*POSITION, "_record.*")
+    else:
+        placed = spark.read.schema(schema).options(**options).csv(path).select(
+            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_seq"), *names,
+        )
     cells = [F.when(~is_missing_cell(F.col(n)), F.col(n)).alias(n) for n in names[:-1]]
     return placed.filter(F.col(names[-1]).isNull()).select(*POSITION, *cells)
 
