@@ -10,6 +10,8 @@ from loometry.operators import gallery as g
 from loometry.operators.paging import deep_page_rows, page_rows
 from loometry.operators.lineage import enrich_asset_links, parent_links
 from loometry.plans.registry import query
+from loometry.session import shared_dir
+from loometry.sources.search import TextIndex
 
 
 def base(m):
@@ -125,6 +127,28 @@ def f6(m):
     return found.select("id", "item_type", F.coalesce("prompt", "original_filename").alias("title"))
 
 
+@query("f6_indexed_search", f"""
+WITH {UNIFIED} SELECT id, item_type, coalesce(prompt, original_filename) AS title FROM unified
+WHERE coalesce(prompt, '') ILIKE '%HIGH_scene 1%' OR coalesce(model, '') ILIKE '%HIGH_scene 1%' OR coalesce(original_filename, '') ILIKE '%HIGH_scene 1%'
+  OR coalesce(prompt, '') ILIKE '%ring%' OR coalesce(model, '') ILIKE '%ring%' OR coalesce(original_filename, '') ILIKE '%ring%'
+""")
+def f6_indexed(m):
+    """The search of ``f6_multi_field_search`` by postings."""
+    fields = ["prompt", "model", "original_filename"]
+    items = base(m).select("id", "item_type", *fields)
+    index = TextIndex.create(items, shared_dir(m.spark, "search"), ["id", "item_type"], fields)
+    found = index.search("HIGH_scene 1").unionByName(index.search("ring")).dropDuplicates(["id", "item_type"])
+    return found.select("id", "item_type", F.coalesce("prompt", "original_filename").alias("title"))
+
+
+@query("f9_indexed_texts", "SELECT doc_id, 'phrase' AS kind FROM documents WHERE text ILIKE '%LARGE_text%' UNION ALL SELECT doc_id, 'letters' FROM documents WHERE text ILIKE '%z_z%'")
+def f9_indexed(m):
+    """Whole texts by postings; the second pattern has no three letters in a row."""
+    index = TextIndex.create(m.raw("documents").select("doc_id", "text"), shared_dir(m.spark, "search"), ["doc_id"], ["text"])
+    named = [index.search(p).select("doc_id", F.lit(kind).alias("kind")) for p, kind in (("LARGE_text", "phrase"), ("z_z", "letters"))]
+    return named[0].unionByName(named[1])
+
+
 @query("f7_has_all_tags", f"""
 WITH {LINKS}, {UNIFIED}, named AS (SELECT item_type, item_id, list(DISTINCT name) AS names FROM links JOIN tags t ON t.id = tag_id GROUP BY 1, 2)
 SELECT u.id, u.item_type FROM unified u JOIN named n ON n.item_id = u.id AND n.item_type = u.item_type
