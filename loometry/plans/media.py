@@ -12,6 +12,7 @@ from loometry.operators.lineage import enrich_asset_links, parent_links
 from loometry.plans.registry import query
 from loometry.session import shared_dir
 from loometry.sources.search import TextIndex
+from loometry.sources.tables import read_table, write_table
 
 
 def base(m):
@@ -209,6 +210,19 @@ def f12(m):
     return terms.unionByName(owners.select("id", F.lit("member").alias("language"), F.col("name").alias("source"))).unionByName(nothing)
 
 
+@query("f12_clustered_lookup", """
+SELECT o_orderkey, o_custkey, 'order' AS by FROM orders WHERE o_orderkey IN (1, 7, 300, 999, 5000, 123456)
+UNION ALL SELECT o_orderkey, o_custkey, 'customer' FROM orders WHERE o_custkey IN (7, 70, 700)
+""")
+def f12_clustered(m):
+    """Listed keys in a table stored by customer, with a Bloom filter on its order keys."""
+    path = shared_dir(m.spark, "orders")
+    write_table(m.raw("orders"), path, by=["o_custkey"], lookups=["o_orderkey"])
+    orders = read_table(m.spark, path).select("o_orderkey", "o_custkey")
+    listed = g.by_keys(orders, "o_orderkey", [1, 7, 300, 999, 5000, 123456]).withColumn("by", F.lit("order"))
+    return listed.unionByName(g.by_keys(orders, "o_custkey", [7, 70, 700]).withColumn("by", F.lit("customer")))
+
+
 @query("f13_visibility", """
 SELECT id, scope, asset_type FROM source_assets WHERE deleted_at IS NULL
 AND (scope = 'system' OR (user_id = 7 AND scope = 'private')) AND asset_type IN ('vto_top', 'vto_shoe')

@@ -6,8 +6,11 @@ one, so a lost executor or driver leaves the previous version in place.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -61,16 +64,35 @@ def _claim(spark: SparkSession, path: str, version: int):
     return lambda: fs.delete(claim, False)
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
+def _clustered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows in the order of ``by``, over many files. A hash of the whole row splits a value
+    that many rows share; rows of one value still stand in neighbouring files."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    hashed = [F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind.simpleString() and "variant" not in kind.simpleString()]
+    order = [F.col(f"`{c}`") for c in by]
+    return df.repartitionByRange(*order, F.xxhash64(*hashed)).sortWithinPartitions(*order)
+
+
+def write_table(df: DataFrame, path: str, *, by: Sequence[str] = (), lookups: Sequence[str] = ()) -> DataFrame:
     """Write the next version and return it as read back. A second writer of the same
-    version fails, rather than undo what the first has changed."""
+    version fails, rather than undo what the first has changed.
+
+    ``by`` stores the rows in the order of some columns, so that a filter on the first of
+    them skips files by their least and greatest values. ``lookups`` keeps a Bloom filter
+    for each named column, so that equality with a few values skips row groups whatever
+    the order. Null keys come first.
+    """
     spark = df.sparkSession
     versions = _versions(spark, path)
     version = (versions[-1] if versions else 0) + 1
     release = _claim(spark, path, version)
     target = f"{path}/v={version}"
+    filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in lookups}
+    # The filter's size follows the number of values, up to Parquet's own bound.
+    sized = {"parquet.bloom.filter.adaptive.enabled": "true"} if lookups else {}
     try:
-        df.write.mode("overwrite").parquet(target)
+        rows = _clustered(df, by) if by else df
+        rows.write.mode("overwrite").options(**filters, **sized).parquet(target)
     except BaseException:
         release()
         raise
