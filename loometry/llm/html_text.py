@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 #: Elements nested deeper are laid beside one another in the tree, as browsers do; they
 #: stay open and hide what they would hide. No text is lost.
 MAX_DEPTH = 200
-MAX_SPAN = 1000
+#: Fixed values of the HTML standard: greatest colspan and rowspan. A rowspan of 0 goes on
+#: to the end of its group of rows.
+MAX_COLSPAN = 1000
+MAX_ROWSPAN = 65534
+SPAN = re.compile(r"[ \t\n\f\r]*\+?0*([0-9]+)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style template noscript title meta link base object iframe canvas audio video datalist param source track".split())
@@ -361,16 +365,20 @@ class Renderer:
         self.block(2 if self.depth == 0 else 1)
 
 
-def _span(node: Node, name: str) -> int:
-    value = node.attrs.get(name) or ""
-    return min(max(int(value), 1), MAX_SPAN) if value.isascii() and value.isdigit() and len(value) < 9 else 1
+def _span(node: Node, name: str, most: int) -> int:
+    found = SPAN.match(node.attrs.get(name) or "")
+    if not found:
+        return 1
+    return min(int(found[1]), most) if len(found[1]) <= len(str(most)) else most
 
 
 def table_lines(table: Node, depth: int) -> list[str]:
     """Rows of cells in aligned columns, two spaces apart; captions first."""
     captions, rows = [], []
+    group = 0  # rows that stand in one thead, tbody or tfoot, or between those
 
     def walk(node: Node) -> None:
+        nonlocal group
         for child in node.children:
             if isinstance(child, str):
                 if child.strip():
@@ -378,16 +386,21 @@ def table_lines(table: Node, depth: int) -> list[str]:
             elif hidden(child):
                 continue
             elif child.tag in ("thead", "tbody", "tfoot"):
+                group += 1
                 walk(child)
+                group += 1
             elif child.tag == "tr":
-                rows.append(child)
+                rows.append((group, child))
             else:
                 captions.append(child)
 
     walk(table)
     grid: list[list[tuple[int, int, list[str]]]] = []
     taken: dict[int, int] = {}  # column: rows still covered from above
-    for row in rows:
+    before = 0
+    for group, row in rows:
+        if group != before:
+            taken, before = {}, group  # no cell reaches into the next group
         cells, column, following = [], 0, {}
         loose = Node("td", {})
         nodes = []
@@ -399,7 +412,8 @@ def table_lines(table: Node, depth: int) -> list[str]:
         for cell in nodes + [loose] * bool(loose.children):
             while taken.get(column, 0) > 0:
                 column += 1
-            wide, tall = _span(cell, "colspan"), _span(cell, "rowspan")
+            wide = max(_span(cell, "colspan", MAX_COLSPAN), 1)
+            tall = _span(cell, "rowspan", MAX_ROWSPAN) or len(rows)
             if not hidden(cell):
                 inner = Renderer(False, depth + 1)
                 inner.children(cell)

@@ -17,6 +17,10 @@ CASES = [
     ("<table><tr><th>name<th>n<tr><td>a<td>10<tr><td>longer<td>2</table>", "name    n\na       10\nlonger  2"),
     ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
     ("<table><tr><td colspan=2>wide cell here<tr><td>x<td>y</table>", "wide cell here\nx  y"),
+    ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d<tbody><tr><td>e<td>f</table>", "a  b\n   c\n   d\ne  f"),
+    ("<table><thead><tr><td rowspan=9>a<td>b</thead><tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><tr><td rowspan=' +2x'>a<td colspan=0>b<tr><td>c<tr><td>d</table>", "a  b\n   c\nd"),
+    ("<table><tr><td rowspan=" + "9" * 5000 + ">a<td>b" + "<tr><td>c" * 1500 + "</table>", "a  b" + "\n   c" * 1500),
     ("<table><caption>cap</caption><td>only</table>", "cap\nonly"),
     ("<pre>a\n  b\n\nc</pre>d", "a\n  b\n\nc\n\nd"), ("&lt;b&gt; &amp; &eacute; &#x41; &nosuch;", "<b> & é A &nosuch;"),
     ("<details><summary>s</summary>closed</details><details open>open</details>", "s\n\nopen"),
