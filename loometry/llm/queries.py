@@ -150,10 +150,15 @@ dn AS (SELECT * FROM d, (SELECT DISTINCT n FROM win) k),
 g AS (SELECT doc_id, p, n, array_to_string(list_slice(w, p, p + n - 1), ' ') AS s FROM dn, unnest(range(1, greatest(len(w) - n + 2, 1))) t(p)),
 hits AS (SELECT g.doc_id, g.p, g.n, win.item_id FROM g JOIN win ON g.s = win.s AND g.n = win.n),
 hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, p, n FROM hits) h, unnest(range(p, p + n)) t(q) GROUP BY doc_id),
+iw AS (SELECT r, p, least(len(w), 13) AS n, array_to_string(list_slice(w, p, p + least(len(w), 13) - 1), ' ') AS s
+  FROM (SELECT row_number() OVER () AS r, w FROM i), unnest(range(1, greatest(len(w) - 12, 1) + 1)) t(p) WHERE len(w) > 0),
+al AS (SELECT doc_id, r, n, g.p - iw.p AS shift, g.p FROM g JOIN iw USING (s, n)),
+run AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, r, shift ORDER BY p) AS k FROM al),
+lo AS (SELECT doc_id, max(c) AS n_longest FROM (SELECT doc_id, count(*) + any_value(n) - 1 AS c FROM run GROUP BY doc_id, r, shift, k) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_longest, 0) AS n_longest
+FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN it ON d.doc_id = it.doc_id LEFT JOIN lo ON d.doc_id = lo.doc_id
 """
 
 ORACLE["op10_minhash"] = f"""

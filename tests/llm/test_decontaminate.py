@@ -15,6 +15,19 @@ def word_list(text):
     return WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
 
 
+def plain_longest(w, items, size):
+    best = 0
+    for _, text in items:
+        v = word_list(text)
+        row = [0] * (len(v) + 1)
+        for x in w:
+            row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(v)]
+            top = max(row)
+            if top >= min(size, len(v)) and v:
+                best = max(best, top)
+    return best
+
+
 def plain(docs, items, size=13):
     wanted = {}
     for item_id, text in items:
@@ -33,7 +46,7 @@ def plain(docs, items, size=13):
                     own |= found
         listed = sorted(str(i) for i in own if i is not None)
         digest = hashlib.sha256(",".join(listed).encode()).hexdigest()
-        out.append((doc_id, len(w), len(hit), len(listed), digest, bool(hit) and 20 * len(hit) >= len(w)))
+        out.append((doc_id, len(w), len(hit), len(listed), digest, bool(hit) and 20 * len(hit) >= len(w), plain_longest(w, items, size) if hit else 0))
     return sorted(out, key=str)
 
 
@@ -62,7 +75,39 @@ def test_small_cases_with_nulls_ties_and_blocks(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = plain(DOCS, ITEMS)
     assert got(contamination(docs, items)) == want
-    assert got(contamination(docs, items, block_bytes=1)) == want  # one pass per item
+    assert got(contamination(docs, items, block_bytes=1)) == want  # one block per item
+    assert got(contamination(docs, items, block_bytes=1, pass_bytes=130)) == want  # some blocks per pass
+
+
+def test_many_blocks_are_one_step(spark):
+    docs = spark.createDataFrame([(i, f"say key{i} now") for i in range(300)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"key{i}") for i in range(200)], "item_id long, text string")
+    judged = contamination(docs, items, block_bytes=1)
+    assert judged._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert judged.filter("_found.contaminated").count() == 200
+
+
+def test_shared_preambles_meet_once_and_list_all(spark):
+    preamble = " ".join(f"p{i}" for i in range(40))
+    items = [(i, f"{preamble} own{i}") for i in range(300)]
+    docs = [(i, f"x{i} {preamble} own{i}" if i % 2 else preamble + " y") for i in range(60)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert got(contamination(*frames)) == plain(docs, items)
+
+
+def test_a_text_longer_than_a_slice(spark):
+    docs = [(1, "pad " * 500_000 + "one two three"), (2, "one two three"), (3, "pad " * 10)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = [ITEMS[0], ITEMS[2]]
+    assert got(contamination(frame, spark.createDataFrame(items, "item_id long, text string"))) == plain(docs, items)
+
+
+def test_own_output_column_is_replaced(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    once = contamination(docs, items)
+    assert got(contamination(once, items)) == got(once)
+    assert remove_contaminated(once, items).columns == once.columns
 
 
 def test_longest_matches(spark):
