@@ -145,6 +145,15 @@ def estimate(a: str, b: str, longs: int) -> Column:
     return F.lit(1.0) - bits.cast("double") * (2.0 / (64 * longs))
 
 
+def fine_estimate(a: str, b: str) -> Column:
+    """As ``estimate``, over the bits of the finer signatures. They are counted by a
+    loop: written out, the compiled code of a join would be longer than the JVM
+    compiles, and every pair would be interpreted."""
+    differing = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.aggregate(differing, F.lit(0), lambda x, y: x + y)
+    return F.lit(1.0) - bits.cast("double") * (2.0 / FINE)
+
+
 def fine_cut(a: str, b: str, percent: int) -> Column:
     """The lowest fine estimate of linked sets of these sizes: from the smallest
     similarity of ``percent`` or more that their sizes allow, less the deviations."""
@@ -298,7 +307,7 @@ def near_duplicates(documents: DataFrame, *, percent: int = 85, shingle: int = S
     left = open_rows.join(fine.join(nodes.select("node", "n", band_keys("sig", bands).alias("keys")), "node"), "node")
     minor = left.filter("label != main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("fine").alias("fa"), F.col("n").alias("na"), F.col("keys").alias("ka"))
     others = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("fine").alias("fb"), F.col("n").alias("nb"), F.col("keys").alias("kb"), "main")
-    close = _sizes_fit("na", "nb", percent) & (estimate("fa", "fb", FINE // 64) >= fine_cut("na", "nb", percent))
+    close = _sizes_fit("na", "nb", percent) & (fine_estimate("fa", "fb") >= fine_cut("na", "nb", percent))
     # Of two minor ones, one order is enough.
     once = (F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))
     # A pair meets in the first bucket that both are in, and in no other.
