@@ -116,3 +116,25 @@ def test_texts_without_or_with_repeated_ids_keep_apart(spark):
         for kept in (remove_earlier(docs), remove_repeats(docs)):
             gone = {r.text: r._kept.n_removed for r in kept.collect()}
             assert gone[innocent] == 0 and gone[holder] > 0
+
+
+def test_no_judge_gets_a_whole_family(spark, monkeypatch):
+    """A passage that many documents of one slice share is judged in small parts."""
+    from loometry.llm.suffix_dedup import K, LENGTH, byte_symbols, later_windows
+
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    flank = lambda: "".join(rng.choice("abcdefgh ") for _ in range(40))
+    rows = [(i, f"{flank()}{passage}{flank()}") for i in range(1500)]
+
+    def judge(bucket):
+        if len(bucket.raw) > 30_000:
+            raise AssertionError(f"{len(bucket.raw)} bytes judged at once")
+        return later_windows(bucket)
+
+    monkeypatch.setattr(repeats, "MANY", 100)
+    monkeypatch.setattr(repeats, "JUDGE_BYTES", 10_000)
+    scheme = repeats.Scheme(LENGTH, K, False, byte_symbols, judge)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = repeats.repeated_windows(docs, scheme)
+    assert found.filter("found is not null").count() == 1499
