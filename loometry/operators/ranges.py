@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loometry.operators.scans import chunked, scan
+
 #: Points of a cell beyond which it is dealt into parts.
 CELL_POINTS = 100_000
 
@@ -53,3 +55,53 @@ def interval_join(
     right = right.withColumn("_part", F.col("_tie") % F.coalesce("_parts", F.lit(1).cast("long"))).drop("_tie")
     pairs = left.drop("_parts").join(right.drop("_parts"), [*place, "_part"])
     return pairs.filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("_level", "_cell", "_part")
+
+
+def counts_around(rows: DataFrame, reach: int, *, key: str, at: str, who: str, centre: Column) -> DataFrame:
+    """``key, events, users``: for each key with rows where ``centre`` holds, how many rows
+    of other keys lie within ``reach`` of them, and of how many distinct ``who``.
+
+    Rows without a key or a time take no part. No pairs are formed for keys whose rows
+    are alike: a row adds one to the rows met from ``reach`` before it to ``reach`` after it, and a
+    who adds one wherever any of its rows does, so both are running sums along the time,
+    and a centre lies in one step of them. Keys with different rows go by pairs.
+    """
+    known = rows.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    alike = known.groupBy(F.col(key).alias("_key"), F.col(at).cast("long").alias("_at"), F.col(who).alias("_who")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(centre).alias("_centres")
+    )
+    order = ["_at", "_key"]
+    placed, chunk = chunked(alike, ["_who"], order)
+    # The nearest rows of the same who: where neither is near, its steps begin and end here.
+    beside = scan(placed, ["_who"], order, chunk, before={"_back": F.col("_at")}, after={"_on": F.col("_at")})
+    named = F.col("_who").isNotNull()
+
+    def apart(other: str, far: int) -> Column:
+        return named & (F.col(other).isNull() | (F.abs(F.col("_at") - F.col(other)) > far))
+
+    begins, ends = apart("_back", 2 * reach).cast("long"), apart("_on", 2 * reach).cast("long")
+    steps = beside.select(F.explode(F.array(
+        F.struct((F.col("_at") - reach).alias("_from"), F.col("_n").alias("_rows"), begins.alias("_whos")),
+        F.struct((F.col("_at") + reach + 1).alias("_from"), (-F.col("_n")).alias("_rows"), (-ends).alias("_whos")),
+    )).alias("_step")).select("_step.*").groupBy("_from").agg(F.sum("_rows").alias("_rows"), F.sum("_whos").alias("_whos"))
+    steps, chunk = chunked(steps, [], ["_from"])
+    steps = scan(steps, [], ["_from"], chunk, sums={"_met": F.col("_rows"), "_seen": F.col("_whos")}, after={"_next": F.col("_from")})
+    steps = steps.select(F.col("_from").alias("_low"), (F.col("_next") - 1).alias("_high"), "_met", "_seen").filter("_high is not null")
+
+    lone = apart("_back", reach) & apart("_on", reach)
+    centres = beside.groupBy("_key").agg(
+        F.count(F.lit(1)).alias("_kinds"), F.sum("_centres").alias("_centres"), F.sum("_n").alias("_own"), F.max("_at").alias("_when"),
+        F.max(lone.cast("long")).alias("_lone"),
+    ).filter("_centres > 0")
+    plain = interval_join(steps, centres.filter("_kinds = 1"), low="_low", high="_high", at="_when").select(
+        F.col("_key").alias(key), (F.col("_centres") * (F.col("_met") - F.col("_own"))).alias("events"), (F.col("_seen") - F.col("_lone")).alias("users")
+    ).filter("events > 0")
+
+    mixed = alike.join(centres.filter("_kinds > 1").select("_key"), "_key").filter("_centres > 0")
+    mixed = mixed.groupBy(F.col("_key").alias("_centre"), "_at").agg(F.sum("_centres").alias("_centres"))
+    mixed = mixed.select("_centre", "_centres", (F.col("_at") - reach).alias("_low"), (F.col("_at") + reach).alias("_high"))
+    pairs = interval_join(mixed, alike.select("_key", "_who", "_n", F.col("_at").alias("_when")), low="_low", high="_high", at="_when")
+    paired = pairs.filter("_key <> _centre").groupBy(F.col("_centre").alias(key)).agg(
+        F.sum(F.col("_centres") * F.col("_n")).alias("events"), F.countDistinct("_who").alias("users")
+    )
+    return plain.unionByName(paired)

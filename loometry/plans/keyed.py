@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loometry.operators import changes as ch
 from loometry.operators import summaries
-from loometry.operators.ranges import interval_join
+from loometry.operators.ranges import counts_around
 from loometry.plans.registry import ORACLE, query
 from loometry.plans.streams import progress_stream
 from loometry.plans.upkeep import keys, now, stamp
@@ -71,13 +71,8 @@ JOIN events e ON e.ts BETWEEN p.ts - INTERVAL 1 HOUR AND p.ts + INTERVAL 1 HOUR
 WHERE p.event_type = 'purchase' GROUP BY 1
 """)
 def q3(m):
-    hour = 3600 * 1_000_000
     events = m.raw("events").select("event_id", "event_type", "user_id", F.unix_micros("ts").alias("at"))
-    around = events.filter("event_type = 'purchase'").select(
-        F.col("event_id").alias("purchase"), (F.col("at") - hour).alias("low"), (F.col("at") + hour).alias("high")
-    )
-    pairs = interval_join(around, events.drop("event_type"), low="low", high="high", at="at").filter("event_id <> purchase")
-    return pairs.groupBy(F.col("purchase").alias("event_id")).agg(F.count(F.lit(1)).alias("events"), F.countDistinct("user_id").alias("users"))
+    return counts_around(events, 3600 * 1_000_000, key="event_id", at="at", who="user_id", centre=F.col("event_type") == "purchase")
 
 
 _K = "SELECT o_orderkey FROM orders WHERE o_custkey % {0} = 0"

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loometry.operators.ranges import interval_join
+from loometry.operators import ranges
+from loometry.operators.ranges import counts_around, interval_join
 from loometry.plans import catalog
 
 
@@ -66,3 +67,45 @@ def test_no_nested_loop_and_a_hot_cell_is_dealt_out(spark, data_dir):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def plain_counts(rows, reach):
+    out = {}
+    for key, kind, _, t in rows:
+        for other, _, who, s in rows if kind == "c" and None not in (key, t) else ():
+            if None not in (other, s) and other != key and abs(s - t) <= reach:
+                n, whos = out.setdefault(key, (0, set()))
+                out[key] = n + 1, whos | {who}
+    return sorted((k, n, len(whos - {None})) for k, (n, whos) in out.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_counts_around_like_a_nested_loop(spark, seed):
+    rng = random.Random(seed)
+    span = 400 if seed < 3 else 30000
+    rows = [(i, rng.choice("cx"), rng.choice([None, *range(8)]), rng.choice([None, *[rng.randrange(span)] * 9])) for i in range(150)]
+    rows += rng.choices(rows, k=20) + [(rng.choice([None, *range(10)]), rng.choice("cx"), rng.randrange(8), rng.randrange(span)) for _ in range(15)]
+    df = spark.createDataFrame(rows, "key long, kind string, who long, t long")
+    got = counts_around(df, 10, key="key", at="t", who="who", centre=F.col("kind") == "c")
+    assert sorted(tuple(r) for r in got.collect()) == plain_counts(rows, 10) != []
+    assert counts_around(df.limit(0), 10, key="key", at="t", who="who", centre=F.col("kind") == "c").count() == 0
+
+
+def test_counts_around_forms_no_pairs(spark):
+    """20,000 rows at one time are 400,000,000 pairs; in steps they are two."""
+    df = spark.range(20_000).select(F.col("id").alias("key"), F.lit("c").alias("kind"), (F.col("id") % 50).alias("who"), F.lit(5).cast("long").alias("t"))
+    seen = []
+    real = ranges.interval_join
+
+    def counted(left, right, **names):
+        out = real(left, right, **names)
+        seen.append(out.count())
+        return out
+
+    ranges.interval_join = counted
+    try:
+        got = ranges.counts_around(df, 10, key="key", at="t", who="who", centre=F.col("kind") == "c")
+        assert got.agg(F.min("events"), F.max("events"), F.min("users"), F.count("*")).first()[:] == (19_999, 19_999, 50, 20_000)
+    finally:
+        ranges.interval_join = real
+    assert sum(seen) <= 20_000
