@@ -87,3 +87,20 @@ def test_ingest(spark, tmp_path):
     house = Warehouse(spark, str(tmp_path / "house"))
     assert house.ingest(str(tmp_path / "Notes.csv"), multiline=True)[0]["n_rows"] == 2
     assert [r["note"] for r in house.spark.table("up_notes").orderBy("id").collect()] == ["two\nlines", "one"]
+
+
+def test_a_block_of_many_lines_is_no_single_chunk(spark, tmp_path, monkeypatch):
+    from loometry.sources import records
+
+    (tmp_path / "a.csv").write_text("".join(f'{i},"a\n\n""b""\nc"\n' for i in range(500)))
+    chunks, real = [], records.scan
+
+    def scanned(df, keys, order, chunk, **asked):
+        chunks.append(df.groupBy(*keys, chunk.alias("_chunk")).count().agg({"count": "max"}).first()[0])
+        return real(df, keys, order, chunk, **asked)
+
+    monkeypatch.setattr(records, "scan", scanned)
+    monkeypatch.setattr(records, "CHUNK_LINES", 64)
+    rows = read_records(spark, str(tmp_path / "a.csv")).orderBy(*sh.POSITION).collect()
+    assert [r["value"] for r in rows] == [f'{i},"a\n\n""b""\nc"' for i in range(500)]
+    assert len(chunks) == 3 and max(chunks) <= 64
