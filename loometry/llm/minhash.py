@@ -343,7 +343,9 @@ def remove_near_duplicates(documents: DataFrame, *, percent: int = 85, shingle:
     """One document of each component, the one with the smallest id, with its columns.
     Documents without a set or an id stay; of repeated rows one stays."""
     columns = documents.columns
-    packed = documents.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    # The text goes to Python and back once.
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"])
+    packed = documents.select(F.col("doc_id").cast("long"), "text", rest.alias("row"))
     kept = near_duplicates(documents, percent=percent, shingle=shingle, bands=bands).filter("is_node AND n > 0 AND doc_id IS NOT NULL").select("doc_id", "d1", "d2").distinct()
 
     def add(batches):
@@ -351,15 +353,11 @@ def remove_near_duplicates(documents: DataFrame, *, percent: int = 85, shingle:
             for lo, hi, raw, borders in text_slices(batch.column(1), SLICE):
                 sets, cuts = shingle_sets(raw, borders, shingle)
                 d1, d2 = digests(sets, cuts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(cuts)), pa.array(d1), pa.array(d2), batch.column(2).slice(lo, hi - lo)],
-                    ["doc_id", "n", "d1", "d2", "row"],
-                )
-
-    row_type = packed.schema["row"].dataType.simpleString()
-    rows = packed.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit(""))).mapInArrow(
-        tidy(add), f"doc_id long, n long, d1 long, d2 long, row {row_type}"
-    )
-    whole = rows.filter("n = 0 OR doc_id IS NULL").select("row")
-    chosen = rows.filter("n > 0").join(kept, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select("row")
-    return whole.unionAll(chosen).select(*[F.col("row")[c].alias(c) for c in columns])
+                own = (batch.column(i).slice(lo, hi - lo) for i in range(3))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(cuts)), pa.array(d1), pa.array(d2)], ["doc_id", "text", "row", "n", "d1", "d2"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    rows = packed.mapInArrow(tidy(add), f"doc_id long, text {kinds['text']}, row {kinds['row']}, n long, d1 long, d2 long")
+    whole = rows.filter("n = 0 OR doc_id IS NULL").select("text", "row")
+    chosen = rows.filter("n > 0").join(kept, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]).select("text", "row")
+    return whole.unionAll(chosen).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns])

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from loometry.llm.arrays import LOWER, NOT_SPACE, binaries, byte_table, flat, text_slices, words
 from loometry.llm.memo import WordIds
 
+#: Bytes of text worked on at once.
+SLICE = 1_500_000
 #: Examples that wait in a task, and ids in an outgoing batch, about.
 WAITING = 4096
 OUT_IDS = 1 << 20
@@ -54,7 +56,7 @@ def _encoded(batches, tokenizer_file: str, end: int) -> Iterator[tuple[pa.Array,
     """Keys, ids end to end, and how many each row has."""
     memo = _memo(tokenizer_file)
     for batch in batches:
-        for lo, hi, raw, borders in text_slices(batch.column(1)):
+        for lo, hi, raw, borders in text_slices(batch.column(1), SLICE):
             raw, starts, ends = _parts(raw, borders)
             ids, counts = memo.encode(raw, borders, starts, ends)
             yield batch.column(0).slice(lo, hi - lo), np.insert(ids.astype("<u4"), np.cumsum(counts), end), counts + 1

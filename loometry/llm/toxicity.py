@@ -165,7 +165,7 @@ def fit(documents: DataFrame, grades: DataFrame, *, sample_rows: int = SAMPLE_RO
 
     id_type = one.schema["doc_id"].dataType.simpleString()
     # By id, so that the sums of the fit do not depend on how the rows arrive.
-    found = one.mapInArrow(extract, f"doc_id {id_type}, grade int, features binary").toArrow().sort_by("doc_id")
+    found = one.mapInArrow(tidy(extract), f"doc_id {id_type}, grade int, features binary").toArrow().sort_by("doc_id")
     cells = found.column("features").to_pylist()
     values = np.frombuffer(b"".join(cells), U64)
     rows = np.repeat(np.arange(len(cells)), [len(c) // 8 for c in cells])
@@ -180,24 +180,23 @@ def score(documents: DataFrame, model: Model, *, text: str = "text") -> DataFram
     ``grade`` (thresholds passed with probability one half or more) and ``rejected``
     (grade of 1 or more). Null and empty texts have no features. Row-local."""
     columns = documents.columns
-    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    # The text goes to Python and back once, in slices.
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns if c != text])
+    packed = documents.select(rest.alias("row"), F.col(f"`{text}`").alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches):
         for batch in batches:
-            severity, grade = [], []
-            for _, _, raw, borders in text_slices(batch.column(1)):
+            for lo, hi, raw, borders in text_slices(batch.column(1)):
                 above = shared.value.above(raw, borders)
-                severity.append(above.sum(1))
-                grade.append((above >= 0.5).sum(1))
-            s = np.concatenate(severity) if severity else np.zeros(0)
-            g = np.concatenate(grade).astype(np.int32) if grade else np.zeros(0, np.int32)
-            cell = pa.StructArray.from_arrays([pa.array(s), pa.array(g), pa.array(g >= 1)], ["severity", "grade", "rejected"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), cell], ["row", "found"])
-
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, found struct<severity:double,grade:int,rejected:boolean>"
+                s, g = above.sum(1), (above >= 0.5).sum(1).astype(np.int32)
+                cell = pa.StructArray.from_arrays([pa.array(s), pa.array(g), pa.array(g >= 1)], ["severity", "grade", "rejected"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), cell], ["row", "text", "found"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema}
+    schema = f"row {kinds['row']}, text {kinds['text']}, found struct<severity:double,grade:int,rejected:boolean>"
     judged = packed.mapInArrow(tidy(judge), schema)
-    return judged.select(*[F.col("row")[c].alias(c) for c in columns], F.col("found").alias("_toxicity"))
+    return judged.select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in columns], F.col("found").alias("_toxicity"))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
