@@ -130,6 +130,8 @@ def media_of_runs(values: DataFrame, outputs: DataFrame) -> DataFrame:
         # Parsed once and written: ids, list items and references are then read
         # from columns, and a lost executor does not repeat earlier rounds.
         step = cut_lineage(_mentions(todo), "mentions")
+        if found is not None and step.isEmpty():
+            return found.distinct()
         ids = step.filter(F.col("id").isNotNull()).select("run_id", "kind", "id")
         found = ids if found is None else found.unionByName(ids)
         asks = step.filter(F.col("ref_step").isNotNull()).select("run_id", "ref_step", "ref_output").distinct()
@@ -139,8 +141,6 @@ def media_of_runs(values: DataFrame, outputs: DataFrame) -> DataFrame:
         todo = step.select("run_id", F.explode("items").alias("value")).unionByName(
             asks.join(final, ["run_id", "ref_step", "ref_output"]).select("run_id", F.col("_next").alias("value"))
         )
-        if todo.isEmpty():
-            return found.distinct()
         followed = asks if followed is None else followed.unionByName(asks)
 
 
