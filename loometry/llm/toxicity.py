@@ -21,6 +21,9 @@ SAMPLE_ROWS = 6000
 #: A feature needs this many sample documents.
 MIN_DOCUMENTS = 4
 PREFIX_BYTES = 4
+#: Bytes of sample text worked on at once. The model depends on it: the features of a
+#: slice come in two runs of rows, and are dealt to its documents as if in one.
+FIT_SLICE = 1_500_000
 #: L1 penalty of the selection.
 L1 = 1e-3
 STEPS = 150
@@ -157,7 +160,7 @@ def fit(documents: DataFrame, grades: DataFrame, *, sample_rows: int = SAMPLE_RO
 
     def extract(batches):
         for batch in batches:
-            for lo, hi, raw, borders in text_slices(batch.column(2)):
+            for lo, hi, raw, borders in text_slices(batch.column(2), FIT_SLICE):
                 rows, values = distinct(*features(raw, borders))
                 cuts = np.searchsorted(rows, np.arange(hi - lo + 1))
                 cells = [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
