@@ -105,3 +105,18 @@ def test_ids_are_the_librarys(stages):
 
 def test_run_is_all_stages(spark, data_dir, stages):
     assert sorted(corpus_pipeline.run(spark, data_dir).collect()) == sorted(stages[-1][1].collect())
+
+
+def test_worker_memory_is_bounded(spark, monkeypatch):
+    """Slices have small tables of powers, and a text goes to a worker once."""
+    from loometry.llm import arrays, repeats, toxicity
+
+    assert all((size + 1).bit_length() <= 19 for size in (arrays.SLICE_BYTES, repeats.SLICE_BYTES))
+    seen, kind = [], type(spark.range(1))
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, *a, **k: (seen.append(df.schema), real(df, *a, **k))[1])
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, lang string")
+    model = toxicity.Model(toxicity.np.zeros(0, toxicity.U64), toxicity.np.zeros(0), toxicity.np.full(1, 30.0))
+    got = toxicity.score(docs, model).select("doc_id", "text", "lang").collect()
+    assert sorted(map(tuple, got)) == [(1, "a b", "x"), (2, None, "y")]
+    assert sum(f.name == "text" for s in seen for f in s) == 1 and "text" not in seen[0]["row"].dataType.names

@@ -110,3 +110,9 @@ def test_links(spark):
     )
     rows = ln.parent_links(items, parents).collect()
     assert [(r["id"], r["parent_id"], r["gcs_uri"], r["thumbnail_uri"]) for r in rows] == [(1, 10, "u0", "t0")]
+
+
+def test_step_entries_are_aggregated_once(model):
+    """Inputs and outputs read the stored entries instead of the lines again."""
+    for table in (model.step_inputs, model.step_outputs, model.step_entries):
+        assert "Aggregate" not in table._jdf.queryExecution().optimizedPlan().toString()
